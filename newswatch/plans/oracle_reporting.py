@@ -130,5 +130,126 @@ FROM news WHERE {MONTH} AND (priority_score >= 75 OR {WEEK})"""
     }
 
 
+ORDER = "ORDER BY priority_score DESC, published_date DESC NULLS LAST, company_name, url"
+
+
+def _feed(condition: str, limit: int) -> str:
+    return f"feed AS (SELECT {EXPORT} FROM news WHERE {condition} {ORDER} LIMIT {limit})"
+
+
+SHOWN = """shown AS (SELECT company_name, industry_sector, coalesce(strftime(published_date, '%Y-%m-%d'), '') AS day,
+       priority_score, coalesce(title, '') AS title, coalesce(article_summary, '') AS article_summary,
+       coalesce(key_topic, '') AS key_topic, coalesce(business_impact, '') AS business_impact,
+       coalesce(geography, '') AS geography, coalesce(signal_type, '') AS signal_type, url,
+       coalesce(summary_status, '') AS summary_status, published_date FROM feed)"""
+
+
+def _feeds() -> dict[str, str]:
+    everything = _feed("true", 200)
+    chat = _feed(MONTH, 60)
+
+    def top(column: str, n: int) -> str:
+        return f"""SELECT {column}, count(*) AS article_count FROM feed WHERE coalesce({column}, '') <> ''
+GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT {n}"""
+
+    return {
+        "sectors": with_news("SELECT DISTINCT industry_sector FROM news WHERE coalesce(industry_sector, '') <> ''"),
+        "companies": with_news(
+            f"SELECT DISTINCT company_name FROM news WHERE {HALF_YEAR} AND industry_sector = 'LIFESCIENCE'"
+        ),
+        "topics": with_news(
+            f"""SELECT DISTINCT key_topic FROM news WHERE {HALF_YEAR} AND industry_sector = 'LIFESCIENCE'
+AND company_name = 'SRC0' AND coalesce(key_topic, '') <> ''"""
+        ),
+        "feed_filtered": with_news(
+            "SELECT * FROM feed", _feed(f"{HALF_YEAR} AND industry_sector = 'BANKING' AND key_topic = 'm&a'", 200)
+        ),
+        "feed_ranked": with_news("SELECT * FROM feed", everything),
+        "feed_display": with_news(
+            """SELECT * EXCLUDE (day, published_date), day AS published_date,
+       CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN url ELSE '' END AS link FROM shown""",
+            everything,
+            SHOWN,
+        ),
+        "feed_summary": with_news(
+            """SELECT count(*) AS article_count, count(DISTINCT company_name) AS company_count,
+       round_even(avg(priority_score), 1) AS avg_priority FROM feed""",
+            everything,
+        ),
+        "top_topics": with_news(top("key_topic", 5), everything),
+        "topic_pulse": with_news(top("key_topic", 6), everything),
+        "company_bars": with_news(
+            f"""SELECT *, greatest(article_count / max(article_count) OVER () * 100, 8.0::DOUBLE) AS bar_width
+FROM ({top("company_name", 5)})""",
+            everything,
+        ),
+        "chat_sources": with_news(
+            f"""SELECT company_name, industry_sector, day AS published_date, title, article_summary, business_impact,
+       priority_score, url FROM (SELECT * FROM shown {ORDER} LIMIT 12)""",
+            chat,
+            SHOWN,
+        ),
+        "chat_context": with_news(
+            """SELECT url, concat('{"company_name":"', company_name, '","industry_sector":"', industry_sector,
+       '","published_date":"', day, '","priority_score":', priority_score, ',"title":"', title,
+       '","article_summary":"', article_summary, '","business_impact":"', business_impact, '","key_topic":"', key_topic,
+       '","signal_type":"', signal_type, '","url":"', url, '"}') AS context FROM shown""",
+            chat,
+            SHOWN,
+        ),
+        "chat_digest": with_news(
+            """SELECT company_name, count(*) AS article_count,
+       concat(company_name, ': ', count(*), ' article(s)', string_agg(line, '' ORDER BY position),
+              CASE WHEN count(*) > 3 THEN concat(chr(10), '  ... plus ', count(*) - 3, ' more article(s).') ELSE '' END)
+            AS digest
+FROM (SELECT *, CASE WHEN position > 3 THEN '' ELSE concat(chr(10), '- ', day, ' | ', title,
+             CASE WHEN article_summary <> '' THEN concat(chr(10), '  Summary: ', article_summary) ELSE '' END,
+             CASE WHEN business_impact <> '' THEN concat(chr(10), '  Why it matters: ', business_impact) ELSE '' END)
+             END AS line FROM ranked) GROUP BY company_name""",
+            chat,
+            SHOWN,
+            f"ranked AS (SELECT *, row_number() OVER (PARTITION BY company_name {ORDER}) AS position FROM shown)",
+        ),
+    }
+
+
+def _report() -> dict[str, str]:
+    conditions = {
+        "top_week": f"{WEEK} AND priority_score >= 72",
+        "top_month": f"{MONTH} AND priority_score >= 75",
+        "news_week": WEEK,
+        "news_month": MONTH,
+        "news_6_months": HALF_YEAR,
+        "news_all": "true",
+    }
+    overview = {
+        "all_articles": "true",
+        "week_articles": WEEK,
+        "month_articles": MONTH,
+        "high_priority_articles": "priority_score >= 75",
+    }
+    rows = [
+        f"SELECT '{m}' AS metric, CAST(count(*) FILTER (WHERE {c}) AS VARCHAR) AS value FROM news"
+        for m, c in overview.items()
+    ]
+    stamp = f"SELECT 'generated_at_utc' AS metric, '{AS_OF.replace(' ', 'T')}' AS value"
+    company = _marts()["company_intelligence"].replace("SELECT r.*,", "SELECT r.*, CAST(NULL AS VARCHAR) AS color,")
+    return {
+        "report_overview": with_news(" UNION ALL ".join([stamp, *rows])),
+        "company_counts": with_news(
+            f"SELECT company_name, count(*) AS article_count FROM news WHERE {MONTH} GROUP BY company_name"
+        ),
+        "topic_counts": with_news("SELECT key_topic, count(*) AS article_count FROM news GROUP BY key_topic"),
+        "signal_counts": with_news("SELECT signal_type, count(*) AS article_count FROM news GROUP BY signal_type"),
+        "report_news_month": with_news(f"SELECT {EXPORT}, CAST(NULL AS VARCHAR) AS color FROM news WHERE {MONTH}"),
+        "report_companies": company,
+        "report_sheet_counts": with_news(
+            " UNION ALL ".join(
+                f"SELECT '{s}' AS sheet, count(*) AS row_count FROM news WHERE {c}" for s, c in conditions.items()
+            )
+        ),
+    }
+
+
 def oracle() -> dict[str, str]:
-    return {**_windows(), **_marts()}
+    return {**_windows(), **_marts(), **_feeds(), **_report()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newswatch.operators import marts, warehouse
+from newswatch.operators import feed, marts, report, warehouse
 from newswatch.sources.driver_tables import AS_OF, adapted
 
 
@@ -25,6 +25,23 @@ def _mart(fn):
     return lambda spark, sf_dir: fn(news(spark, sf_dir), AS_OF)
 
 
+def _on_news(fn):
+    return lambda spark, sf_dir: fn(news(spark, sf_dir))
+
+
+def _on_feed(fn, **filters):
+    """A summary of the filtered, limited feed."""
+    return lambda spark, sf_dir: fn(feed.feed(news(spark, sf_dir), AS_OF, **filters))
+
+
+def _on_chat(fn):
+    return lambda spark, sf_dir: fn(feed.chat_feed(news(spark, sf_dir), AS_OF, period="month"))
+
+
+def _sheet(name: str):
+    return lambda spark, sf_dir: report.report_sheets(news(spark, sf_dir), AS_OF)[name]
+
+
 def queries() -> dict:
     out = {}
     for export in (False, True):
@@ -38,5 +55,25 @@ def queries() -> dict:
         "company_intelligence": _mart(marts.company_intelligence),
         "topic_signal_heatmap": _mart(marts.topic_signal_heatmap),
         "executive_feed": _mart(marts.executive_feed),
+        "sectors": _mart(feed.sectors),
+        "companies": _on_news(lambda n: feed.companies(n, AS_OF, "6_months", "LIFESCIENCE")),
+        "topics": _on_news(lambda n: feed.topics(n, AS_OF, "6_months", "LIFESCIENCE", "SRC0")),
+        "feed_filtered": _on_feed(lambda rows: rows, sector="BANKING", period="6_months", topic="m&a"),
+        "feed_ranked": _on_feed(lambda rows: rows, period="all"),
+        "feed_display": _on_feed(feed.display_rows, period="all"),
+        "feed_summary": _on_feed(feed.feed_summary, period="all"),
+        "top_topics": _on_feed(feed.top_topics, period="all"),
+        "topic_pulse": _on_feed(feed.topic_pulse, period="all"),
+        "company_bars": _on_feed(feed.company_bars, period="all"),
+        "chat_sources": _on_chat(feed.chat_sources),
+        "chat_context": _on_chat(feed.chat_context),
+        "chat_digest": _on_chat(feed.chat_digest),
+        "report_overview": _mart(report.report_overview),
+        "company_counts": _mart(report.company_counts),
+        "topic_counts": _on_news(report.topic_counts),
+        "signal_counts": _on_news(report.signal_counts),
+        "report_news_month": _sheet("news_month"),
+        "report_companies": _sheet("dea_company"),
+        "report_sheet_counts": _mart(report.sheet_counts),
     }
     return out
