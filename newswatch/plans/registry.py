@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from newswatch.plans import oracle_reporting, queries_reporting
+from newswatch.plans import oracle_load, oracle_reporting, queries_load, queries_reporting
 
-QUERY_MODULES = [queries_reporting]
-ORACLE_MODULES = [oracle_reporting]
+QUERY_MODULES = [queries_reporting, queries_load]
+ORACLE_MODULES = [oracle_reporting, oracle_load]
 
 
 def queries() -> dict:

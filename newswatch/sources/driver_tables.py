@@ -133,7 +133,31 @@ SELECT concat('SRC', CAST((doc_id + k) % 20 AS STRING)) AS company_name,
        '2024-01-31T00:00:00+00:00' AS s_created_ts,
        CAST(n_chars % 1000 AS DOUBLE) / 8 AS response_time_ms,
        doc_id * 2 + (1 - k) AS seq
-FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) AS copies""",
+FROM (SELECT *, 0 AS k FROM {documents} UNION ALL SELECT *, 1 AS k FROM {documents}) AS d""",
+    # staging rows: each article under two tables, some without id, legacy schemas too
+    "staged": """
+SELECT CASE WHEN k = 1 THEN concat('stg_ls_', source) WHEN doc_id % 2 = 0 THEN 'stg_banking' ELSE 'stg_space' END
+            AS schemaname,
+       concat('stg_', source) AS tablename, upper(source) AS company_name,
+       CASE WHEN doc_id % 2 = 0 THEN 'BANKING' ELSE 'SPACE' END AS industry_sector,
+       CASE WHEN doc_id % 41 = 0 THEN NULL ELSE CAST(doc_id AS STRING) END AS id,
+       concat('https://', source, '.example.com/news/', CAST(doc_id - k * (doc_id % 3) AS STRING)) AS url,
+       concat('Note ', CAST(doc_id AS STRING)) AS title,
+       CAST(DATE '2024-07-01' - CAST(doc_id % 400 AS INT) AS {TS}) AS published_date,
+       CAST(DATE '2024-07-01' AS {TS}) AS s_created_ts, doc_id * 2 + k AS seq
+FROM (SELECT *, 0 AS k FROM {documents} UNION ALL SELECT *, 1 AS k FROM {documents}) AS d""",
+    # table names in mixed case, staged or not
+    "listing": """
+SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN 'STG_LifeScience' WHEN doc_id % 3 = 1 THEN 'stg_air_space' ELSE 'dwh' END
+            AS schemaname,
+       CASE WHEN doc_id % 2 = 0 THEN concat('Stg_', source, '_', lang) ELSE concat('v_', source) END AS tablename
+FROM {documents}""",
+    # stored settings, counted from the texts
+    "scraping_config": """
+SELECT CASE lang WHEN 'de' THEN 'MAX_ITEMS_PER_SOURCE' WHEN 'en' THEN 'MIN_TITLE_LENGTH'
+            WHEN 'es' THEN 'EXPORT_RESULTS' ELSE 'CUSTOM_NOTE' END AS param_name,
+       CASE lang WHEN 'es' THEN ' Yes ' ELSE CAST(count(*) AS STRING) END AS param_value
+FROM {documents} GROUP BY lang""",
     # a model's replies: bare JSON, JSON inside prose, blanks, and broken text
     "replies": """
 SELECT CAST(d.doc_id AS STRING) AS article_id,
