@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from newswatch.plans import oracle_load, oracle_reporting, queries_load, queries_reporting
+from newswatch.plans import (
+    oracle_enrich,
+    oracle_load,
+    oracle_reporting,
+    queries_enrich,
+    queries_load,
+    queries_reporting,
+)
 
-QUERY_MODULES = [queries_reporting, queries_load]
-ORACLE_MODULES = [oracle_reporting, oracle_load]
+QUERY_MODULES = [queries_reporting, queries_load, queries_enrich]
+ORACLE_MODULES = [oracle_reporting, oracle_load, oracle_enrich]
 
 
 def queries() -> dict:

@@ -46,7 +46,7 @@ FROM {labels}""",
     # stored hashes: current for good labels, stale for the others
     "summary_hashes": """
 SELECT CAST(l.doc_id AS STRING) AS article_id,
-       CASE WHEN l.quality = 1 THEN {SHA}(trim(regexp_replace(d.text, '{WS}', ' '{ALL}){BITS}) ELSE 'stale' END
+       CASE WHEN l.quality = 1 THEN {SHA}(trim(regexp_replace(d.text, '{WS}', ' '{ALL})){BITS}) ELSE 'stale' END
             AS content_hash,
        CASE WHEN l.quality = 1 THEN 'local:model:v1' ELSE 'fallback-extractive-v1' END AS summary_model,
        CASE WHEN l.toxic = 1 THEN 'fallback' ELSE 'ai' END AS summary_status
