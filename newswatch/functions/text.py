@@ -66,6 +66,7 @@ IMPACT_CHARS = 260
 # Unicode white space as regular expressions over text usually understand it:
 # the White_Space property plus the four ASCII separators.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+_ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(?::\d{2}){1,2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})$"
 
 
 def first_match(rules, otherwise) -> Column:
@@ -137,11 +138,9 @@ def parse_utc(c: Column) -> Column:
     NULL for anything that is not a full ISO date. Independent of the session
     time zone.
     """
-    text = strip(c)
-    zoned = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).when(
-        text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"), F.concat(text, F.lit("Z"))
-    ).when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}){1,2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"), text)
-    return utc_ntz(F.try_to_timestamp(zoned))
+    full = F.regexp_replace(strip(c), r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00Z")
+    zoned = F.regexp_replace(full, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)$", "$1Z")
+    return utc_ntz(F.try_to_timestamp(F.regexp_extract(zoned, _ISO_ZONED, 0)))
 
 
 def utc_ntz(c: Column) -> Column:
