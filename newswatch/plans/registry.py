@@ -5,14 +5,16 @@ from __future__ import annotations
 from newswatch.plans import (
     oracle_enrich,
     oracle_load,
+    oracle_pages,
     oracle_reporting,
     queries_enrich,
     queries_load,
+    queries_pages,
     queries_reporting,
 )
 
-QUERY_MODULES = [queries_reporting, queries_load, queries_enrich]
-ORACLE_MODULES = [oracle_reporting, oracle_load, oracle_enrich]
+QUERY_MODULES = [queries_reporting, queries_load, queries_enrich, queries_pages]
+ORACLE_MODULES = [oracle_reporting, oracle_load, oracle_enrich, oracle_pages]
 
 
 def queries() -> dict:

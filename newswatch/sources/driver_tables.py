@@ -158,6 +158,33 @@ SELECT CASE lang WHEN 'de' THEN 'MAX_ITEMS_PER_SOURCE' WHEN 'en' THEN 'MIN_TITLE
             WHEN 'es' THEN 'EXPORT_RESULTS' ELSE 'CUSTOM_NOTE' END AS param_name,
        CASE lang WHEN 'es' THEN ' Yes ' ELSE CAST(count(*) AS STRING) END AS param_value
 FROM {documents} GROUP BY lang""",
+    # listing pages, one per article: embedded items, links in and out of containers, dates in several tags
+    "listings": """
+SELECT doc_id, upper(source) AS company_name, concat(root, '/list/', n) AS url, root, n, kind,
+       concat('<html><head><title> Listing &amp; more ', n, ' </title>',
+              CASE CAST(doc_id % 5 AS INT)
+                   WHEN 0 THEN '<meta property="article:published_time" content="2024-05-01T10:00:00+02:00">'
+                   WHEN 1 THEN '<meta content="2024-05-02" name="pubdate">'
+                   WHEN 2 THEN '<time datetime="2020-01-01"><b>2024-05-03</b> 08:00:00</time>'
+                   WHEN 3 THEN '<meta itemprop="datePublished" content="soon">' ELSE '' END,
+              '<script type="application/ld+json">{"@graph":[{"@type":"NewsArticle","url":"/news/j', n,
+              '","headline":"Item ', n, '","datePublished":"', CAST(item_day AS STRING),
+              'T10:00:00Z"},{"@type":["BlogPosting","Thing"],"mainEntityOfPage":{"@id":"/story/k', n,
+              '"},"name":"Story"},{"@type":"Person","url":"/news/p"},',
+              '{"@type":"Article","url":"https://other.example.org/news/x"}]}</script></head><body>',
+              '<nav><a href="/news/nav', n, '">Nav</a></nav><div class="wide news"><a href="/news/a', n,
+              '">Read</a><a href="/about/', n, '">Press note</a><a href="/about/plain">Contact</a><a href="/news/a', n,
+              '">Again</a></div><p><a href="/article/b', n, '">Story</a><a href="/article/file.pdf">File</a></p>',
+              '<div class="card"><a href="/2024-05-01-Viatris-', n, '">V</a></div><a href="/press-release/d', n,
+              '">x</a><article><a href="/news/c', n, '">Lead</a><a href="/list/', n, '?page=2">Next news</a></article>',
+              '<p><a href="?o=20">Older</a> <a href="?cat=', n, '">Category</a></p><p>', safe, '</p></body></html>') AS html,
+       safe, text, item_day
+FROM (SELECT *, CAST(doc_id AS STRING) AS n, CAST(doc_id % 4 AS INT) AS kind,
+             DATE '2024-02-15' - CAST(doc_id % 40 AS INT) AS item_day,
+             CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'https://newsroom.viatris.com' WHEN 1 THEN 'https://www.ceva.com'
+                  ELSE concat('https://', source, '.example.com') END AS root,
+             replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe
+      FROM {documents}) AS d""",
     # a model's replies: bare JSON, JSON inside prose, blanks, and broken text
     "replies": """
 SELECT CAST(d.doc_id AS STRING) AS article_id,
@@ -171,9 +198,35 @@ SELECT CAST(d.doc_id AS STRING) AS article_id,
 FROM {documents} AS d""",
 }
 
+# Page snapshots of the listings and of three of the articles each one links to.
+SNAPSHOTS = """
+SELECT url, html AS text, 200 AS status_code, 'text/html; charset=UTF-8' AS content_type,
+       CAST(doc_id % 8 AS DOUBLE) AS response_time_ms FROM {listings}
+UNION ALL
+SELECT concat(root, part, n), concat('<html><head><title>Page of ', part, n,
+              '</title></head><body><article><p>', safe, '</p></article></body></html>'),
+       CASE WHEN doc_id % 11 = 0 THEN 404 ELSE 200 END,
+       CASE WHEN doc_id % 13 = 0 THEN 'application/pdf' ELSE 'Text/HTML' END, CAST(doc_id % 16 AS DOUBLE)
+FROM (SELECT *, '/news/j' AS part FROM {listings} UNION ALL SELECT *, '/story/k' AS part FROM {listings}
+      UNION ALL SELECT *, '/news/c' AS part FROM {listings}) AS l"""
+
+ADAPTERS["snapshots"] = SNAPSHOTS.replace("{listings}", f"({ADAPTERS['listings']}) AS base")
+
+# One robots file per site of the pages, in three variants.
+ADAPTERS["robots_files"] = """
+SELECT site, length(site) % 3 AS variant,
+       CASE length(site) % 3
+            WHEN 0 THEN concat('User-agent: *', chr(10), 'Disallow: /en/', chr(10), 'Allow: /en/1', chr(10),
+                               'Disallow: /*?page=', chr(10), '# note')
+            WHEN 1 THEN concat('User-agent: OtherBot', chr(10), 'User-agent: NewsBot # ours', chr(10), 'Disallow: /fr/*5$',
+                               chr(10), 'Allow: /', chr(10), chr(10), 'User-agent: *', chr(10), 'Disallow: /')
+            ELSE concat('Disallow: /', chr(10), 'User-agent: *', chr(10), 'Disallow:', chr(10), 'Crawl-delay: 5', chr(10),
+                        'Disallow: /de') END AS text
+FROM (SELECT DISTINCT {SITE} AS site FROM {pages}) AS p"""
+
 # What differs between the two SQL dialects.
-SPARK = {"TS": "TIMESTAMP_NTZ", "SHA": "sha2", "BITS": ", 256", "ALL": "", "WS": r"\\s+"}
-DUCKDB = {"TS": "TIMESTAMP", "SHA": "sha256", "BITS": "", "ALL": ", 'g'", "WS": r"\s+"}
+SPARK = {"TS": "TIMESTAMP_NTZ", "SHA": "sha2", "BITS": ", 256", "ALL": "", "WS": r"\\s+", "SITE": "regexp_extract(url, '^[a-z]+://[^/?#]*', 0)"}
+DUCKDB = {"TS": "TIMESTAMP", "SHA": "sha256", "BITS": "", "ALL": ", 'g'", "WS": r"\s+", "SITE": "regexp_extract(url, '^[a-z]+://[^/?#]*')"}
 
 _TABLE = re.compile(r"\{(documents|labels|events|customer|pages)\}")
 
