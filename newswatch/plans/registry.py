@@ -7,14 +7,16 @@ from newswatch.plans import (
     oracle_load,
     oracle_pages,
     oracle_reporting,
+    oracle_streaming,
     queries_enrich,
     queries_load,
     queries_pages,
     queries_reporting,
+    queries_streaming,
 )
 
-QUERY_MODULES = [queries_reporting, queries_load, queries_enrich, queries_pages]
-ORACLE_MODULES = [oracle_reporting, oracle_load, oracle_enrich, oracle_pages]
+QUERY_MODULES = [queries_reporting, queries_load, queries_enrich, queries_pages, queries_streaming]
+ORACLE_MODULES = [oracle_reporting, oracle_load, oracle_enrich, oracle_pages, oracle_streaming]
 
 
 def queries() -> dict:

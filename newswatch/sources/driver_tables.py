@@ -249,6 +249,19 @@ def adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql))
 
 
+def adapted_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One adapter over the driver's Parquet files read as a file stream."""
+
+    def stream(table: str) -> DataFrame:
+        schema = read(spark, sf_dir, table).schema
+        # a pattern, because a file stream takes folders and patterns
+        return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
+
+    sql = adapter_sql(name, SPARK)
+    sources = {table: stream(table) for table in set(_TABLE.findall(sql))}
+    return spark.sql(sql, **sources)
+
+
 def oracle_cte(name: str) -> str:
     """The adapter as a named part of an oracle query's WITH clause."""
     return f"{name} AS ({_TABLE.sub(lambda m: m.group(1), adapter_sql(name, DUCKDB))})"
