@@ -165,13 +165,21 @@ def candidates(pages: DataFrame, html: DataFrame, max_items: int = MAX_ITEMS) ->
     """Article urls to visit per source, in order.
 
     ``pages``: (company_name, source_url, page_no, page_url), the listing pages
-    of each source. ``html``: (url, html) of those pages, one row per url.
-    Embedded items come first; a page's links count only while the list is
-    shorter than ``max_items``. That list only grows, so a running sum decides.
+    of each source. ``html``: (url, html) of those pages. Embedded items come
+    first; a page's links count only while the list is shorter than
+    ``max_items``. That list only grows, so running counts decide. The counts,
+    the grouping and the later ranking share one shuffle by source; a source
+    has at most 1 + MAX_EXTRA_PAGES pages.
     """
     source = ["company_name", "source_url"]
     items = jsonld_items(html).select(
-        "page_url", F.lit(0).alias("kind"), F.col("n.block").alias("a"), F.col("n.node").alias("b"), "url", "title", "published_date"
+        "page_url",
+        F.lit(0).alias("kind"),
+        F.col("n.block").alias("a"),
+        F.col("n.node").alias("b"),
+        "url",
+        "title",
+        "published_date",
     )
     links = listing_links(page_anchors(html), max_items).select(
         "page_url",
@@ -182,16 +190,12 @@ def candidates(pages: DataFrame, html: DataFrame, max_items: int = MAX_ITEMS) ->
         F.lit(None).cast("string").alias("title"),
         F.lit(None).cast("timestamp_ntz").alias("published_date"),
     )
-    found = pages.join(items.unionByName(links), "page_url")
-    per_page = found.groupBy(*source, "page_no").agg(
-        F.count_if(F.col("kind") == 0).alias("n_items"), F.count_if(F.col("kind") == 1).alias("n_links")
-    )
-    # at most 1 + MAX_EXTRA_PAGES rows per source
-    upto = Window.partitionBy(*source).orderBy("page_no")
-    before = upto.rowsBetween(Window.unboundedPreceding, -1)
-    filled = F.sum("n_items").over(upto) + F.coalesce(F.sum("n_links").over(before), F.lit(0))
-    open_pages = per_page.select(*source, "page_no", (filled < max_items).alias("links_count"))
-    rows = found.join(open_pages, [*source, "page_no"]).where((F.col("kind") == 0) | F.col("links_count"))
+    # a page shared by sources may be in ``html`` more than once
+    found = pages.join(items.dropDuplicates(["page_url", "a", "b"]).unionByName(links), "page_url")
+    by_page = Window.partitionBy(*source).orderBy("page_no")
+    n_items = F.count_if(F.col("kind") == 0).over(by_page.rangeBetween(Window.unboundedPreceding, 0))
+    n_links = F.count_if(F.col("kind") == 1).over(by_page.rangeBetween(Window.unboundedPreceding, -1))
+    rows = found.withColumn("filled", n_items + n_links).where((F.col("kind") == 0) | (F.col("filled") < max_items))
     order = F.struct("page_no", "kind", "a", "b")
     item_order = F.when(F.col("kind") == 0, order)
     return rows.groupBy(*source, "url").agg(
@@ -232,7 +236,7 @@ def listing_visits(sources: DataFrame, snapshots: DataFrame, rules: DataFrame) -
         {"attempted": F.col("attempted") & F.col("allowed"), "fetched": F.col("fetched") & F.col("allowed")}
     ).drop("allowed")
     opened = first.where("fetched")
-    more = extra_listing_pages(page_anchors(opened.select("url", F.col("text").alias("html")).dropDuplicates(["url"])))
+    more = extra_listing_pages(page_anchors(opened.select("url", F.col("text").alias("html"))))
     pages = opened.select("company_name", "source_url").join(
         more.select(F.col("page_url").alias("source_url"), F.col("n").alias("page_no"), "url"), "source_url"
     )

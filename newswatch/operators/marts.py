@@ -72,7 +72,7 @@ def kpi_overview(news: DataFrame, as_of) -> DataFrame:
 
 
 def tag_counts(news: DataFrame, as_of) -> DataFrame:
-    """Counts by (sector, company, topic, signal): the shared first step of the company mart.
+    """Counts by (sector, company, topic, signal): the first step of the company mart.
 
     Partial sums before the shuffle reduce a company that holds a third of all
     rows to a few rows per task.
@@ -96,44 +96,61 @@ def tag_counts(news: DataFrame, as_of) -> DataFrame:
     )
 
 
-def company_rollup(counts: DataFrame) -> DataFrame:
-    """Per-company counts and scores from ``tag_counts`` (A3)."""
-    return counts.groupBy("industry_sector", "company_name").agg(
-        F.sum("n_week").alias("articles_last_7_days"),
-        F.sum("n_month").alias("articles_last_30_days"),
-        F.sum("n_6_months").alias("articles_last_6_months"),
-        F.sum("n_all").alias("articles_all"),
-        F.sum("n_high").alias("high_priority_last_30_days"),
-        round_half_up(F.sum("score_sum") / F.sum("n_month")).alias("avg_priority_last_30_days"),
-        F.max("score_max").alias("top_priority_score_30_days"),
-        F.max("latest").alias("latest_published_date"),
+def company_totals(counts: DataFrame) -> DataFrame:
+    """Totals per company and, within the month, per topic and per signal (A3, A4).
+
+    ``kind`` is company, topic or signal; ``tag`` the topic or signal. The few
+    rows of ``tag_counts`` are tripled and summed, so one scan serves all three.
+    """
+    kinds = F.array(
+        F.struct(F.lit("company").alias("kind"), F.lit(None).cast("string").alias("tag")),
+        F.struct(F.lit("topic").alias("kind"), F.col("key_topic").alias("tag")),
+        F.struct(F.lit("signal").alias("kind"), F.col("signal_type").alias("tag")),
+    )
+    sums = [F.sum(c).alias(c) for c in ("n_all", "n_week", "n_month", "n_6_months", "n_high", "score_sum")]
+    return (
+        counts.select("*", F.inline(kinds))
+        .groupBy("industry_sector", "company_name", "kind", "tag")
+        .agg(*sums, F.max("score_max").alias("score_max"), F.max("latest").alias("latest"))
+        .where("kind = 'company' OR n_month > 0")
     )
 
 
-def leading_tag(counts: DataFrame, tag: str) -> DataFrame:
-    """Each company's most frequent tag of the month, ties by name.
+def leading_tag(kind: str) -> Column:
+    """Aggregate over ``company_totals``: the most frequent tag, ties by name.
 
-    The top-ranked row is taken by an aggregate, not by sorting a company's rows.
+    The top-ranked row is taken by an aggregate; no company's rows are sorted.
     """
-    per_tag = (
-        counts.where("n_month > 0")
-        .groupBy("industry_sector", "company_name", tag)
-        .agg(F.sum("n_month").alias("article_count"))
-    )
-    best = F.min_by(tag, F.struct(-F.col("article_count"), F.col(tag)))
-    return per_tag.groupBy("industry_sector", "company_name").agg(best.alias(tag))
+    rank = F.when(F.col("kind") == kind, F.struct(-F.col("n_month"), F.col("tag")))
+    return F.min_by("tag", rank)
 
 
 def company_intelligence(news: DataFrame, as_of) -> DataFrame:
-    """Company mart: rollup, leading topic and signal, attention level."""
-    counts = tag_counts(news, as_of)
-    keys = ["industry_sector", "company_name"]
-    joined = (
-        company_rollup(counts)
-        .join(leading_tag(counts, "key_topic"), keys, "left")
-        .join(leading_tag(counts, "signal_type"), keys, "left")
+    """Company mart: rollup, leading topic and signal, attention level.
+
+    A company without name or sector has no leading tags, as NULL keys match
+    nothing.
+    """
+    totals = company_totals(tag_counts(news, as_of))
+    company = F.col("kind") == "company"
+
+    def total(name: str) -> Column:
+        return F.sum(F.when(company, F.col(name)))
+
+    named = F.col("industry_sector").isNotNull() & F.col("company_name").isNotNull()
+    mart = totals.groupBy("industry_sector", "company_name").agg(
+        total("n_week").alias("articles_last_7_days"),
+        total("n_month").alias("articles_last_30_days"),
+        total("n_6_months").alias("articles_last_6_months"),
+        total("n_all").alias("articles_all"),
+        total("n_high").alias("high_priority_last_30_days"),
+        round_half_up(F.try_divide(total("score_sum"), total("n_month"))).alias("avg_priority_last_30_days"),
+        F.max(F.when(company, F.col("score_max"))).alias("top_priority_score_30_days"),
+        leading_tag("topic").alias("topic"),
+        leading_tag("signal").alias("signal"),
+        F.max("latest").alias("latest_published_date"),
     )
-    return joined.select(
+    return mart.select(
         "industry_sector",
         "company_name",
         "articles_last_7_days",
@@ -143,8 +160,8 @@ def company_intelligence(news: DataFrame, as_of) -> DataFrame:
         "high_priority_last_30_days",
         "avg_priority_last_30_days",
         "top_priority_score_30_days",
-        F.coalesce("key_topic", F.lit(NO_TOPIC)).alias("leading_topic_last_30_days"),
-        F.coalesce("signal_type", F.lit(NO_SIGNAL)).alias("leading_signal_last_30_days"),
+        F.coalesce(F.when(named, F.col("topic")), F.lit(NO_TOPIC)).alias("leading_topic_last_30_days"),
+        F.coalesce(F.when(named, F.col("signal")), F.lit(NO_SIGNAL)).alias("leading_signal_last_30_days"),
         "latest_published_date",
         attention_level(F.col("high_priority_last_30_days")).alias("attention_level"),
     )

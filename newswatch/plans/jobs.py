@@ -49,7 +49,7 @@ def crawl(
     )
     opened = listings.where("fetched")
     pages = opened.select("company_name", "source_url", "page_no", F.col("url").alias("page_url"))
-    html = opened.select("url", F.col("text").alias("html")).dropDuplicates(["url"])
+    html = opened.select("url", F.col("text").alias("html"))
     config = registry.active_config(wh["load_config"], flow_name)
     cutoffs = delta_cutoffs(wh, config, flow_name)
     chosen = extract.chosen_candidates(extract.candidates(pages, html, max_items), cutoffs, max_items)

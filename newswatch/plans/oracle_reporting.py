@@ -111,6 +111,12 @@ FROM news GROUP BY industry_sector, company_name)""",
             _ranked("topic"),
             _ranked("signal"),
         ),
+        "company_tag_counts": with_news(
+            f"""SELECT industry_sector, company_name, 'topic' AS kind, topic AS tag, count(*) AS n_month
+FROM tagged WHERE {MONTH} GROUP BY ALL
+UNION ALL SELECT industry_sector, company_name, 'signal', signal, count(*) FROM tagged WHERE {MONTH} GROUP BY ALL""",
+            TAGGED,
+        ),
         "topic_signal_heatmap": with_news(
             f"""SELECT industry_sector, topic AS key_topic, signal AS signal_type, count(*) AS articles_last_30_days,
        count(*) FILTER (WHERE priority_score >= 75) AS high_priority_last_30_days,

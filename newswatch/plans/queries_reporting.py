@@ -53,6 +53,11 @@ def queries() -> dict:
     out |= {
         "kpi_overview": _mart(marts.kpi_overview),
         "company_intelligence": _mart(marts.company_intelligence),
+        "company_tag_counts": _mart(
+            lambda n, as_of: marts.company_totals(marts.tag_counts(n, as_of))
+            .where("kind <> 'company'")
+            .select("industry_sector", "company_name", "kind", "tag", "n_month")
+        ),
         "topic_signal_heatmap": _mart(marts.topic_signal_heatmap),
         "executive_feed": _mart(marts.executive_feed),
         "sectors": _mart(feed.sectors),
