@@ -14,7 +14,8 @@ from newswatch.functions.text import parse_utc, squash_spaces, strip
 MAX_TEXT_CHARS = 50_000
 MIN_TEXT_CHARS = 50
 DATE_SCAN_CHARS = 200_000
-ISO_DATE = r"(?iU)\b20\d{2}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})?)?\b"
+# the word boundary is looked for after the literal, which is far cheaper to find
+ISO_DATE = r"(?iU)20(?<=\b20)\d{2}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})?)?\b"
 DATE_METAS = [("property", "article:published_time"), ("name", "pubdate"), ("itemprop", "datePublished")]
 JSONLD_TYPE = "application/ld+json"
 # ---- end of fixed values ----
@@ -24,10 +25,13 @@ ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp":
 
 _ENTITY_NAMES = "|".join(ENTITIES)
 _OTHER_ENTITY = rf"&(?!(?:{_ENTITY_NAMES});)[a-zA-Z#]"
-_COMMENTS = r"(?is)(<script\b.*?</script\s*>)|<!--.*?-->"
-_CODE = r"(?is)<(script|style)(?=[\s/>])[^>]*>.*?</\1\s*>"
-_ASIDES = r"(?is)<(nav|header|footer|aside)(?=[\s/>])[^>]*>.*?</\1\s*>"
-_LEFTOVER = r"(?i)</?(?:script|style|nav|header|footer|aside|template|rt|rp|textarea|title|iframe|xmp)(?=[\s/>])|<!\[CDATA"
+# comments, and elements whose content does not count; the look-ahead skips fast over text
+_CODE = r"(?is)(?=<[!s])(?:<!--.*?-->|<(script|style)(?=[\s/>])[^>]*>.*?</\1\s*>)"
+_ASIDES = r"(?is)(?=<[nhfa])<(nav|header|footer|aside)(?=[\s/>])[^>]*>.*?</\1\s*>"
+# three article tags or more
+_MANY_ARTICLES = r"(?is)</?article(?=[\s/>]).*</?article(?=[\s/>]).*</?article(?=[\s/>])"
+_LEFTOVER = r"(?i)</?(?:script|style|nav|header|footer|aside)(?=[\s/>])"
+_SPECIAL = r"(?i)</?(?:template|rt|rp|textarea|title|iframe|noembed|noframes|xmp|plaintext)(?=[\s/>])|<!\[CDATA"
 _ARTICLE = r"(?is)<article(?:\s[^>]*)?(?<!/)>(.*?)</article\s*>"
 # a tag whose quotes are still open at its first '>'
 _BROKEN_TAG = r"""<[a-zA-Z][^<>"']*(?:(?:"[^"<>]*"|'[^'<>]*')[^<>"']*)*(?:"[^"<>]*|'[^'<>]*)>"""
@@ -60,14 +64,9 @@ def decoded(c: Column) -> Column:
     return F.coalesce(_unescape(F.when(odd, c)), decode_entities(c))
 
 
-def without_comments(html: Column) -> Column:
-    """Comments removed, scripts left as they are."""
-    return F.regexp_replace(html, _COMMENTS, "$1")
-
-
 def without_code(html: Column) -> Column:
     """Comments, scripts and styles replaced by a blank."""
-    return F.regexp_replace(without_comments(html), _CODE, " ")
+    return F.regexp_replace(html, _CODE, " ")
 
 
 def article_segment(body: Column) -> Column:
@@ -85,20 +84,19 @@ def segment_text(segment: Column) -> Column:
     return squash_spaces(decode_entities(F.regexp_replace(segment, _TAG, " ")))
 
 
-def is_plain(code_free: Column, body: Column, segment: Column, text: Column) -> Column:
+def is_plain(html: Column, body: Column, segment: Column, text: Column) -> Column:
     """Whether patterns alone give the article text.
 
-    Not when there is no article element, when dropped elements are unbalanced
-    or cross it, when a tag or an entity is unusual, when an end tag would
-    close the article early, or when the text is short.
+    Not when there is no article element or more than one, when dropped
+    elements are unbalanced, when a tag or an entity is unusual, when an end
+    tag would close the article early, or when the text is short.
     """
-    article_tag = F.lit("(?i)</?article")
     return (
         (segment != "")
         & (F.length(text) >= dom.MIN_BODY_CHARS)
-        & (F.regexp_count(code_free, article_tag) == F.regexp_count(body, article_tag))
-        & ~segment.rlike("(?i)<article")
+        & ~html.rlike(_MANY_ARTICLES)
         & ~body.rlike(_LEFTOVER)
+        & ~segment.rlike(_SPECIAL)
         & ~body.rlike(_BROKEN_TAG)
         & ~segment.rlike(_OTHER_ENTITY)
         & closes_itself(segment)
@@ -133,7 +131,7 @@ def with_main_text(pages: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFra
     steps = pages.withColumn("body", without_asides(F.col("code_free")))
     steps = steps.withColumn("segment", article_segment(F.col("body")))
     steps = steps.withColumn("plain", segment_text(F.col("segment")))
-    plain = is_plain(F.col("code_free"), F.col("body"), F.col("segment"), F.col("plain"))
+    plain = is_plain(F.col("html"), F.col("body"), F.col("segment"), F.col("plain"))
     steps = steps.withColumn("plain", F.when(plain, F.col("plain"))).drop("body", "segment")
     steps = steps.withColumn("read", _tree_text(F.when(F.col("plain").isNull(), F.col("html"))))
     text = F.coalesce(F.col("plain"), squash_spaces(F.col("read")))
@@ -176,14 +174,13 @@ def page_date(head: Column, html: Column) -> Column:
     opening = F.regexp_extract(time, r"(?s)^<[^>]*>", 0)
     shown = F.regexp_replace(time, _TAG, "")
     candidates.append(F.coalesce(F.nullif(attribute(opening, "content"), F.lit("")), shown))
-    return first_date([*candidates, F.substring(html, 1, DATE_SCAN_CHARS)])
+    return F.coalesce(first_date(candidates), first_date([F.substring(html, 1, DATE_SCAN_CHARS)]))
 
 
 def jsonld_texts(html: Column) -> Column:
-    """Texts of the embedded JSON-LD scripts in order."""
+    """Texts of the embedded JSON-LD scripts in order; comments and other scripts are passed over."""
     kind = JSONLD_TYPE.replace("+", r"\+")
-    pattern = (
-        rf"""(?s)<(?i:script)\s(?:[^>]*\s)?(?i:type)\s*=\s*(?:"{kind}"|'{kind}'|{kind}(?=[\s>]))[^>]*>"""
-        r"(.*?)</(?i:script)\s*>"
-    )
-    return F.regexp_extract_all(without_comments(html), F.lit(pattern), F.lit(1))
+    typed = rf"""(?i:type)\s*=\s*(?:"{kind}"|'{kind}'|{kind}(?=[\s>]))"""
+    script = rf"<(?i:script)\s(?:[^>]*\s)?{typed}[^>]*>(.*?)</(?i:script)\s*>"
+    pattern = rf"(?s)(?=<[!sS])(?:<!--.*?-->|{script}|<(?i:script)(?=[\s>]).*?</(?i:script)\s*>)"
+    return F.filter(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda t: t != "")

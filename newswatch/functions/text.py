@@ -65,7 +65,8 @@ IMPACT_CHARS = 260
 
 # Unicode white space as regular expressions over text usually understand it:
 # the White_Space property plus the four ASCII separators.
-SPACE = r"(?U)[\s\x1c-\x1f]"
+SPACE_CLASS = r"\s\x1c-\x1f"
+SPACE = f"(?U)[{SPACE_CLASS}]"
 _ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(?::\d{2}){1,2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -78,12 +79,12 @@ def first_match(rules, otherwise) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE.replace('(?U)', '')}+$", "")
+    return F.regexp_replace(c, f"(?U)^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
 
 
 def squash_spaces(c: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(c, rf"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def blank_to_null(c: Column) -> Column:

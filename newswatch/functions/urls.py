@@ -100,7 +100,8 @@ def resolve(base: Column, href: Column) -> Column:
     """The absolute url of a link (H5). Python joins only what is not plainly absolute or rooted."""
     rooted = href.rlike(_CLEAN_ROOTED) & ~href.contains("/.")
     native = F.when(href.rlike(_CLEAN_ABSOLUTE), href).when(rooted, F.concat(site(base), href))
-    return F.coalesce(native, _urljoin(base, F.when(native.isNull(), href)))
+    odd = native.isNull()
+    return F.coalesce(native, _urljoin(F.when(odd, base), F.when(odd, href)))
 
 
 def normalize(base: Column, href: Column) -> Column:

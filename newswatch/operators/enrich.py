@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newswatch.functions.text import (
     IMPACT_CHARS,
+    SPACE_CLASS,
     SUMMARY_CHARS,
     blank_to_null,
     content_hash,
@@ -52,8 +53,8 @@ def cleaned(articles: DataFrame) -> DataFrame:
 
 
 def structured_summary(company: Column, title: Column, content: Column) -> dict[str, Column]:
-    """Rule-based summary fields over squashed text."""
-    text = squash_spaces(F.concat(company, F.lit(". "), title, F.lit(". "), content))
+    """Rule-based summary fields; all three inputs are squashed already."""
+    text = F.trim(F.concat(company, F.lit(". "), title, F.lit(". "), content))
     topic = topic_class(text)
     return {
         "article_summary": extractive_summary(content, SUMMARY_CHARS),
@@ -67,7 +68,7 @@ def structured_summary(company: Column, title: Column, content: Column) -> dict[
 def with_structured_summary(clean: DataFrame) -> DataFrame:
     """``structured_summary`` as columns of ``cleaned`` rows, body kept."""
     return clean.withColumns(
-        structured_summary(F.coalesce("company_name", F.lit("None")), F.col("title"), F.col("content"))
+        structured_summary(squash_spaces(F.coalesce("company_name", F.lit("None"))), F.col("title"), F.col("content"))
     )
 
 
@@ -178,7 +179,8 @@ def enrich(
     """
     rows = articles if company is None else articles.where(F.upper("company_name") == company.strip().upper())
     rows = rows if limit is None else rows.limit(limit)
-    clean = with_structured_summary(cleaned(rows).where("content <> ''"))
+    # tested on the raw body: a filter on the cleaned one would clean it twice
+    clean = with_structured_summary(cleaned(rows.where(F.col("article_content").rlike(f"(?U)[^{SPACE_CLASS}]"))))
     if summarizer is not None:
         clean = clean.withColumn("prompt", prompt(F.col("company_name"), F.col("title"), F.col("content")))
     narrow = clean.select(
@@ -196,7 +198,7 @@ def enrich(
         )
     else:
         done = _from_replies(due, summarizer, target_model or model_tag("custom", "summarizer"))
-    return done.where("article_summary <> ''").select(
+    return done.select(
         F.col("id").alias("article_id"),
         "company_name",
         "url",
@@ -224,4 +226,4 @@ def _from_replies(due: DataFrame, summarizer: Summarizer, tag: str) -> DataFrame
             "summary_status": F.when(ok, F.lit("ai")).otherwise(F.lit("fallback")),
             "error_message": F.when(~ok, error),
         }
-    )
+    ).where("article_summary <> ''")

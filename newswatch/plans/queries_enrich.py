@@ -7,12 +7,25 @@ from pyspark.sql import functions as F
 
 from newswatch.functions.text import content_hash, extractive_summary, geography, squash_spaces, topic_class
 from newswatch.operators import enrich
-from newswatch.plans.queries_load import Inputs, on_inputs
+from newswatch.plans.queries_load import Inputs
+from newswatch.session import spread
 from newswatch.sources.driver_tables import AS_OF
 
 MODEL = "local:model:v1"
 
 
+class TextInputs(Inputs):
+    """Inputs whose articles use all cores: these queries read every text."""
+
+    def __init__(self, spark, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self.articles = spread(self._read("articles"), "id")
+
+
+def on_texts(fn):
+    return lambda spark, sf_dir: fn(TextInputs(spark, sf_dir))
+
+
 def full_text(t: Inputs) -> DataFrame:
     text = F.concat("company_name", F.lit(". "), "title", F.lit(". "), "article_content")
     return t.articles.select("id", squash_spaces(text).alias("text"))
@@ -44,4 +57,4 @@ def queries() -> dict:
         ),
         "enrich_batch": lambda t: enrich.enrich(t.articles, t.summary_hashes, AS_OF),
     }
-    return {name: on_inputs(fn) for name, fn in recipes.items()}
+    return {name: on_texts(fn) for name, fn in recipes.items()}
