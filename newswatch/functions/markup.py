@@ -58,6 +58,12 @@ def _tree_text(pages: pd.Series) -> pd.Series:
     return pages.map(lambda html: dom.article_text(html) if isinstance(html, str) else None)
 
 
+# Keeps later filters above the step, so that no page is parsed once for the
+# filter and once more for the column.
+_unescape = _unescape.asNondeterministic()
+_tree_text = _tree_text.asNondeterministic()
+
+
 def decoded(c: Column) -> Column:
     """Text with all entities decoded; Python sees only texts with uncommon ones."""
     odd = c.rlike(_OTHER_ENTITY)

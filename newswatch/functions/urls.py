@@ -96,6 +96,10 @@ def _urljoin(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
     return pd.Series([join(b, h) if isinstance(h, str) else None for b, h in zip(bases, hrefs, strict=True)], dtype=object)
 
 
+# keeps filters on the result above it: no link is resolved twice
+_urljoin = _urljoin.asNondeterministic()
+
+
 def resolve(base: Column, href: Column) -> Column:
     """The absolute url of a link (H5). Python joins only what is not plainly absolute or rooted."""
     rooted = href.rlike(_CLEAN_ROOTED) & ~href.contains("/.")

@@ -31,3 +31,6 @@ def oracle_sql() -> dict[str, str]:
     for module in ORACLE_MODULES:
         out |= module.oracle()
     return out
+
+
+ARTICLES_PER_SF = 100_000  # rows of the documents table per scale factor
