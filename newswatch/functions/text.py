@@ -67,7 +67,7 @@ IMPACT_CHARS = 260
 # the White_Space property plus the four ASCII separators.
 SPACE_CLASS = r"\s\x1c-\x1f"
 SPACE = f"(?U)[{SPACE_CLASS}]"
-_ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(?::\d{2}){1,2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})$"
+_ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})$"
 
 
 def first_match(rules, otherwise) -> Column:
@@ -140,7 +140,8 @@ def parse_utc(c: Column) -> Column:
     time zone.
     """
     full = F.regexp_replace(strip(c), r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00Z")
-    zoned = F.regexp_replace(full, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)$", "$1Z")
+    timed = F.regexp_replace(full, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?![:\d])", "$1:00")
+    zoned = F.regexp_replace(timed, r"^(.{10}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)$", "$1Z")
     return utc_ntz(F.try_to_timestamp(F.regexp_extract(zoned, _ISO_ZONED, 0)))
 
 
