@@ -56,7 +56,7 @@ def config_seed(raw: DataFrame) -> DataFrame:
 
 def settings_seed(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object as (param_name, param_value, description) rows."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "map<string,string>", {"allowSingleQuotes": "false"})
     notes = F.create_map(*[F.lit(x) for pair in SETTING_NOTES.items() for x in pair])
     rows = text.select(F.explode(entries).alias("param_name", "param_value"))
