@@ -91,11 +91,16 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 def append(df: DataFrame, database: str, name: str) -> None:
     """Add rows to a stored table (M1, M6, M7)."""
-    rows = conform(df, name)
-    if name in PARTITIONED:
-        # few, large files: rows of one sector are spread over tasks by url
-        rows = rows.repartition(F.col(PARTITIONED[name]), F.pmod(F.xxhash64("url"), F.lit(64)))
-    rows.write.insertInto(f"{database}.{name}")
+    balanced(conform(df, name), name).write.insertInto(f"{database}.{name}")
+
+
+def balanced(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a partitioned table gathered by sector for few, even files.
+
+    Rebalancing splits a sector that holds a third of all rows over as many
+    tasks as its size asks for, and joins small ones.
+    """
+    return rows.hint("rebalance", PARTITIONED[name]) if name in PARTITIONED else rows
 
 
 def replace(df: DataFrame, database: str, name: str) -> None:
@@ -118,5 +123,5 @@ def replace_sectors(df: DataFrame, database: str, name: str, path: str) -> None:
     """
     spark = df.sparkSession
     conform(df, name).write.mode("overwrite").parquet(path)
-    staged = spark.read.parquet(path)
+    staged = balanced(spark.read.parquet(path), name)
     staged.write.option("partitionOverwriteMode", "dynamic").insertInto(f"{database}.{name}", overwrite=True)

@@ -255,7 +255,8 @@ def adapted_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     def stream(table: str) -> DataFrame:
         schema = read(spark, sf_dir, table).schema
         # a pattern, because a file stream takes folders and patterns
-        return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
+        # and a bound on what one micro-batch holds
+        return spark.readStream.schema(schema).option("maxBytesPerTrigger", 4 * 1024**3).parquet(f"{sf_dir}/{table}.parque[t]")
 
     sql = adapter_sql(name, SPARK)
     sources = {table: stream(table) for table in set(_TABLE.findall(sql))}

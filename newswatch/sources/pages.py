@@ -1,4 +1,8 @@
-"""Stored page snapshots in place of page fetches."""
+"""Stored page snapshots in place of page fetches.
+
+A snapshot table has one row per url. Stored bucketed by url, it is joined
+without moving page texts.
+"""
 
 from __future__ import annotations
 
