@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -15,7 +16,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 def spark():
     session = build_session(
         "newswatch-tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-        spark__driver__memory="8g",
+        spark__driver__memory="8g", spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="newswatch-warehouse-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
