@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 # ---- fixed values ----
@@ -22,6 +23,19 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 HIDDEN = {"script", "style", "template", "rt", "rp"}
 
 
+REFERENCE = re.compile(r"&([a-zA-Z][-.a-zA-Z0-9]*);?|(&#(?:[0-9]+|[xX][0-9a-fA-F]+);?)")
+
+
+def entity(name: str) -> str:
+    """The character of an entity in text; an unknown one stays, without a semicolon."""
+    return html5.get(f"{name};", f"&{name}")
+
+
+def decode(text: str) -> str:
+    """Text with its entities as characters, by the rules for text between tags."""
+    return REFERENCE.sub(lambda m: entity(m[1]) if m[1] else unescape(m[2]), text)
+
+
 class Node:
     __slots__ = ("tag", "attrs", "parent", "parts")
 
@@ -93,7 +107,7 @@ class Page(HTMLParser):
             parts.append(data)
 
     def handle_entityref(self, name):
-        self.handle_data(unescape(f"&{name};"))
+        self.handle_data(entity(name))
 
     def handle_charref(self, name):
         self.handle_data(unescape(f"&#{name};"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import unescape
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +49,13 @@ def decode_entities(c: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    from html import unescape
+def _decode_text(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: dom.decode(t) if isinstance(t, str) else None)
+
 
-    return texts.map(lambda t: unescape(t) if isinstance(t, str) else None)
+@F.pandas_udf(StringType())
+def _decode_value(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unescape(v) if isinstance(v, str) else None)
 
 
 @F.pandas_udf(StringType())
@@ -60,14 +65,15 @@ def _tree_text(pages: pd.Series) -> pd.Series:
 
 # Keeps later filters above the step, so that no page is parsed once for the
 # filter and once more for the column.
-_unescape = _unescape.asNondeterministic()
+_decode_text = _decode_text.asNondeterministic()
+_decode_value = _decode_value.asNondeterministic()
 _tree_text = _tree_text.asNondeterministic()
 
 
-def decoded(c: Column) -> Column:
-    """Text with all entities decoded; Python sees only texts with uncommon ones."""
-    odd = c.rlike(_OTHER_ENTITY)
-    return F.coalesce(_unescape(F.when(odd, c)), decode_entities(c))
+def decoded(c: Column, value: bool = False) -> Column:
+    """A text, or an attribute value, with all entities decoded; Python sees only those with uncommon ones."""
+    odd = F.when(c.rlike(_OTHER_ENTITY), c)
+    return F.coalesce(_decode_value(odd) if value else _decode_text(odd), decode_entities(c))
 
 
 def without_code(html: Column) -> Column:
@@ -162,7 +168,7 @@ def page_title(head: Column) -> Column:
     """The title element when it holds text only, else the og:title, of code-free source (H2)."""
     inner = F.regexp_extract(head, r"(?is)<title(?=[\s>])[^>]*>(.*?)</title\s*>", 1)
     title = F.when(~inner.rlike("<[a-zA-Z/!]"), F.nullif(strip(decoded(inner)), F.lit("")))
-    shared = F.nullif(strip(decoded(meta_content(head, "property", "og:title"))), F.lit(""))
+    shared = F.nullif(strip(decoded(meta_content(head, "property", "og:title"), value=True)), F.lit(""))
     return F.coalesce(title, shared)
 
 

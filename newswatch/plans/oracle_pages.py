@@ -8,8 +8,9 @@ SITE = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
 
 
 def decoded(text: str) -> str:
+    # an entity cut off before its semicolon counts too, when nothing that could belong to its name follows
     for name, char in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")]:
-        text = f"replace({text}, '&{name};', '{char}')"
+        text = rf"regexp_replace({text}, '&{name}(?:;|([^-.a-zA-Z0-9&;])|$)', '{char}\1', 'g')"
     return text
 
 

@@ -118,6 +118,14 @@ def test_page_dates(spark):
     assert [g[1] for g in got] == [day for _, day in DATE_CASES]
 
 
+def test_cut_off_and_unknown_entities(spark):
+    title = "<title>A&amp&lt;&am</title>"
+    body = f"<article>B&amp <i>C&foo; D&amp-x &#65;&eacute</i> {LONG}</article>"
+    got = all_fields(spark, [title + body])[0]
+    assert got[0] == "A&<&am"
+    assert got[2] == f"B& C&foo D&amp-x Aé {LONG}".strip()
+
+
 def test_titles(spark):
     shared = '<title></title><meta property="og:title" content=" Shared &eacute; ">'
     got = all_fields(spark, ["<title> A &amp; B </title>", shared, "<svg></svg><p>none</p>"])
