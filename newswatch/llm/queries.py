@@ -6,14 +6,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newswatch.llm import packing, token_output
+from newswatch.llm import chat_tree, license_scan, packing, quality_rules, token_output, warc
 from newswatch.llm.common import table
 
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
 WORD_VOCABULARY = 49_408
 END = 2  # the id appended to each document, as the contract fixes it
 
 
+def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one made of control strings, emitted as prefix trees and read back."""
+    rows = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for k, r in enumerate(("user", "assistant"))]
+    made = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(made)
+    tokenizer = public_tokenizers.path(BYTE_TOKENIZER)
+    return chat_tree.read_conversations(chat_tree.format_conversations(turns, tokenizer), tokenizer)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to archives and read back with segments joined."""
+    path = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.captures(warc.whole_records(warc.read_segments(spark, path)))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document by a classifier trained on the spot."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.summary(license_scan.scan(docs, license_scan.train(docs)))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the verdict of every document, cutoffs chosen on the labels."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every document, one per sequence."""
     sequences = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END)
@@ -29,6 +58,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_chat_tree": op1_chat_tree,
+        "op4_warc": op4_warc,
+        "op5_license_scan": op5_license_scan,
+        "op6_quality_rules": op6_quality_rules,
         "op7_packing": op7_packing,
         "op10_token_output": op10_token_output,
     }
