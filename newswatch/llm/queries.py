@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newswatch.llm import chat_tree, license_scan, packing, quality_rules, token_output, warc
+from newswatch.llm import chat_tree, decontaminate, license_scan, ngram_join, packing, quality_rules, token_output, warc
 from newswatch.llm.common import table
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,16 @@ def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.read_conversations(chat_tree.format_conversations(turns, tokenizer), tokenizer)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every document."""
+    return ngram_join.classes(ngram_join.join(table(spark, sf_dir, "documents")))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item it holds, by BM25 retrieval and verified overlap."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per page, written to archives and read back with segments joined."""
     path = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -59,6 +69,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_chat_tree": op1_chat_tree,
+        "op2_ngram_join": op2_ngram_join,
+        "op3_decontaminate": op3_decontaminate,
         "op4_warc": op4_warc,
         "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
