@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newswatch.llm import chat_tree, decontaminate, license_scan, ngram_join, packing, quality_rules, token_output, warc
+from newswatch.llm import chat_tree, decontaminate, html_extract, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_output, warc
 from newswatch.llm.common import table
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +59,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(sequences)
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 400-byte strings met twice or more cover in every document."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bit-packed ids of every document in ascending order, read back from the files."""
     docs = table(spark, sf_dir, "documents")
@@ -75,6 +85,8 @@ def queries() -> dict:
         "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
         "op7_packing": op7_packing,
+        "op8_html_extract": op8_html_extract,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_token_output": op10_token_output,
     }
 
