@@ -15,7 +15,8 @@ Size: the items of one index are collected only up to `most_bytes` of text; a la
 is split by item into as many indexes (each with statistics of its own) that read the documents
 in turn. Documents are never shuffled.
 
-Defined results: items and documents with a null or empty text match nothing; items of equal
+Defined results: items and documents with a null or empty text and items of fewer than five words
+match nothing; items of equal
 ids are one item in the result; documents of equal ids are one document; a null document id is
 kept as it is; other columns are not read; empty tables give no rows.
 """
@@ -36,6 +37,7 @@ from newswatch.llm.common import batches, bytes_of, text_of, written
 HITS = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
 BLOCK = 2  # items of a block: so few that the bound of a passage is close to its best score
 K1, B = 1.2, 0.75
+LEAST_WORDS = 5  # of an item; fewer are met by chance
 # Upper-case letters to lower case, ASCII punctuation to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not (48 <= c <= 57 or 97 <= c <= 122) else c for c in range(256))
 
@@ -65,7 +67,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]]):
         split = [words_of(t) for _, t in items]
-        keep = [k for k, w in enumerate(split) if w]
+        keep = [k for k, w in enumerate(split) if len(w) >= LEAST_WORDS]
         self.ids = [items[k][0] for k in keep]
         self.parts = [question_and_answer(items[k][1]) for k in keep]
         split = [split[k] for k in keep]

@@ -7,7 +7,8 @@ rejection above the rule's share of the risk, k or fewer rejections had a probab
 most the corrected level: P(Binomial(n, risk / rules) <= k) <= level / (strata * rules * cutoffs)
 (Bonferroni over everything tested, so the cutoffs may be chosen by the same labels). Of the
 safe cutoffs the one with the best balance is taken, a lost good document weighing as much as
-`worth` caught bad ones; a rule without one rejects nothing in that stratum. So with probability 1 - level, no stratum loses more than `risk` of its good documents.
+`worth` caught bad ones; a rule without one rejects nothing in that stratum. So with
+probability 1 - level, no stratum loses more than `risk` of its good documents.
 
 The holdout counts are sums over all labelled documents; the table of tests has one row per
 stratum, rule and cutoff.
