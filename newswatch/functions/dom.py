@@ -135,11 +135,109 @@ def article_text(html: str) -> str | None:
     return text or None
 
 
+# What the quick link reader takes for granted; any other page goes through the tree.
+_ODD = re.compile(r"<!\[|<\?|<!(?!--|doctype)|<title[^>]*>[^<]*<(?!/title)|</?(?:textarea|plaintext|xmp|iframe|noembed|noframes|noscript)|\x00", re.I)
+_ATTRIBUTES = r"""(?:\s+[a-zA-Z_:@][^\s=<>"'/]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`/]+))?)*"""
+_PIECE = re.compile(
+    rf"""<!--(?P<note>.*?)-->|<!doctype[^>]*>|<(?P<code>script|style)(?P<codeattr>{_ATTRIBUTES})\s*>.*?</(?P=code)\s*>"""
+    rf"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attr>{_ATTRIBUTES})\s*(?P<self>/?)>""",
+    re.I | re.S,
+)
+_ONE = re.compile(r"""([a-zA-Z_:@][^\s=<>"'/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`/]+)))?""")
+
+
+def _value(attributes: str, wanted: str) -> str:
+    """The first attribute of a name, decoded, '' when missing."""
+    for m in _ONE.finditer(attributes):
+        if m[1].lower() == wanted:
+            value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
+            return unescape(value) if "&" in value else value
+    return ""
+
+
+def quick_anchors(html: str) -> list[tuple[int, str, str, int | None]] | None:
+    """``anchors`` without a tree, for pages of ordinary tags; None for any other."""
+    if _ODD.search(html):
+        return None
+    stack: list[tuple[str, int | None, bool]] = []  # tag, best rank down to it, hidden
+    open_tags: dict[str, int] = {}
+    links: list[list] = []  # position, href, texts, rank, place in the stack or None when closed
+    live: list[list] = []
+    at, data = 0, ""
+
+    def flush() -> None:
+        nonlocal data
+        if data:
+            if live and (text := decode(data).strip()):
+                last = max((k for k, e in enumerate(stack) if e[2]), default=-1)
+                for link in live:
+                    if link[4] >= last:
+                        link[2].append(text)
+            data = ""
+
+    for m in _PIECE.finditer(html):
+        between = html[at : m.start()]
+        if "<" in between:
+            return None  # something that looks like a tag but is not one of these
+        data += between
+        at = m.end()
+        tag = m["tag"]
+        if tag is None:
+            if not m[0].startswith("<!") or m["note"] is not None:  # a declaration does not part a text
+                flush()
+            continue
+        tag = tag.lower()
+        if m["end"]:
+            if m["attr"] or m["self"]:
+                return None
+            if open_tags.get(tag):
+                flush()
+                while True:
+                    name = stack.pop()[0]
+                    open_tags[name] -= 1
+                    if name == tag:
+                        break
+                live = [x for x in live if x[4] < len(stack)]
+            continue
+        flush()
+        rank = stack[-1][1] if stack else None
+        attr = m["attr"]
+        if tag == "a":
+            href = _value(attr, "href") if attr else ""
+            if href:
+                links.append([len(links), href, [], rank, len(stack)])
+                live.append(links[-1])
+        if tag in VOID:
+            continue
+        own = [] if rank is None else [rank]
+        if tag == "article":
+            own.append(0)
+        if attr and "class" in attr.lower():
+            names = _value(attr, "class").split()
+            own += [i for i, name in enumerate(LISTING_CLASSES, 1) if name in names]
+        if m["self"]:
+            live = [x for x in live if x[4] < len(stack)] if tag == "a" else live
+            continue
+        stack.append((tag, min(own, default=None), tag in HIDDEN))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+    if "<" in html[at:]:
+        return None
+    data += html[at:]
+    flush()
+    return [(n, href, " ".join(texts), rank) for n, href, texts, rank, _ in links]
+
+
 def anchors(html: str) -> list[tuple[int, str, str, int | None]]:
     """(position, href, text, rank of the best enclosing listing container) of all links (H4).
 
     Rank 0 is an article element, 1 to 8 a listing class, None no container.
     """
+    found = quick_anchors(html)
+    return tree_anchors(html) if found is None else found
+
+
+def tree_anchors(html: str) -> list[tuple[int, str, str, int | None]]:
+    """``anchors`` by the element tree."""
     found = []
     for position, node in enumerate(n for n in Page(html).elements if n.tag == "a" and n.attrs.get("href")):
         rank = None

@@ -121,7 +121,7 @@ def closes_itself(segment: Column) -> Column:
     ends = F.array_distinct(F.filter(tags, lambda t: t.startswith("</")))
 
     def stays_open(end: Column) -> Column:
-        start = F.concat(F.lit("<"), F.substring(end, 3, 100))
+        start = F.concat(F.lit("<"), F.substr(end, F.lit(3)))
         # open elements of this name so far; -1 for good once an end had none
         depth = F.aggregate(
             tags,

@@ -23,14 +23,21 @@ from newswatch.functions.text import (
 
 # ---- fixed values ----
 FALLBACK_MODEL = "fallback-extractive-v1"
-PROMPT_VERSION = "bw-v3"
 PROMPT_CONTENT_CHARS = 6000
 REPLY_FIELDS = ["article_summary", "key_topic", "business_impact", "geography", "signal_type"]
+TOPIC_LABELS = ["regulatory", "clinical", "partnership", "manufacturing", "financial", "m&a", "product", "corporate"]
+SIGNAL_LABELS = [
+    "approval", "trial-readout", "partnership", "plant-expansion", "earnings", "leadership-change", "launch", "acquisition"
+]
 # ---- end of fixed values ----
 
+PROMPT_VERSION = "nw-v1"
 INSTRUCTIONS = (
-    "Summarise the article below for a business reader. Answer with one JSON object with the keys "
-    "article_summary, key_topic, business_impact, geography and signal_type; use null where nothing fits."
+    "Summarise the article below for a business reader in two to four plain sentences. Answer with one JSON object "
+    "with the keys article_summary, key_topic, business_impact, geography and signal_type; use null where nothing fits. "
+    f"key_topic is one of: {', '.join(TOPIC_LABELS)}. "
+    f"signal_type is a label like: {', '.join(SIGNAL_LABELS)}. "
+    "business_impact is one short sentence, geography a country or region."
 )
 
 Summarizer = Callable[[Sequence[str]], Sequence[str]]

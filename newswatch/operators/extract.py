@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from newswatch.functions import dom
 from newswatch.functions.markup import jsonld_texts, page_date, page_title, with_main_text, without_code
@@ -35,7 +37,11 @@ ADDRESS_SELECTORS = [
 ]
 # ---- end of fixed values ----
 
-GRAPH_DEPTH = 4  # levels of nested item graphs that are read
+GRAPH_DEPTH = 2  # levels of nested item graphs read by expressions; texts with more go to a reader without limit
+ITEM = (
+    "`@type` string, mainEntityOfPage string, url string, headline string, name string, "
+    "datePublished string, dateCreated string"
+)
 _CONTAINERS = 1 + len(dom.LISTING_CLASSES)
 
 
@@ -112,6 +118,26 @@ def extra_listing_pages(anchors: DataFrame, max_pages: int = MAX_EXTRA_PAGES) ->
     return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_pages).select("page_url", "n", "url")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _all_nodes(texts: pd.Series) -> pd.Series:
+    """The objects of JSON texts and the nodes of their graphs, however deep, in order."""
+
+    def nodes(text: str) -> list[str] | None:
+        try:
+            value = json.loads(text)
+        except (ValueError, RecursionError):
+            return None
+        found, waiting = [], list(reversed(value)) if isinstance(value, list) else [value]
+        while waiting:
+            node = waiting.pop()
+            found.append(node if isinstance(node, str) else json.dumps(node, ensure_ascii=False))
+            graph = node.get("@graph") if isinstance(node, dict) else None
+            waiting.extend(reversed(graph) if isinstance(graph, list) else ())
+        return found
+
+    return texts.map(lambda t: nodes(t) if isinstance(t, str) else None)
+
+
 def _get(obj: Column, key: str) -> Column:
     """A filled field of a JSON object's text; '' and missing are NULL."""
     return F.nullif(F.get_json_object(obj, f"$['{key}']"), F.lit(""))
@@ -135,38 +161,50 @@ def jsonld_items(pages: DataFrame) -> DataFrame:
     """Article items of embedded JSON-LD: (page_url, n, url, title, published_date) (H3).
 
     A script holds one object, a list, or a graph. Items of another host are left out.
+    Graphs nested deeper than expressions unfold go to a reader; a node's fields are parsed once.
     """
     blocks = pages.select(F.col("url").alias("page_url"), F.posexplode(jsonld_texts(F.col("html"))).alias("block", "json"))
     valid = blocks.where(F.try_parse_json(F.col("json")).isNotNull())
     text = F.ltrim(F.col("json"))
+    levels = (F.length(text) - F.length(F.replace(text, F.lit('"@graph"'), F.lit("")))) / len('"@graph"')
+    deep = levels > GRAPH_DEPTH
     objects = F.when(
         text.startswith("["), F.flatten(F.transform(_elements(text), lambda o: _with_graph(o)))
     ).otherwise(_with_graph(text))
-    nodes = valid.select("page_url", "block", F.posexplode(objects).alias("node", "obj"))
-    kind = _get(F.col("obj"), "@type")
+    read = valid.withColumn("deep", _all_nodes(F.when(deep, F.col("json"))))
+    nodes = read.select(
+        "page_url", "block", F.posexplode(F.coalesce("deep", F.when(~deep, objects))).alias("node", "obj")
+    ).select("page_url", "block", "node", F.from_json("obj", ITEM, {"allowSingleQuotes": "false"}).alias("obj"))
+
+    def field(name: str) -> Column:
+        return F.nullif(F.col(f"obj.`{name}`"), F.lit(""))
+
+    kind = field("@type")
     first_kind = F.when(kind.startswith("["), F.try_element_at(_elements(kind), F.lit(1))).otherwise(kind)
-    page = _get(F.col("obj"), "mainEntityOfPage")
+    page = field("mainEntityOfPage")
     inner = F.when(page.startswith("{"), F.coalesce(_get(page, "@id"), _get(page, "url")))
-    link = F.coalesce(_get(F.col("obj"), "url"), inner)
+    link = F.coalesce(field("url"), inner)
     items = nodes.where(F.lower(first_kind).isin(ITEM_TYPES)).select(
         "page_url",
         "block",
         "node",
         F.when(~link.rlike(r"^[\[{]"), resolve(F.col("page_url"), link)).alias("url"),
-        F.coalesce(_get(F.col("obj"), "headline"), _get(F.col("obj"), "name")).alias("title"),
-        parse_utc(F.coalesce(_get(F.col("obj"), "datePublished"), _get(F.col("obj"), "dateCreated"))).alias("published_date"),
+        F.coalesce(field("headline"), field("name")).alias("title"),
+        parse_utc(F.coalesce(field("datePublished"), field("dateCreated"))).alias("published_date"),
     )
     same_host = items.where(host(F.col("url")) == host(F.col("page_url")))
     order = F.struct("block", "node")
     return same_host.select("page_url", order.alias("n"), "url", "title", "published_date")
 
 
-def candidates(pages: DataFrame, html: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+def candidates(
+    pages: DataFrame, html: DataFrame, max_items: int = MAX_ITEMS, anchors: DataFrame | None = None
+) -> DataFrame:
     """Article urls to visit per source, in order.
 
     ``pages``: (company_name, source_url, page_no, page_url), the listing pages
-    of each source. ``html``: (url, html) of those pages. Embedded items come
-    first; a page's links count only while the list is shorter than
+    of each source. ``html``: (url, html) of those pages; ``anchors``: their links,
+    if they have been read already. Embedded items come first; a page's links count only while the list is shorter than
     ``max_items``. That list only grows, so running counts decide. The counts,
     the grouping and the later ranking share one shuffle by source; a source
     has at most 1 + MAX_EXTRA_PAGES pages.
@@ -181,7 +219,7 @@ def candidates(pages: DataFrame, html: DataFrame, max_items: int = MAX_ITEMS) ->
         "title",
         "published_date",
     )
-    links = listing_links(page_anchors(html), max_items).select(
+    links = listing_links(page_anchors(html) if anchors is None else anchors, max_items).select(
         "page_url",
         F.lit(1).alias("kind"),
         F.lit(0).alias("a"),
@@ -230,17 +268,29 @@ def listing_visits(sources: DataFrame, snapshots: DataFrame, rules: DataFrame) -
     A source its robots rules forbid is a failed row without an attempt. Robots
     rules are asked for listing urls only.
     """
+    first = first_visits(sources, snapshots, rules)
+    opened = first.where("fetched")
+    anchors = page_anchors(opened.select("url", F.col("text").alias("html")))
+    return first.unionByName(extra_visits(first, anchors, snapshots))
+
+
+def first_visits(sources: DataFrame, snapshots: DataFrame, rules: DataFrame) -> DataFrame:
+    """Page 0 of every source."""
     asked = fetch_decisions(sources.select("company_name", F.col("url"), F.col("url").alias("source_url")), rules)
     first = _visit(asked.withColumn("page_no", F.lit(0)), snapshots, "listing")
-    first = first.withColumns(
+    return first.withColumns(
         {"attempted": F.col("attempted") & F.col("allowed"), "fetched": F.col("fetched") & F.col("allowed")}
     ).drop("allowed")
+
+
+def extra_visits(first: DataFrame, anchors: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Further listing pages that the links of the first ones name (H7)."""
     opened = first.where("fetched")
-    more = extra_listing_pages(page_anchors(opened.select("url", F.col("text").alias("html"))))
+    more = extra_listing_pages(anchors)
     pages = opened.select("company_name", "source_url").join(
         more.select(F.col("page_url").alias("source_url"), F.col("n").alias("page_no"), "url"), "source_url"
     )
-    return first.unionByName(_visit(pages, snapshots, "extra").select(*first.columns))
+    return _visit(pages, snapshots, "extra").select(*first.columns)
 
 
 def article_visits(chosen: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -46,8 +46,19 @@ CONTEXT_COLUMNS = [
     "signal_type",
     "url",
 ]
+# wording of the answer without a model
+HEADING = "Here is the latest view for {} in {}."
+ALL_COMPANIES = "all companies"
+NOTHING_FOUND = "I do not see any articles for {} in {}."
+SELECTED_COMPANIES = "the selected companies"
+QUESTION = "Question asked: {}"
+ARTICLE_COUNT = " article(s)"
+SUMMARY_LINE = "\n  Summary: "
+IMPACT_LINE = "\n  Why it matters: "
+MORE_LINE = ("\n  ... plus ", " more article(s).")
 # ---- end of fixed values ----
 
+
 def feed_order() -> list[Column]:
     """Score, then date with undated rows last, then company; the url settles ties."""
     return [F.desc("priority_score"), F.desc_nulls_last("published_date"), F.asc("company_name"), F.asc("url")]
@@ -192,8 +203,8 @@ def chat_digest(rows: DataFrame) -> DataFrame:
         return F.concat(
             F.lit("\n- "),
             item["line"],
-            F.when(item["summary"] != "", F.concat(F.lit("\n  Summary: "), item["summary"])).otherwise(""),
-            F.when(item["impact"] != "", F.concat(F.lit("\n  Why it matters: "), item["impact"])).otherwise(""),
+            F.when(item["summary"] != "", F.concat(F.lit(SUMMARY_LINE), item["summary"])).otherwise(""),
+            F.when(item["impact"] != "", F.concat(F.lit(IMPACT_LINE), item["impact"])).otherwise(""),
         )
 
     more = F.col("article_count") - DIGEST_ARTICLES
@@ -201,13 +212,31 @@ def chat_digest(rows: DataFrame) -> DataFrame:
         F.col("company_name"),
         F.lit(": "),
         F.col("article_count").cast("string"),
-        F.lit(" article(s)"),
+        F.lit(ARTICLE_COUNT),
         F.array_join(F.transform("firsts", text), ""),
-        F.when(more > 0, F.concat(F.lit("\n  ... plus "), more.cast("string"), F.lit(" more article(s)."))).otherwise(""),
+        F.when(more > 0, F.concat(F.lit(MORE_LINE[0]), more.cast("string"), F.lit(MORE_LINE[1]))).otherwise(""),
     )
     return grouped.select("company_name", "article_count", body.alias("digest")).orderBy("company_name")
 
 
+def chat_answer(rows: DataFrame, question: str, company: str | None = None, period: str | None = DEFAULT_PERIOD) -> DataFrame:
+    """The answer text built from the feed alone: heading, one part per company, the question.
+
+    One row, also for an empty feed. The feed is limited, so its companies are few.
+    """
+    where = PERIOD_LABELS[known_period(period)].lower()
+    parts = F.array_sort(F.collect_list(F.struct("company_name", "digest")))
+    joined = chat_digest(rows).agg(parts.alias("parts"))
+    heading = HEADING.format(company or ALL_COMPANIES, where)
+    body = F.array_join(F.transform("parts", lambda p: F.concat(p["digest"], F.lit("\n\n"))), "")
+    asked = (question or "").strip()
+    text = F.rtrim(F.concat(F.lit(f"{heading}\n\n"), body)) if not asked else F.concat(
+        F.lit(f"{heading}\n\n"), body, F.lit(QUESTION.format(asked))
+    )
+    nothing = NOTHING_FOUND.format(company or SELECTED_COMPANIES, where)
+    return joined.select(F.when(F.size("parts") == 0, F.lit(nothing)).otherwise(F.regexp_replace(text, r"\s+$", "")).alias("answer"))
+
+
 def valid_choice(choices: DataFrame, wanted: str | None) -> str:
     """The wanted value when it is offered, else ALL (F12). Looks up one value, collects no list."""
     wanted = wanted or "ALL"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newswatch.functions.text import HIGH_PRIORITY, moment
 from newswatch.operators import marts
-from newswatch.operators.warehouse import export_view, news_window, since, top_news
+from newswatch.operators.warehouse import TOP_MONTH_SCORE, TOP_WEEK_SCORE, export_view, news_window, since, top_news
 
 # ---- fixed values: row colour per company ----
 COMPANY_COLORS = {
@@ -147,8 +147,8 @@ def sheet_counts(news: DataFrame, as_of) -> DataFrame:
     """Rows of each news sheet, from one scan (M9's returned counts)."""
     score = F.col("priority_score")
     conditions = {
-        "top_week": since(as_of, "week") & (score >= 72),
-        "top_month": since(as_of, "month") & (score >= 75),
+        "top_week": since(as_of, "week") & (score >= TOP_WEEK_SCORE),
+        "top_month": since(as_of, "month") & (score >= TOP_MONTH_SCORE),
         "news_week": since(as_of, "week"),
         "news_month": since(as_of, "month"),
         "news_6_months": since(as_of, "6_months"),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newswatch.functions.text import strip
 from newswatch.operators import enrich as enrichment
 from newswatch.operators import extract, load, report, robots, tables, warehouse
 from newswatch.operators.validate import MIN_TITLE_LENGTH, validate
@@ -42,21 +43,31 @@ def crawl(
     wh: Warehouse, snapshots: DataFrame, robots_files: DataFrame, flow_name: str, user_agent: str, fetched_at,
     max_items: int = extract.MAX_ITEMS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Records and fetch log of all sources from stored pages."""
+    """Records and fetch log of all sources from stored pages.
+
+    Pages are looked up once per kind of visit, links are read once per page.
+    """
     sources = registry.source_urls(wh["load_sources"])
-    listings = written(
-        extract.listing_visits(sources, snapshots, robots.site_rules(robots_files, user_agent)), "listings"
-    )
+    first = written(extract.first_visits(sources, snapshots, robots.site_rules(robots_files, user_agent)), "listings")
+    anchors = written(_anchors(first), "anchors")
+    extra = written(extract.extra_visits(first, anchors, snapshots), "extra-listings")
+    anchors = anchors.unionByName(written(_anchors(extra), "extra-anchors"))
+    listings = first.unionByName(extra)
     opened = listings.where("fetched")
     pages = opened.select("company_name", "source_url", "page_no", F.col("url").alias("page_url"))
     html = opened.select("url", F.col("text").alias("html"))
     config = registry.active_config(wh["load_config"], flow_name)
     cutoffs = delta_cutoffs(wh, config, flow_name)
-    chosen = extract.chosen_candidates(extract.candidates(pages, html, max_items), cutoffs, max_items)
+    chosen = extract.chosen_candidates(extract.candidates(pages, html, max_items, anchors), cutoffs, max_items)
     articles = written(extract.article_visits(chosen, snapshots), "articles")
     return extract.records(articles, fetched_at), extract.visit_log(listings, articles)
 
 
+def _anchors(visits: DataFrame) -> DataFrame:
+    opened = visits.where("fetched").select("url", F.col("text").alias("html"))
+    return extract.page_anchors(opened.dropDuplicates(["url"]))
+
+
 def delta_cutoffs(wh: Warehouse, config: DataFrame, flow_name: str) -> DataFrame:
     """Cutoffs of the companies that load incrementally."""
     delta = config.where("load_type = 'DELTA'").select("company_name")
@@ -69,11 +80,13 @@ def load_run(
 ) -> int:
     """One load of all companies at once (C2); 1 when a company failed, else 0.
 
-    The validated, DELTA-filtered rows and the rows to insert are written once
-    and read by every later step.
+    All decisions are made on rows without bodies, which are written once. Bodies move
+    once, to the rows that are inserted. A run that is repeated after it stopped
+    between its appends adds what is missing and nothing twice: articles and
+    bodies are each compared with what is stored of them.
     """
     config = registry.active_config(wh["load_config"], flow_name)
-    validated = written(validate(records, min_title_length), "validated")
+    validated = written(validate(records.drop("article_content"), min_title_length), "validated")
     due = load.delta_filter(
         load.with_load_config(validated, config), load.last_success(wh["load_monitoring"], flow_name)
     )
@@ -84,15 +97,22 @@ def load_run(
     rows = written(load.monitoring_rows(metrics, config, inserted, flow_name, run_id, ended_at), "monitoring")
 
     stamped = new.withColumn("s_created_ts", F.coalesce(load.parse_utc(F.col("s_created_ts")), load.moment(ended_at)))
-    wh.append("article_bodies", new.where("article_content IS NOT NULL"))
+    keys = ["industry_sector", "company_name", "url"]
+    bodies = new.join(_bodies(records), ["url", "seq"]).where("article_content IS NOT NULL")
+    wh.append("article_bodies", bodies.join(wh["article_bodies"].select(*keys), keys, "left_anti"))
     wh.append("articles", stamped)
     wh.append("load_monitoring", rows)
     wh.replace("load_config", load.switch_to_delta(wh["load_config"], rows.where("run_status = 'SUCCESS'"), flow_name))
     if export_path:
-        export_csv(validated, export_path)
+        export_csv(validated.join(_bodies(records), ["url", "seq"], "left"), export_path)
     return 0 if rows.where("run_status <> 'SUCCESS'").isEmpty() else 1
 
 
+def _bodies(records: DataFrame) -> DataFrame:
+    """Bodies by the url as validation writes it and the arrival."""
+    return records.select(strip(F.coalesce("url", F.lit(""))).alias("url"), "seq", "article_content")
+
+
 def export_csv(validated: DataFrame, path: str) -> None:
     """Validated rows as CSV files with a header (M8)."""
     flat = validated.withColumn("seq", F.col("seq").cast("string"))
@@ -127,16 +147,20 @@ def purge_bodies(wh: Warehouse) -> int:
 
 
 def publish(wh: Warehouse, as_of, folder: str, stamp: str) -> dict[str, int]:
-    """All report sheets as datasets, a stamped copy and the latest one; rows per sheet (M9).
+    """All report sheets as datasets under a stamp, which ``latest`` then names; rows per sheet (M9).
 
     The base view is written once and feeds every sheet.
     """
     base = written(warehouse.news_all(wh["articles"], wh["article_summary"], wh["title_exclusion"]), "news")
     counts = {}
     for name, sheet in report.report_sheets(base, as_of).items():
-        archive = f"{folder}/{stamp}/{name}"
-        sheet.write.mode("overwrite").parquet(archive)
-        copy = wh.spark.read.parquet(archive)
-        copy.write.mode("overwrite").parquet(f"{folder}/latest/{name}")
-        counts[name] = copy.count()
+        sheet.write.mode("overwrite").parquet(f"{folder}/{stamp}/{name}")
+        counts[name] = wh.spark.read.parquet(f"{folder}/{stamp}/{name}").count()
+    wh.spark.range(1).select(F.lit(stamp).alias("stamp")).write.mode("overwrite").parquet(f"{folder}/latest")
     return counts
+
+
+def latest_sheet(wh: Warehouse, folder: str, name: str) -> DataFrame:
+    """A sheet of the last publication; ``latest`` names its stamp, so no sheet is stored twice."""
+    stamp = wh.spark.read.parquet(f"{folder}/latest").first().stamp
+    return wh.spark.read.parquet(f"{folder}/{stamp}/{name}")

@@ -171,12 +171,44 @@ LEFT JOIN (SELECT company_name, count(*) AS n FROM fresh GROUP BY company_name)
             LOG,
             METRICS,
         ),
+        "source_seed": with_tables(
+            "load_sources",
+            """SELECT trim(company_name) AS company_name,
+       coalesce(nullif(upper(trim(industry_sector)), ''), 'LIFESCIENCE') AS industry_sector, nullif(trim(source_1), '') AS source_1,
+       nullif(trim(source_2), '') AS source_2, nullif(trim(source_3), '') AS source_3, nullif(trim(source_4), '') AS source_4,
+       nullif(trim(source_5), '') AS source_5 FROM load_sources WHERE trim(company_name) <> ''""",
+        ),
+        "config_seed": with_tables(
+            "load_config",
+            """SELECT trim(flow_name) AS flow_name, trim(company_name) AS company_name, nullif(trim(load_type), '') AS load_type,
+       nullif(trim(active_flag), '') AS active_flag,
+       coalesce(nullif(upper(trim(industry_sector)), ''), 'LIFESCIENCE') AS industry_sector FROM load_config""",
+        ),
+        "settings_seed": with_tables(
+            "scraping_config",
+            """SELECT param_name, param_value, CASE param_name WHEN 'MAX_ITEMS_PER_SOURCE' THEN 'Maximum articles to fetch per source'
+       WHEN 'MIN_TITLE_LENGTH' THEN 'Minimum accepted article title length'
+       WHEN 'EXPORT_RESULTS' THEN 'Whether to export the latest validated CSV' END AS description FROM scraping_config""",
+        ),
+        "exclusion_file": with_tables("exclusions", "SELECT company_name, id, title FROM exclusions"),
+        "export_csv": with_tables(
+            "records", "SELECT company_name, id, url, title, length(article_content) AS body_chars FROM valid", VALID
+        ),
+        "activity_bad_parameters": with_tables(
+            "activity",
+            f"""SELECT activity_id, username FROM activity
+WHERE created_ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY""",
+        ),
+        "report_ordered": with_tables(
+            "monitoring",
+            """SELECT company_name, run_end_ts, CAST(row_number() OVER (ORDER BY run_end_ts DESC, company_name) AS INT) AS place
+FROM daily""",
+            DAY,
+        ),
         "summary_upsert": with_tables(
             "articles summaries",
-            """SELECT article_id, article_summary, summary_status FROM summaries
-WHERE article_id NOT IN (SELECT id FROM recent)
-UNION ALL SELECT id, concat('version 2 of ', title), 'ai' FROM recent""",
-            "recent AS (SELECT * FROM articles WHERE published_date >= TIMESTAMP '2024-01-01 00:00:00')",
+            """SELECT article_id, article_summary, summary_status FROM summaries WHERE article_id NOT IN (SELECT id FROM articles)
+UNION ALL SELECT id, concat('version 2 of ', title), 'ai' FROM articles""",
         ),
         "source_upsert": with_tables(
             "articles load_sources",
@@ -304,11 +336,11 @@ DECIDED = f"""decided AS (SELECT d.request_id AS decided_id, approved, note, sec
             WHEN sector IS NULL THEN 'Invalid industry sector' END AS reject_reason
 FROM (SELECT r.request_id, n % 2 = 0 AS approved, CASE WHEN n % 3 <> 0 THEN 'checked' END AS note,
              CASE WHEN n % 7 = 0 THEN NULL WHEN n % 5 = 1 THEN 'AIR' ELSE st.requested_industry_sector END AS sector
-      FROM (SELECT request_id, CAST(substr(request_id, 4) AS INT) AS n FROM requests) AS r
+      FROM (SELECT request_id, CAST(substr(request_id, 4) AS BIGINT) AS n FROM requests) AS r
       LEFT JOIN stored AS st ON st.request_id = r.request_id) AS d
 LEFT JOIN stored AS s ON s.request_id = d.request_id)"""
 PLACED = """approved AS (SELECT request_id, company_name, known_sector AS sector, source_url,
-       CAST(substr(request_id, 4) AS INT) AS position FROM checked
+       CAST(substr(request_id, 4) AS BIGINT) AS position FROM checked
   WHERE reject_reason IS NULL AND review_status = 'APPROVED'),
 existing AS (SELECT company_name, trim(url) AS url, row_number() OVER (PARTITION BY company_name ORDER BY i) - 1 AS slot
   FROM (SELECT company_name, unnest([source_1, source_2, source_3, source_4, source_5]) AS url, unnest([1, 2, 3, 4, 5]) AS i

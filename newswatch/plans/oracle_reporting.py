@@ -158,7 +158,36 @@ def _feeds() -> dict[str, str]:
         return f"""SELECT {column}, count(*) AS article_count FROM feed WHERE coalesce({column}, '') <> ''
 GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT {n}"""
 
+    digest = """SELECT company_name, count(*) AS article_count,
+       concat(company_name, ': ', count(*), ' article(s)', string_agg(line, '' ORDER BY position),
+              CASE WHEN count(*) > 3 THEN concat(chr(10), '  ... plus ', count(*) - 3, ' more article(s).') ELSE '' END)
+            AS digest
+FROM (SELECT *, CASE WHEN position > 3 THEN '' ELSE concat(chr(10), '- ', day, ' | ', title,
+             CASE WHEN article_summary <> '' THEN concat(chr(10), '  Summary: ', article_summary) ELSE '' END,
+             CASE WHEN business_impact <> '' THEN concat(chr(10), '  Why it matters: ', business_impact) ELSE '' END)
+             END AS line FROM ranked) GROUP BY company_name"""
+    ranked = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY company_name {ORDER}) AS position FROM shown)"
+    linked = """SELECT * EXCLUDE (day, published_date), day AS published_date,
+       CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN url ELSE '' END AS link"""
     return {
+        "chat_answer": with_news(
+            """SELECT concat('Here is the latest view for all companies in this month.', chr(10), chr(10),
+       string_agg(concat(digest, chr(10), chr(10)), '' ORDER BY company_name), 'Question asked: What is new?') AS answer
+FROM digests""",
+            chat,
+            SHOWN,
+            ranked,
+            f"digests AS ({digest})",
+        ),
+        "chat_answer_empty": with_news(
+            """SELECT CASE WHEN count(*) = 0 THEN 'I do not see any articles for NOBODY in last 7 days.' END AS answer
+FROM news WHERE company_name = 'NOBODY'"""
+        ),
+        "dashboard_rows": with_news(
+            f"{linked}, 'BANKING' AS chosen_industry_sector, 'ALL' AS chosen_company, 'ALL' AS chosen_topic FROM shown",
+            _feed(f"{HALF_YEAR} AND industry_sector = 'BANKING'", 200),
+            SHOWN,
+        ),
         "sectors": with_news("SELECT DISTINCT industry_sector FROM news WHERE coalesce(industry_sector, '') <> ''"),
         "companies": with_news(
             f"SELECT DISTINCT company_name FROM news WHERE {HALF_YEAR} AND industry_sector = 'LIFESCIENCE'"
@@ -172,8 +201,7 @@ AND company_name = 'SRC0' AND coalesce(key_topic, '') <> ''"""
         ),
         "feed_ranked": with_news("SELECT * FROM feed", everything),
         "feed_display": with_news(
-            """SELECT * EXCLUDE (day, published_date), day AS published_date,
-       CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN url ELSE '' END AS link FROM shown""",
+            f"{linked} FROM shown",
             everything,
             SHOWN,
         ),
@@ -203,19 +231,7 @@ FROM ({top("company_name", 5)})""",
             chat,
             SHOWN,
         ),
-        "chat_digest": with_news(
-            """SELECT company_name, count(*) AS article_count,
-       concat(company_name, ': ', count(*), ' article(s)', string_agg(line, '' ORDER BY position),
-              CASE WHEN count(*) > 3 THEN concat(chr(10), '  ... plus ', count(*) - 3, ' more article(s).') ELSE '' END)
-            AS digest
-FROM (SELECT *, CASE WHEN position > 3 THEN '' ELSE concat(chr(10), '- ', day, ' | ', title,
-             CASE WHEN article_summary <> '' THEN concat(chr(10), '  Summary: ', article_summary) ELSE '' END,
-             CASE WHEN business_impact <> '' THEN concat(chr(10), '  Why it matters: ', business_impact) ELSE '' END)
-             END AS line FROM ranked) GROUP BY company_name""",
-            chat,
-            SHOWN,
-            f"ranked AS (SELECT *, row_number() OVER (PARTITION BY company_name {ORDER}) AS position FROM shown)",
-        ),
+        "chat_digest": with_news(digest, chat, SHOWN, ranked),
     }
 
 

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newswatch.functions.text import content_hash, extractive_summary, geography, squash_spaces, topic_class
 from newswatch.operators import enrich
 from newswatch.plans.queries_load import Inputs
-from newswatch.session import spread
 from newswatch.sources.driver_tables import AS_OF
 
 MODEL = "local:model:v1"
 
 
-class TextInputs(Inputs):
-    """Inputs whose articles use all cores: these queries read every text."""
-
-    def __init__(self, spark, sf_dir: str):
-        super().__init__(spark, sf_dir)
-        self.articles = spread(self._read("articles"), "id")
-
-
 def on_texts(fn):
-    return lambda spark, sf_dir: fn(TextInputs(spark, sf_dir))
+    return lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
 
 
 def full_text(t: Inputs) -> DataFrame:
@@ -36,6 +29,18 @@ def decisions(t: Inputs, model: str | None) -> DataFrame:
     return enrich.refresh_decisions(hashed, t.summary_hashes, model)
 
 
+def stub_model(prompts):
+    """Replies by the number in the title: JSON, an error, or prose without JSON."""
+    replies = []
+    for text in prompts:
+        number = int(re.search(r"^Title: .*?([0-9]+)$", text, re.MULTILINE)[1])
+        if number % 3 == 1:
+            raise ValueError("no answer")
+        good = f'{{"article_summary": "Model text {number}", "key_topic": "product", "geography": "Europe", "signal_type": "launch"}}'
+        replies.append(good if number % 3 == 0 else "no object here")
+    return replies
+
+
 def queries() -> dict:
     recipes = {
         "extractive_summary": lambda t: t.articles.select(
@@ -55,6 +60,9 @@ def queries() -> dict:
         "prompt_text": lambda t: enrich.cleaned(t.articles).select(
             "id", F.sha2(enrich.prompt(F.col("company_name"), F.col("title"), F.col("content")), 256).alias("prompt_hash")
         ),
+        "enrich_model_batch": lambda t: enrich.enrich(
+            t.articles, t.summary_hashes, AS_OF, stub_model, enrich.model_tag("local", "model", "v1")
+        ),
         "enrich_batch": lambda t: enrich.enrich(t.articles, t.summary_hashes, AS_OF),
     }
     return {name: on_texts(fn) for name, fn in recipes.items()}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newswatch.functions.text import label_from_name, moment, normalize_identifier
 from newswatch.operators import activity, load, monitor, requests, tables
 from newswatch.operators.validate import validate, validation_metrics
-from newswatch.sources import registry, staging
+from newswatch.plans.jobs import export_csv
+from newswatch.session import scratch_path
+from newswatch.sources import registry, seeds, staging
 from newswatch.sources.driver_tables import AS_OF, EVENTS_AS_OF, FLOW, adapted
 
 REPORT_DAY = "2024-01-15"
@@ -69,8 +71,7 @@ def summary_changes(t: Inputs) -> DataFrame:
 
 
 def summary_upsert(t: Inputs) -> DataFrame:
-    recent = t.articles.where("published_date >= TIMESTAMP_NTZ '2024-01-01 00:00:00'").select(F.col("id").alias("article_id"))
-    changes = summary_changes(t).join(recent, "article_id", "left_semi")
+    changes = summary_changes(t)
     target = t.summaries.select("article_id", "article_summary", "summary_status")
     return tables.upsert(target, tables.last_per_key(changes, ["article_id"], "n"), ["article_id"])
 
@@ -126,7 +127,7 @@ def stored_requests(t: Inputs) -> DataFrame:
 
 def decisions(t: Inputs) -> DataFrame:
     """A decision on every request sent in, valid or not."""
-    number = F.substring("request_id", 4, 10).cast("int")
+    number = F.expr("substring(request_id, 4)").cast("bigint")
     return t.requests.select(
         "request_id",
         (number % 2 == 0).alias("approved"),
@@ -152,7 +153,7 @@ def applied(t: Inputs) -> dict[str, DataFrame]:
         "company_name",
         F.col("known_sector").alias("sector"),
         "source_url",
-        F.substring("request_id", 4, 10).cast("int").alias("position"),
+        F.expr("substring(request_id, 4)").cast("bigint").alias("position"),
     )
     return requests.apply_requests(t.load_sources, t.load_config, approved, FLOW, AS_OF)
 
@@ -183,8 +184,60 @@ def recorded(t: Inputs) -> DataFrame:
     return activity.new_activity(events).drop("activity_id", "request_id")
 
 
+def seed_file(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """A table written as a seed CSV with upper-case headings and read back."""
+    path = scratch_path(spark, "seed")
+    table.select(*[F.col(c).alias(c.upper()) for c in table.columns]).write.option("header", True).option("escape", '"').csv(path)
+    return seeds.read_csv(spark, path)
+
+
+def seeded_settings(t: Inputs) -> DataFrame:
+    """The settings table written as one JSON object and read back as a seed."""
+    spark = t.scraping_config.sparkSession
+    path = scratch_path(spark, "settings")
+    entries = F.map_from_entries(F.collect_list(F.struct("param_name", "param_value")))  # one entry per setting
+    t.scraping_config.agg(F.to_json(entries).alias("value")).write.text(path)
+    return seeds.settings_seed(spark, path)
+
+
+def excluded(t: Inputs) -> DataFrame:
+    """The exclusion list written as a CSV file and read back."""
+    spark = t.exclusions.sparkSession
+    path = scratch_path(spark, "exclusions")
+    t.exclusions.select("company_name", "id", "title").write.option("header", True).csv(path)
+    return seeds.exclusion_list(spark, path)
+
+
+def exported_csv(t: Inputs) -> DataFrame:
+    """Validated records exported as CSV and read back."""
+    rows = validate(t.records)
+    path = scratch_path(rows.sparkSession, "export")
+    export_csv(rows, path)
+    back = rows.sparkSession.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select("company_name", "id", "url", "title", F.length("article_content").alias("body_chars"))
+
+
+def activity_with_bad_parameters(t: Inputs) -> DataFrame:
+    """Parameters nobody offers fall back to seven days, all users, all types."""
+    chosen = activity.report_parameters(activity.active_accounts(t.activity, EVENTS_AS_OF, 30), "many", "nobody", "no type")
+    return activity.activity_since(t.activity, EVENTS_AS_OF, *chosen).select("activity_id", "username")
+
+
+def ordered_day(t: Inputs) -> DataFrame:
+    """Report rows with their place in the report's order; a day has a row per company and run."""
+    rows = monitor.ordered_rows(day_rows(t)).withColumn("at", F.monotonically_increasing_id())
+    return rows.select("company_name", "run_end_ts", F.row_number().over(Window.orderBy("at")).alias("place"))
+
+
 def queries() -> dict:
     recipes = {
+        "source_seed": lambda t: seeds.source_seed(seed_file(t.load_sources.sparkSession, t.load_sources)),
+        "config_seed": lambda t: seeds.config_seed(seed_file(t.load_config.sparkSession, t.load_config)),
+        "settings_seed": seeded_settings,
+        "exclusion_file": excluded,
+        "export_csv": exported_csv,
+        "activity_bad_parameters": activity_with_bad_parameters,
+        "report_ordered": ordered_day,
         "source_unpivot": lambda t: registry.source_urls(t.load_sources),
         "load_config_active": lambda t: registry.active_config(t.load_config, FLOW),
         "settings": lambda t: registry.settings(t.scraping_config),

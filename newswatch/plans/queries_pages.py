@@ -9,7 +9,6 @@ from newswatch.functions.markup import page_title, without_code
 from newswatch.functions.urls import normalize
 from newswatch.operators import extract, load, robots
 from newswatch.plans.queries_load import Inputs
-from newswatch.session import spread
 from newswatch.sources.driver_tables import FLOW, adapted, read
 from newswatch.sources.pages import fetch_log
 
@@ -23,8 +22,8 @@ class PageInputs(Inputs):
 
     def __init__(self, spark, sf_dir: str):
         super().__init__(spark, sf_dir)
-        self.pages = spread(read(spark, sf_dir, "pages"), "url")
-        self.listings = spread(adapted(spark, sf_dir, "listings"), "url")
+        self.pages = read(spark, sf_dir, "pages")
+        self.listings = adapted(spark, sf_dir, "listings")
 
 
 def on_pages(fn):

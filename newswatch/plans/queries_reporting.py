@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newswatch.operators import feed, marts, report, warehouse
 from newswatch.sources.driver_tables import AS_OF, adapted
@@ -38,6 +39,24 @@ def _on_chat(fn):
     return lambda spark, sf_dir: fn(feed.chat_feed(news(spark, sf_dir), AS_OF, period="month"))
 
 
+QUESTION = "  What is new?  "
+
+
+def _answer(company: str | None, period: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = feed.chat_feed(news(spark, sf_dir), AS_OF, company=company, period=period)
+        return feed.chat_answer(rows, QUESTION, company, period)
+
+    return query
+
+
+def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's rows with a known sector and an unknown company and topic, which fall back to all."""
+    board = feed.dashboard(news(spark, sf_dir), AS_OF, "BANKING", "NOBODY", "6_months", "no topic")
+    chosen = board["selected"]
+    return board["rows"].select("*", *[F.lit(chosen[k]).alias(f"chosen_{k}") for k in ("industry_sector", "company", "topic")])
+
+
 def _sheet(name: str):
     return lambda spark, sf_dir: report.report_sheets(news(spark, sf_dir), AS_OF)[name]
 
@@ -73,6 +92,9 @@ def queries() -> dict:
         "chat_sources": _on_chat(feed.chat_sources),
         "chat_context": _on_chat(feed.chat_context),
         "chat_digest": _on_chat(feed.chat_digest),
+        "chat_answer": _answer(None, "month"),
+        "chat_answer_empty": _answer("NOBODY", "week"),
+        "dashboard_rows": dashboard_rows,
         "report_overview": _mart(report.report_overview),
         "company_counts": _mart(report.company_counts),
         "topic_counts": _on_news(report.topic_counts),

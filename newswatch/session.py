@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job of this package is written for. No join carries a
 # broadcast hint: Spark broadcasts a side only when its measured size is below
@@ -17,6 +17,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",  # Python workers hold one batch at a time
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -50,12 +52,3 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for one intermediate table."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Put every core to work on an input with fewer splits than cores.
-
-    For text-heavy operators on small files. An input of normal size has more
-    splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from newswatch.functions.text import strip
 from newswatch.operators.load import delta_filter, rows_to_insert, with_load_config
 from newswatch.operators.validate import MIN_TITLE_LENGTH, validate
 
@@ -14,10 +16,12 @@ LOADED = (
     "industry_sector string"
 )
 
+SEEN = "url string"
 
-def stored(spark: SparkSession, path: str) -> DataFrame:
+
+def stored(spark: SparkSession, path: str, schema: str = LOADED) -> DataFrame:
     """The table at a path; a path without data reads as an empty table."""
-    empty = spark.createDataFrame([], LOADED)
+    empty = spark.createDataFrame([], schema)
     try:
         return spark.read.schema(empty.schema).parquet(path)
     except Exception as error:  # noqa: BLE001 - only a missing path is an empty table
@@ -31,11 +35,24 @@ def load_batch(
 ) -> None:
     """One micro-batch through F1, F2 and M1.
 
-    A repeated batch adds nothing: its urls are in the table already.
+    A url belongs to its first valid arrival, of whatever company and batch, also
+    when that one was not due; the urls met so far are kept in a table of their
+    own, so where the stream is cut into batches changes nothing. A repeated batch adds
+    nothing: its rows are in the table, and its urls are noted after them.
     """
-    due = delta_filter(with_load_config(validate(batch, min_title_length), config), cutoffs)
-    new = rows_to_insert(due, stored(batch.sparkSession, path))
-    new.write.mode("append").partitionBy("industry_sector").parquet(path)
+    spark = batch.sparkSession
+    urls = seen_urls(path)
+    valid = validate(batch.drop("article_content"), min_title_length)
+    fresh = valid.join(stored(spark, urls, SEEN), "url", "left_anti")
+    due = delta_filter(with_load_config(fresh, config), cutoffs)
+    new = rows_to_insert(due, stored(spark, path))
+    bodies = batch.select(strip(F.coalesce("url", F.lit(""))).alias("url"), "seq", "article_content")
+    new.join(bodies, ["url", "seq"], "left").write.mode("append").partitionBy("industry_sector").parquet(path)
+    valid.select("url").write.mode("append").parquet(urls)
+
+
+def seen_urls(path: str) -> str:
+    return f"{path.rstrip('/')}-urls"
 
 
 def continuous_load(

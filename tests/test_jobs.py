@@ -91,7 +91,7 @@ def test_the_whole_cycle(spark, wh, tmp_path):
 
     counts = jobs.publish(wh, "2026-04-25 00:00:00", str(tmp_path / "report"), "20260425T000000Z")
     assert counts["news_all"] == 4 and counts["dea_kpis"] == 6 and counts["overview"] == 5
-    assert spark.read.parquet(str(tmp_path / "report/latest/news_all")).count() == 4
+    assert jobs.latest_sheet(wh, str(tmp_path / "report"), "news_all").count() == 4
     assert len(counts) == 15
 
 
@@ -109,7 +109,7 @@ def test_model_hook_replies_errors_and_refresh(spark):
         "id string, company_name string, url string, title string, article_content string",
     )
     tag = enrich.model_tag("local", "m")
-    assert tag == "local:m:bw-v3"
+    assert tag == "local:m:nw-v1"
 
     def summarizer(prompts):
         out = []
