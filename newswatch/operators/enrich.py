@@ -183,9 +183,10 @@ def enrich(
     Everything that needs the body is computed before the join with the stored
     summaries, so bodies never shuffle. ``summarizer`` maps prompts to replies;
     a failure or an unreadable reply falls back to the rules, with the error.
+    ``limit`` takes the first articles by id.
     """
     rows = articles if company is None else articles.where(F.upper("company_name") == company.strip().upper())
-    rows = rows if limit is None else rows.limit(limit)
+    rows = rows if limit is None else rows.orderBy("id").limit(limit)
     # tested on the raw body: a filter on the cleaned one would clean it twice
     clean = with_structured_summary(cleaned(rows.where(F.col("article_content").rlike(f"(?U)[^{SPACE_CLASS}]"))))
     if summarizer is not None:

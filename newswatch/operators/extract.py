@@ -181,8 +181,9 @@ def jsonld_items(pages: DataFrame) -> DataFrame:
 
     kind = field("@type")
     first_kind = F.when(kind.startswith("["), F.try_element_at(_elements(kind), F.lit(1))).otherwise(kind)
-    page = field("mainEntityOfPage")
-    inner = F.when(page.startswith("{"), F.coalesce(_get(page, "@id"), _get(page, "url")))
+    page = F.from_json("obj.mainEntityOfPage", "`@id` string, url string", {"allowSingleQuotes": "false"})
+    nodes = nodes.withColumn("page", page)
+    inner = F.coalesce(F.nullif("page.`@id`", F.lit("")), F.nullif("page.url", F.lit("")))
     link = F.coalesce(field("url"), inner)
     items = nodes.where(F.lower(first_kind).isin(ITEM_TYPES)).select(
         "page_url",

@@ -145,3 +145,26 @@ def test_partial_upsert(spark):
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert shared_dir(spark) == named.rstrip("/")
+
+
+class Interrupted(Warehouse):
+    """Stops at its second append, as if the driver died between bodies and articles."""
+
+    def append(self, name, rows):
+        if name == "articles":
+            raise RuntimeError("stopped")
+        super().append(name, rows)
+
+
+def test_a_load_that_stopped_between_its_appends_is_repeated(spark):
+    tables.create_tables(spark, "stopdb")
+    wh = Warehouse(spark, "stopdb")
+    wh.append("load_sources", spark.createDataFrame([("ACME", "banking", "https://acme.com/")], "company_name string, industry_sector string, source_1 string"))
+    rows, fetched = records(spark, [record(1), record(2)]), log(spark, [("ACME", True, True, True, 8.0)])
+    with pytest.raises(RuntimeError, match="stopped"):
+        jobs.load_run(Interrupted(spark, "stopdb"), rows, fetched, FLOW, "run-1", "2026-04-21 12:00:00")
+    assert (wh["articles"].count(), wh["article_bodies"].count()) == (0, 2)
+    for run in ("run-1", "run-2"):
+        assert jobs.load_run(wh, rows, fetched, FLOW, run, "2026-04-21 12:00:00") == 0
+    assert (wh["articles"].count(), wh["article_bodies"].count()) == (2, 2)
+    assert tables.with_bodies(wh["articles"], wh["article_bodies"]).count() == 2

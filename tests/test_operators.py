@@ -257,3 +257,26 @@ def test_seed_files(spark, tmp_path):
     assert (typed.MAX_WORKERS, typed.EXPORT_RESULTS, typed.LISTING_SLEEP_SEC, typed.MAX_ITEMS_PER_SOURCE) == (3, True, 0.5, 25)
     assert seeds.seed_if_empty(config, config.limit(0)).count() == 1 and seeds.seed_if_empty(config.limit(0), config).count() == 1
     assert seeds.exclusion_list(spark, str(tmp_path / "e.csv")).head().title == "two\nlines"
+
+
+def test_where_a_stream_is_cut_changes_nothing(spark, tmp_path):
+    """A url belongs to its first arrival also when that one was not due and came in an earlier batch."""
+    from newswatch.schemas import RECORD
+    from newswatch.streaming.continuous_load import continuous_load
+
+    def row(company, n, day, title="A title that is long enough"):
+        return (company, f"id{n}", "https://a.com/", f"https://a.com/{n % 3}", title, "body", day, "2026-01-01T00:00:00+00:00", 1.0, n)
+
+    parts = [[row("OLD", 0, "2020-01-01"), row("NEW", 1, None)], [row("NEW", 3, None), row("NEW", 4, None)], [row("NEW", 2, None), row("NEW", 5, None)]]
+    config = spark.createDataFrame([("OLD", "DELTA", "BANKING"), ("NEW", "FULL", "SPACE")], "company_name string, load_type string, industry_sector string")
+    cutoffs = spark.createDataFrame([("OLD", datetime(2025, 1, 1))], "company_name string, last_success timestamp_ntz")
+    found = {}
+    for n_files in (1, 3):
+        folder = tmp_path / f"in{n_files}"
+        for part in ([sum(parts, [])] if n_files == 1 else parts):
+            spark.createDataFrame(part, RECORD).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(spark.read.parquet(str(folder)).schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        out = str(tmp_path / f"out{n_files}")
+        continuous_load(stream, out, f"{out}-checkpoint", config, cutoffs, once=True).awaitTermination()
+        found[n_files] = sorted(r.id for r in spark.read.parquet(out).collect())
+    assert found[1] == found[3] == ["id1", "id2"]

@@ -1,5 +1,6 @@
 """Page extraction on hand-made pages: listing rules, items, dates, main text, records."""
 
+import random
 import re
 from datetime import datetime
 
@@ -263,3 +264,18 @@ def test_reader_anchors():
 def test_jsonld_pattern_skips_other_scripts(spark):
     html = '<script type="text/x">{"@type":"Article"}</script><SCRIPT data-a="1" type="application/ld+json" >{}</SCRIPT>'
     assert one(spark, html).select(markup.jsonld_texts(F.col("html"))).head()[0] == ["{}"]
+
+
+def test_quick_link_reader_equals_the_tree():
+    rnd = random.Random(9)
+    pool = """<a href="/x">|</a>|<a href=y>|<p>|</p>|<div class="news x">|</div>|<article>|</article>|t & u &amp; &copy |<!-- c -->|<br>|<br/>
+        |<script>var a="<a href=1>";</script>|<li class=card>|</li>|<template>|</template>|<a>| text |<b/>|<a href="/q"/>|<img src=x>|&#65;|<rt>|</rt>
+        |<span CLASS="story">|</span>|<A HREF="&lt;z">|</x>|< b|<style>p{}</style>|<title>a</title>|<p title="a>b">|<!doctype html>|<a href="">""".split("|")
+    quick = 0
+    for _ in range(4000):
+        html = "".join(rnd.choice(pool) for _ in range(rnd.randint(1, 14)))
+        found = dom.quick_anchors(html)
+        if found is not None:
+            quick += 1
+            assert found == dom.tree_anchors(html), html
+    assert quick > 2000

@@ -46,3 +46,27 @@ def test_reporting_never_reads_bodies(plans, name):
 def test_marts_read_each_input_once(plans):
     for name in ("company_intelligence", "kpi_overview", "topic_signal_heatmap"):
         assert plans[name].count("FileScan parquet") == 4  # articles, summaries, and the two of the exclusion list
+
+
+def test_embedded_items_are_parsed_once(plans):
+    assert plans["jsonld_items"].count("get_json_object") < 60
+
+
+def test_load_moves_bodies_once(spark, plans):
+    """With broadcasting off, only the join that brings bodies to the inserted rows exchanges them."""
+    from newswatch.operators.validate import validate
+    from newswatch.plans.jobs import _bodies
+    from newswatch.sources.driver_tables import adapted
+
+    records = adapted(spark, "/root/testdata/sf0.001", "records")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        narrow = validate(records.drop("article_content"))
+        joined = narrow.select("url", "seq").join(_bodies(records), ["url", "seq"])
+        decided, moved = (x._jdf.queryExecution().executedPlan().toString() for x in (narrow, joined))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "article_content" not in decided
+    exchanges = [block for block in moved.split("Exchange hashpartitioning")[1:] if "article_content" in block.split("Exchange")[0]]
+    assert len(exchanges) == 1
