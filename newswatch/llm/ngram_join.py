@@ -9,7 +9,7 @@ A document's set is its distinct five-word shingles. Two link when 100 * common
 3. Every set puts its shingles in order of rarity. The first n - ceil(0.75 n) + 1 are its
    prefix; linked sets share a prefix shingle. Sets of equal size and prefix are one group.
 4. Group pairs come from groups that share a prefix shingle, by size and by place of the shingle. First
-   each group is only tried against the smallest of its list and size class, members against their
+   each group is only tried against a few of its list and size class, members against their
    group's first. What these links connect needs no further test, so large groups of near copies
    cost about one test per member. Then every pair of groups or members still in different
    components is tried: no link is lost.
@@ -39,6 +39,7 @@ from newswatch.llm.common import batches, bytes_of, partitions, text_of, written
 from newswatch.llm.components import components
 
 WIDTH = 5  # words of a shingle
+HUBS = 4  # groups of a list that all others are tried against first
 NEED, OF = 75, 100  # linked when OF * common >= NEED * union
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -46,7 +47,7 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 SETS = "doc_id long, n_shingles long, set_id binary"
 DEALT = "bucket int, set_ids binary, sizes binary, counts binary, shingles binary"
 SHARED = "bucket int, set_ids binary, sizes binary, counts binary, shingles binary, rarity binary"
-CANDIDATES = "set_id binary, n long, first long, prefix array<bigint>, shared binary"
+CANDIDATES = "set_id binary, n long, first long, oddity double, prefix array<bigint>, shared binary"
 
 
 class Shingles:
@@ -161,9 +162,9 @@ def _numbered(ids: np.ndarray) -> np.ndarray:
 
 
 def _candidate_sets(docs: DataFrame) -> DataFrame:
-    """set_id, n, first, prefix, shared of the sets that can have a partner.
+    """set_id, n, first, oddity, prefix, shared of the sets that can have a partner.
 
-    `prefix` holds the shared shingles of the prefix in order, `first` the place of the first of
+    `oddity` is the sum of 1 / (number of sets) over the set's shingles. `prefix` holds the shared shingles of the prefix in order, `first` the place of the first of
     them, `shared` all shared shingles, sorted.
     """
     spark = docs.sparkSession
@@ -218,6 +219,7 @@ def _candidate_sets(docs: DataFrame) -> DataFrame:
             number = _numbered(ids)[owner]
             order = np.lexsort((flat, rarity, number))
             number, owner, flat = number[order], owner[order], flat[order]
+            share = np.concatenate([[0.0], np.cumsum(1.0 / rarity[order])])
             cuts = np.flatnonzero(np.diff(number, prepend=-1))
             out = []
             for a, b in zip(cuts, [*cuts[1:], len(number)], strict=True):
@@ -226,9 +228,9 @@ def _candidate_sets(docs: DataFrame) -> DataFrame:
                 left = prefix_length(n) - alone
                 if left > 0:
                     shared = np.sort(flat[a:b])
-                    out.append((ids[owner[a]].tobytes(), n, alone, flat[a : a + left].view(np.int64), shared.tobytes()))
+                    out.append((ids[owner[a]].tobytes(), n, alone, alone + share[b] - share[a], flat[a : a + left].view(np.int64), shared.tobytes()))
             if out:
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
                 for k in range(0, len(out), 500):
                     columns = zip(zip(*out[k : k + 500], strict=True), kinds, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in columns], _names(CANDIDATES))
@@ -276,20 +278,25 @@ def join(docs: DataFrame) -> Joined:
     found = _candidate_sets(docs).join(nodes, "set_id").drop("set_id")
     found = written(found.withColumn("key", F.sha2(F.concat_ws(",", F.col("prefix").cast("array<string>")), 256)), "candidate-sets")
 
-    # Groups: equal size and prefix; the smallest member stands for the group.
-    groups = found.groupBy("n", "key").agg(F.min("node").alias("g"))
+    # Groups: equal size and prefix; the member with the least oddity stands for the group.
+    groups = found.groupBy("n", "key").agg(F.min_by("node", F.struct("oddity", "node")).alias("g"))
     members = written(found.select("node", "n", "key").join(groups, ["n", "key"]).select("node", "g"), "set-groups")
     shown = found.join(members.filter("node = g").select("node"), "node")
     lists = written(
-        shown.select("n", F.col("node").alias("g"), "first", F.posexplode("prefix").alias("at", "shingle")).select(
-            "shingle", "g", "n", (F.col("first") + F.col("at")).alias("at"), F.floor(F.log(F.col("n")) * 7).alias("size_class")
+        shown.select("n", F.col("node").alias("g"), "first", "oddity", F.posexplode("prefix").alias("at", "shingle")).select(
+            "shingle", "g", "n", "first", "oddity", (F.col("first") + F.col("at")).alias("at"), F.floor(F.log(F.col("n")) * 7).alias("size_class")
         ),
         "prefix-lists",
     )
 
-    # First tests: against the smallest group of the list and size class, and of members against their group.
-    hubs = lists.groupBy("shingle", "size_class").agg(F.min("g").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    tried = lists.join(hubs, ["shingle", "size_class"]).filter("g <> hub").select(F.col("g").alias("u"), F.col("hub").alias("v"))
+    # First tests: of every member against a few groups of its list and size class, and against its own group. The
+    # groups with the least oddity are what copies were made of, or next to it.
+    typical = [F.min_by("g", F.struct(F.round("oddity", k).alias("o"), F.xxhash64("g", F.lit(k)))).alias(f"h{k}") for k in range(HUBS)]
+    hubs = lists.groupBy("shingle", "size_class").agg(F.count(F.lit(1)).alias("m"), *typical).filter("m > 1")
+    some = F.when(F.col("m") > HUBS, F.array(*[f"h{k}" for k in range(HUBS)])).otherwise(F.array("h0"))
+    hubs = hubs.select("shingle", "size_class", F.explode(F.array_distinct(some)).alias("hub"))
+    tried = lists.join(hubs, ["shingle", "size_class"]).filter("g <> hub").select("g", "hub").distinct()
+    tried = tried.join(members, "g").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     tried = tried.unionByName(members.filter("node <> g").select(F.col("node").alias("u"), F.col("g").alias("v"))).distinct()
     first = written(_verified(tried, found), "first-links")
 
@@ -300,7 +307,11 @@ def join(docs: DataFrame) -> Joined:
     spans = placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     open_lists = lists.join(spans, "g")
     mixed = open_lists.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("shingle")
-    open_lists = written(open_lists.join(mixed, "shingle"), "open-lists")
+    # With each shingle, those of the prefix before it: a pair is looked at where its first common one is, once.
+    prefixes = found.select(F.col("node").alias("g"), "prefix")
+    open_lists = open_lists.join(mixed, "shingle").join(prefixes, "g")
+    open_lists = open_lists.withColumn("before", F.slice("prefix", F.lit(1), (F.col("at") - F.col("first")).cast("int"))).drop("prefix")
+    open_lists = written(open_lists, "open-lists")
     a, b = open_lists.alias("a"), open_lists.alias("b")
     need = F.expr(f"ceil({NEED} * (a.n + b.n) / {OF + NEED})")
     pairs = a.join(
@@ -309,7 +320,9 @@ def join(docs: DataFrame) -> Joined:
         & (F.col("a.g") < F.col("b.g"))
         & ~((F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low")))
         & (OF * F.least("a.n", "b.n") >= NEED * F.greatest("a.n", "b.n"))
-        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need - F.least("a.at", "b.at")),
+        # Nothing before the first common shingle is common, nor are shingles that a set has alone.
+        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need)
+        & ~F.arrays_overlap("a.before", "b.before"),
     ).select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb"))
     inner = spans.filter("low < high").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
     pairs = pairs.unionByName(inner).distinct()
