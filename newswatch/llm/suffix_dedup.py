@@ -17,6 +17,9 @@ the bytes such strings cover are removed. Matches never cross documents.
 4. A window is the bytes before its first phrase, the interval of its whole phrases and the
    bytes after them. Windows equal in all three are equal strings.
 
+5. Anchors with very many different segments are dealt to shards; of each shard every distinct
+   window goes on as a hash to where it meets those of the other shards.
+
 Defined results: a null or empty text, and any shorter than the window, loses nothing; rows of
 equal doc_id are texts of their own, one result each; a null doc_id is kept; other columns are
 not read; an empty table gives no rows. Cut characters of the kept text are dropped where text
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newswatch.llm.common import batches, bytes_of, text_of, written
+from newswatch.llm.common import batches, bytes_of, partitions, text_of, written
 
 GRAM = 16  # bytes of an anchor string
 PHRASE = 32  # mean bytes of a phrase
@@ -43,7 +46,8 @@ CHUNK = 2 << 20  # bytes of segments merged at a time; a group of one anchor is
 
 RUNS = "digest binary, start int, stop int, anchor long, seen int"
 CUTS = "anchor long, segment binary, digest binary, start int, bytes binary"
-FOUND = "segment binary, low int, high int"
+FOUND = "segment binary, low int, high int, bucket int, shard int, segments binary, owners binary, starts binary, windows binary"
+CROSSED = "segment binary, low int, high int"
 KEPT = "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -169,6 +173,11 @@ def merged(orders: list[np.ndarray], before: np.ndarray, depth: int) -> tuple[np
 
 def repeated_windows(segments: list[bytes], weights: list[int], window: int) -> list[tuple[int, int, int]]:
     """(segment, first byte, last byte + 1) covered by windows met at least twice, a segment counting `weight` times."""
+    return windows_of(segments, weights, window)[0]
+
+
+def windows_of(segments: list[bytes], weights: list[int], window: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """What `repeated_windows` returns, and of each distinct window a hash, its segment (-1 if repeated) and its start."""
     lengths = np.array([len(s) for s in segments], np.int64)
     offsets = np.cumsum(lengths) - lengths
     g = mix(eights(b"".join(segments)))
@@ -227,9 +236,12 @@ def repeated_windows(segments: list[bytes], weights: list[int], window: int) ->
     key = mix(between(starts, head_end) + (head_end - starts).astype(np.uint64))
     key = mix(key ^ (between(tail_start, starts + window - 7) * np.uint64(0xD6E8FEB86659FD93)))
     key = mix(key + interval.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + depth.astype(np.uint64))
-    _, group = np.unique(key, return_inverse=True)
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
     weight = np.array(weights, np.int64)[seg]
-    again = np.bincount(group, weight)[group] > 1
+    times = np.bincount(group, weight)
+    again = times[group] > 1
+    content = mix(between(starts[first], starts[first] + window - 7))
+    single = np.where(times > 1, -1, seg[first])
     # Bytes covered by repeated windows, as runs within segments.
     mark = np.zeros(len(g) + 1, np.int64)
     np.add.at(mark, starts[again], 1)
@@ -238,7 +250,8 @@ def repeated_windows(segments: list[bytes], weights: list[int], window: int) ->
     turn = np.concatenate([[False], (covered[1:] != covered[:-1]) | (owner[1:] != owner[:-1]), [True]])
     turn[0] = True
     edges = np.flatnonzero(turn)
-    return [(int(owner[a]), int(local[a]), int(local[a] + b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True) if covered[a]]
+    runs = [(int(owner[a]), int(local[a]), int(local[a] + b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True) if covered[a]]
+    return runs, content, single, local[starts[first]]
 
 
 def _digests(docs: DataFrame) -> DataFrame:
@@ -246,8 +259,9 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
 
 
-def repeats(docs: DataFrame, window: int = 400) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, window: int = 400, most_segments: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(rows, kept): doc_id, digest, n_bytes, copies of every row; per digest with repeated parts what is left of its text."""
+    n_buckets = partitions(docs.sparkSession)
 
     def runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, "text", 1 << 20):
@@ -271,28 +285,74 @@ def repeats(docs: DataFrame, window: int = 400) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32()] + [pa.binary()] * 4
         held: list[tuple] = []
         size = 0
 
-        def found() -> pa.RecordBatch | None:
-            hits = repeated_windows([h[2] for h in held], [h[3] for h in held], window)
-            if not hits:
-                return None
-            s, low, high = zip(*hits, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([held[k][1] for k in s], pa.binary()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["segment", "low", "high"]
-            )
+        def found() -> Iterator[pa.RecordBatch]:
+            runs, content, single, start = windows_of([h[3] for h in held], [h[4] for h in held], window)
+            out = [(held[k][2], low, high, *[None] * 6) for k, low, high in runs]
+            if held[0][5] > 1:  # one shard of a large group: its distinct windows go to where they meet those of the others
+                ids = b"".join(h[2] for h in held)
+                bucket = (content % np.uint64(n_buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                for x, y in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                    own = order[x:y]
+                    used, owner = np.unique(single[own], return_inverse=True)
+                    segments = b"".join(bytes(16) if u < 0 else ids[16 * u : 16 * u + 16] for u in used.tolist())
+                    packed = (segments, np.where(single[own] < 0, -1, owner).astype("<i4").tobytes(), start[own].astype("<i4").tobytes(), content[own].astype("<u8").tobytes())
+                    out.append((None, None, None, int(bucket[own[0]]), held[0][1], *packed))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         for batch in rows:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > CHUNK and row[0] != held[-1][0]:
-                    if (out := found()) is not None:
-                        yield out
+                if held and held[-1][:2] != row[:2] and (size > CHUNK or max(held[-1][5], row[5]) > 1):
+                    yield from found()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2])
-        if held and (out := found()) is not None:
-            yield out
+                size += len(row[3])
+        if held:
+            yield from found()
+
+    def cross(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def met() -> Iterator[pa.RecordBatch]:
+            segments, owners, base = b"".join(r["segments"] for r in held), [], 0
+            for r in held:
+                own = np.frombuffer(r["owners"], "<i4").astype(np.int64)
+                owners.append(np.where(own < 0, -1, own + base))
+                base += len(r["segments"]) // 16
+            owner, start = np.concatenate(owners), np.frombuffer(b"".join(r["starts"] for r in held), "<i4")
+            content = np.frombuffer(b"".join(r["windows"] for r in held), "<u8")
+            shard = np.repeat([r["shard"] for r in held], [len(r["windows"]) // 8 for r in held])
+            _, group = np.unique(content, return_inverse=True)
+            low, high = np.full(len(content), shard.max()), np.full(len(content), -1)
+            np.minimum.at(low, group, shard)
+            np.maximum.at(high, group, shard)
+            hit = np.flatnonzero((low[group] < high[group]) & (owner >= 0))
+            order = hit[np.lexsort((start[hit], owner[hit]))]
+            at, of = start[order].astype(np.int64), owner[order]
+            # Windows that touch become one run.
+            fresh = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] > at[:-1] + window)])) if len(order) else order
+            if len(order):
+                last = np.concatenate([fresh[1:], [len(order)]]) - 1
+                names = [segments[16 * k : 16 * k + 16] for k in of[fresh].tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.binary()), pa.array(at[fresh], pa.int32()), pa.array(at[last] + window, pa.int32())], ["segment", "low", "high"]
+                )
+
+        for batch in rows:
+            for r in batch.to_pylist():
+                if held and held[0]["bucket"] != r["bucket"]:
+                    yield from met()
+                    held = []
+                held.append(r)
+        if held:
+            yield from met()
 
     def remove(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["digest", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -328,8 +388,15 @@ def repeats(docs: DataFrame, window: int = 400) -> tuple[DataFrame, DataFrame]:
     cuts = written(texts.mapInArrow(cut, CUTS), "segments")
     places = cuts.select("segment", "digest", "start")
     distinct = cuts.groupBy("anchor", "segment").agg(F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor", "segment").select("anchor", "segment", "bytes", "n")
-    found = written(dealt.mapInArrow(merge, FOUND), "repeated-windows")
+    # An anchor with very many different segments is a hot group: it is dealt to shards of bounded size.
+    large = cuts.select("anchor", "segment").distinct().groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / most_segments).cast("int").alias("shards")).filter("shards > 1")
+    salted = distinct.join(large, "anchor", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    salted = salted.withColumn("shard", F.pmod(F.xxhash64("segment"), F.col("shards")).cast("int"))
+    dealt = salted.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "segment")
+    merged_shards = written(dealt.select("anchor", "shard", "segment", "bytes", "n", "shards").mapInArrow(merge, FOUND), "repeated-windows")
+    across = merged_shards.filter("bucket IS NOT NULL").select("bucket", "shard", "segments", "owners", "starts", "windows")
+    across = across.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(cross, CROSSED)
+    found = merged_shards.filter("bucket IS NULL").select("segment", "low", "high").unionByName(across)
     spans = found.join(places, "segment").select("digest", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     by_text = spans.groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     kept = texts.select("digest", "text").join(by_text, "digest").select("digest", "text", "spans").mapInArrow(remove, KEPT)
@@ -337,9 +404,9 @@ def repeats(docs: DataFrame, window: int = 400) -> tuple[DataFrame, DataFrame]:
     return rows.join(copies, "digest"), kept
 
 
-def report(docs: DataFrame, window: int = 400) -> DataFrame:
+def report(docs: DataFrame, window: int = 400, most_segments: int = 1000) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, kept = repeats(docs, window)
+    rows, kept = repeats(docs, window, most_segments)
     kept = written(kept.drop("kept"), "kept-digests")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
     return rows.join(kept, "digest", "left").select(

@@ -113,6 +113,22 @@ def test_repeats(docs, rows):
     assert got == want
 
 
+def test_a_passage_in_many_surroundings_is_found_across_shards(spark):
+    """With one segment to a shard, only what the shards tell each other shows the passage."""
+    rnd = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(120))
+    own = lambda n: " ".join(f"o{rnd.randrange(10**8)}" for _ in range(n))
+    rows = [(k, f"{own(60)} {passage} {own(60)}") for k in range(12)] + [(50, own(200))]
+    want = {}
+    counts = brute.window_counts([t.encode() for _, t in rows], 400)
+    for d, t in rows:
+        want[d] = brute.removed(t.encode(), counts, 400)[:2]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1, 3, 1000):
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.report(frame, most_segments=most).collect()}
+        assert got == want and got[50] == (0, 0) and got[0][0] > 400
+
+
 def test_merged_transforms_on_small_alphabets(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", 20)
     rnd = random.Random(11)
