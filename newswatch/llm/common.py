@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newswatch.session import scratch_path
 
 # The separators of a word: the ASCII white space characters.
 SPACES = " \t\n\x0b\x0c\r"
+# A word that ends with an ASCII letter or digit and signs behind it (no apostrophe, which may belong to a word).
+SIGNS_BEHIND = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +60,24 @@ def running_offsets(spark: SparkSession, totals: DataFrame, order: list[str], va
     return totals.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long"))
 
 
+# A comma or stop before white space that does not follow a Latin letter or a digit.
+UNUSUAL = re.compile(rb"[,.](?<![A-Za-z0-9].)(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].)(?=[ \n])")
+
+
+def simplified(text: bytes) -> bytes:
+    """A text with the same ids and fewer different words: lower case, commas and stops on their own.
+
+    Special tokens are matched as they are written, and signs next to each other are one
+    piece; a text that may have either stays as it is (but for its case).
+    """
+    if b"<|" in text:
+        return text
+    text = text.lower()  # ASCII letters only
+    if UNUSUAL.search(text):
+        return text
+    return text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b",\n", b" ,\n").replace(b".\n", b" .\n")
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer that never joins text across white space.
 
@@ -63,7 +86,7 @@ class WordIds:
     is emptied when it holds `room` words, which changes nothing but speed.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,19 +98,43 @@ class WordIds:
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        lists = [e.ids for e in encoded]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(lengths.sum()))
+    def _add(self, words: list[bytes], lengths: np.ndarray, flat: np.ndarray) -> None:
         base = len(self.known)
-        self.known.update(zip(words, range(base, base + len(words))))
+        self.known.update(zip(words, range(base, base + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, flat])
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words; of one in upper case or with signs behind, only the plain word and the signs."""
+        parts: list[tuple[bytes, ...]] = []
+        for w in words:
+            if b"<|" in w:  # special tokens are matched as they are written
+                parts.append((w,))
+            else:
+                m = SIGNS_BEHIND.fullmatch(plain := w.lower())
+                parts.append(m.groups() if m else (plain,))
+        plain = list({p for own in parts for p in own if p not in self.known})
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in plain], add_special_tokens=False)
+        lists = [e.ids for e in encoded]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._add(plain, lengths, np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())))
+        made = [(w, own) for w, own in zip(words, parts, strict=True) if w not in self.known]
+        if made:
+            at = np.fromiter((self.known[p] for _, own in made for p in own), np.int64)
+            n_parts = np.fromiter((len(own) for _, own in made), np.int64, len(made))
+            flat, each = self._gather(at)
+            first = np.cumsum(n_parts) - n_parts
+            self._add([w for w, _ in made], np.add.reduceat(each, first), flat)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stored words one after another, and how many each has."""
+        first, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
+        total, before = int(lengths.sum()), np.cumsum(lengths) - lengths
+        return self.ids[np.arange(total) + np.repeat(first - before, lengths)], lengths
+
     def encode(self, texts: list[bytes], end: int | None = None) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers, with `end` after them if given."""
-        split = [t.split() for t in texts]
+        split = [simplified(t).split() for t in texts]
         new = set()
         for words in split:
             new.update(words)
@@ -97,19 +144,18 @@ class WordIds:
             self._learn(fresh)
         out = []
         for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            first, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
-            total = int(lengths.sum())
-            ids = np.empty(total + (end is not None), np.uint32)
-            if total:
-                before = np.cumsum(lengths) - lengths
-                ids[:total] = self.ids[np.arange(total) + np.repeat(first - before, lengths)]
-            if end is not None:
-                ids[total] = end
-            out.append(ids)
+            ids, _ = self._gather(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+            out.append(ids if end is None else np.append(ids, np.uint32(end)))
         return out
 
 
+@lru_cache(2)
+def word_ids(path: str) -> WordIds:
+    """The store of this Python worker: the tasks that it runs one after another share it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordIds(path)
+
+
 def batches(rows: Iterator[pa.RecordBatch], texts: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column of each holds about `most_bytes`, one row at least."""
     for batch in rows:
@@ -127,7 +173,3 @@ def batches(rows: Iterator[pa.RecordBatch], texts: str, most_bytes: int = 4 << 2
                 start, held = k, 0
             held += int(size)
         yield batch.slice(start)
-
-
-def binary_fields(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.BinaryType()) for n in names])

@@ -14,7 +14,6 @@ empty table gives no pieces.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newswatch.llm.common import WordIds, batches, bytes_of, running_offsets, text_of, written
+from newswatch.llm.common import batches, bytes_of, running_offsets, text_of, word_ids, written
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, part int, place long, ids binary"
 DIGEST = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -51,8 +50,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, longest: int = 4096) -> Data
         raise ValueError("the longest sequence must be a power of two")
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, part = WordIds(tokenizer), TaskContext.get().partitionId()
+        words, part = word_ids(tokenizer), TaskContext.get().partitionId()
         places: dict[int, int] = {}
         for batch in batches(rows, "text"):
             out: list[tuple] = []

@@ -22,7 +22,6 @@ empty table gives no blocks.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newswatch.llm.common import WordIds, batches, bytes_of, running_offsets, text_of, written
+from newswatch.llm.common import batches, bytes_of, running_offsets, text_of, word_ids, written
 from newswatch.session import scratch_path
 
 BLOCKS = "shard int, block int, start long, n_ids long, width int, doc_ids array<bigint>, ends array<bigint>, packed binary"
@@ -88,8 +87,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end: int, block_ids:
     width = width_of(vocabulary)
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, shard = WordIds(tokenizer), TaskContext.get().partitionId()
+        words, shard = word_ids(tokenizer), TaskContext.get().partitionId()
         block, start = 0, 0
         names: list = []
         held: list[np.ndarray] = []
