@@ -86,7 +86,7 @@ class WordIds:
     is emptied when it holds `room` words, which changes nothing but speed.
     """
 
-    def __init__(self, path: str, room: int = 1_200_000):
+    def __init__(self, path: str, room: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -53,7 +53,7 @@ CANDIDATES = "set_id binary, n long, first long, oddity double, prefix array<big
 class Shingles:
     """Shingle hashes of texts; the hashes of words are kept, up to `room` of them."""
 
-    def __init__(self, room: int = 1_000_000):
+    def __init__(self, room: int = 250_000):
         self.room, self.known = room, {}
 
     def of(self, text: bytes) -> np.ndarray:
@@ -171,7 +171,7 @@ def _candidate_sets(docs: DataFrame) -> DataFrame:
     n_buckets = partitions(spark)
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, "text", 12 << 20):
+        for batch in batches(rows, "text", 4 << 20):
             found = [s for s in map(shingles().of, bytes_of(batch.column(0))) if len(s)]
             if not found:
                 continue

@@ -42,7 +42,7 @@ GRAM = 16  # bytes of an anchor string
 PHRASE = 32  # mean bytes of a phrase
 SHARD = 1 << 15  # phrases of a shard
 BASE = 0x9E3779B97F4A7C15  # of the rolling hashes; odd, so that it has an inverse
-CHUNK = 2 << 20  # bytes of segments merged at a time; a group of one anchor is not divided
+CHUNK = 1 << 20  # bytes of segments merged at a time; a group of one anchor is not divided
 
 RUNS = "digest binary, start int, stop int, anchor long, seen int"
 CUTS = "anchor long, segment binary, digest binary, start int, bytes binary"
