@@ -137,7 +137,9 @@ def _examples(docs: DataFrame, sample_docs: int, sample_paragraphs: int) -> Data
     templates = _templates(spark).select("family", words_of(F.col("text")).alias("w"))
     all_runs = F.array(*[F.lit(t) for ts in TEMPLATES.values() for t in ts])
     template_runs = F.flatten(F.transform(all_runs, lambda t: let(words_of(t), lambda w: runs(w, 3))))
-    some = docs.select("doc_id", text_of("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    # The sample is chosen by id alone, so that no text but its own meets in one task; at most sample_docs ids.
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    some = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(ids), "doc_id")
     lines = some.select(F.explode(F.split("text", "\n")).alias("line")).select(words_of(F.col("line")).alias("w"))
     others = (
         lines.filter(F.size("w") > 0)
