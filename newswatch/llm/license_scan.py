@@ -87,6 +87,9 @@ TEMPLATES = {
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "proprietary": (
+        "All rights reserved.",
+        "Proprietary and confidential.",
+        "No part of this publication may be reproduced without prior written permission.",
         "Copyright. All rights reserved. No part of this work may be reproduced without written permission of the publisher.",
     ),
 }
@@ -149,12 +152,13 @@ def _examples(docs: DataFrame, sample_docs: int, sample_paragraphs: int) -> Data
         .limit(sample_paragraphs)
     )
     others = written(others.select(F.lit(NONE).alias("family"), "w", F.monotonically_increasing_id().alias("n")), "other-paragraphs")
-    # Variants of a template: whole, each word left out, the first and last two thirds, and with text around.
+    # Variants of a template: whole, each word left out (of three words none can be spared), the first and last two
+    # thirds, and with text around.
     size = F.size("w")
     around = F.split(F.lit("as noted before the text above and below was kept by its makers for all readers"), " ")
     variants = F.concat(
         F.array(F.col("w"), F.concat(around, F.col("w")), F.concat(F.col("w"), around), F.concat(F.slice(around, 1, 8), F.col("w"), F.slice(around, 9, 8))),
-        F.transform(F.sequence(F.lit(0), size - 1), lambda d: F.filter(F.col("w"), lambda x, i: i != d)),
+        F.when(size > 3, F.transform(F.sequence(F.lit(0), size - 1), lambda d: F.filter(F.col("w"), lambda x, i: i != d))).otherwise(F.array().cast("array<array<string>>")),
         F.when(size >= 9, F.array(F.slice("w", 1, (size * 2 / 3).cast("int")), F.expr("slice(w, cast(size(w) / 3 as int) + 1, size(w))"))).otherwise(F.array().cast("array<array<string>>")),
     )
     own = templates.select("family", F.posexplode(variants).alias("n", "w")).select("family", "w", F.col("n").cast("long"))

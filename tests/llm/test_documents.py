@@ -242,3 +242,19 @@ def test_licence_classifier(spark, model, docs, rows):
     known = ("GNU General Public License, version 3", "MIT License", "Apache License, Version 2.0", "CC BY-NC 4.0")
     want = collections.Counter((d, sum(x in (t or "") for x in known)) for d, t in rows)
     assert collections.Counter((r.doc_id, r.n_confirmed) for r in summary) == want
+
+
+def test_short_notices_of_the_proprietary_family(spark, model, docs, rows):
+    """Every notice line of the documents is confirmed, 'All rights reserved.' as well."""
+    lines = ["All rights reserved.", "Copyright 2020 A. Maker. All rights reserved.", "Proprietary and confidential."]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in license_scan.summary(license_scan.scan(frame, model)).collect()}
+    assert got == dict.fromkeys(range(3), "proprietary")
+    known = {
+        "GNU General Public License, version 3": "gpl", "MIT License": "mit", "Apache License, Version 2.0": "apache",
+        "CC BY-NC 4.0": "cc-by-nc", "All rights reserved.": "proprietary",
+    }
+    want = collections.Counter((d, ",".join(sorted({f for x, f in known.items() if x in (t or "")})), sum(x in (t or "") for x in known)) for d, t in rows)
+    summary = license_scan.summary(license_scan.scan(docs, model)).collect()
+    assert collections.Counter((r.doc_id, r.families, r.n_confirmed) for r in summary) == want
+    assert any("proprietary" in f for _, f, _ in want)
