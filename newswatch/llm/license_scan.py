@@ -7,10 +7,16 @@ regression with an L1 penalty is fitted on their word and word-pair indicators,
 weights differ from zero. A fifth of the labelled paragraphs is held out: there the
 temperature of the probabilities and the threshold of the unknown class are calibrated.
 
-Scanning: a paragraph (line) can only be a notice if it has a word that a template has and no
+Scanning: a line can only be a notice if it has a word that a template has and no
 other training paragraph has; of those, all are scored within their row. A family is
 predicted at or above the threshold and confirmed when enough of a template's three-word
-sequences are found; a paragraph that looks like a notice but is neither is `unknown`.
+sequences are found; a line that looks like a notice but is neither is `unknown`.
+
+Wrapped notices: lines between blank ones (and confirmed ones) are joined. Where enough of a template's
+sequences lie within twice its length, that stretch is scored, and confirmed as its family in place of
+the verdicts of its lines; it is named by its first line. Joined lines of which nothing is confirmed or
+unknown are scored whole. Of one family, a joined stretch of lines counts once. `n_paragraphs` counts
+lines that are not blank.
 
 Everything is built-in expressions; the classifier is fitted by Spark ML on the bounded sample,
 and its weights (one per feature and family) become literals of the scan.
@@ -116,6 +122,9 @@ def features(words: Column) -> Column:
     return F.concat(F.array_distinct(words), runs(words, 2))
 
 
+NOTICES = "array<struct<line:bigint,family:string,probability:double,overlap:double,confirmed:boolean,last:bigint>>"
+
+
 @dataclass(frozen=True)
 class Model:
     """The fitted classifier: plain values, a few hundred weights."""
@@ -191,11 +200,11 @@ def train(docs: DataFrame, sample_docs: int = 400, sample_paragraphs: int = 4000
     steps = [k / 20 for k in range(8, 20)]
     shares = top.agg(F.avg(F.col("right").cast("int")).alias("all"), *[F.avg(F.when(F.col("p") >= s, F.col("right").cast("int"))).alias(f"s{k}") for k, s in enumerate(steps)]).first()
     threshold = next((s for s, share in zip(steps, shares[1:], strict=True) if share is not None and share >= precision), steps[-1])
+    weights = {g: [float(v) for v in matrix[:, k]] for k, g in enumerate(vectorizer.vocabulary) if matrix[:, k].any()}
     words = examples.select(F.explode(F.array_distinct("w")).alias("word"), (F.col("family") == NONE).alias("other"))
     cue_rows = words.groupBy("word").agg(F.bool_or("other").alias("other")).filter("NOT other")
     template_words = sorted({w for ts in TEMPLATES.values() for t in ts for w in _plain(t)})
     cues = sorted(r.word for r in cue_rows.filter(F.col("word").isin(template_words) & (F.length("word") > 2)).collect())
-    weights = {g: [float(v) for v in matrix[:, k]] for k, g in enumerate(vectorizer.vocabulary) if matrix[:, k].any()}
     return Model(names, [float(b) for b in bias], weights, temperature, threshold, float(shares[0] or 0.0), cues)
 
 
@@ -203,6 +212,15 @@ def _plain(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
 
+def _template_runs(family: str) -> list[list[str]]:
+    """The distinct three-word sequences of each template of a family."""
+    return [list(dict.fromkeys(" ".join(w[k : k + 3]) for k in range(len(w) - 2))) for t in TEMPLATES[family] if len(w := _plain(t)) > 2]
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
 def predict(words: Column, model: Model, confirm: float = 0.6) -> Column:
     """struct(family, probability, overlap, confirmed) of a paragraph's words; family may be NONE or UNKNOWN."""
     table = F.map_from_arrays(F.array(*map(F.lit, model.weights)), F.array(*[F.array(*map(F.lit, v)) for v in model.weights.values()]))
@@ -211,10 +229,7 @@ def predict(words: Column, model: Model, confirm: float = 0.6) -> Column:
         features(words), start, lambda s, f: F.coalesce(F.zip_with(s, F.try_element_at(table, f), lambda a, b: a + b), s)
     )
     names = F.array(*map(F.lit, model.families))
-    template_runs = F.map_from_arrays(
-        F.array(*map(F.lit, TEMPLATES)),
-        F.array(*[F.array(*[F.array(*map(F.lit, dict.fromkeys(" ".join(w[k : k + 3]) for k in range(len(w) - 2)))) for t in ts if len(w := _plain(t)) > 2]) for ts in TEMPLATES.values()]),
-    )
+    template_runs = F.map_from_arrays(_strings(list(TEMPLATES)), F.array(*[F.array(*map(_strings, _template_runs(f))) for f in TEMPLATES]))
 
     def finish(s: Column) -> Column:
         return let(F.transform(s, lambda v: F.exp((v - F.array_max(s)) / model.temperature)), lambda e: pick(e))
@@ -234,19 +249,87 @@ def predict(words: Column, model: Model, confirm: float = 0.6) -> Column:
     return let(scored, finish)
 
 
-def scan(docs: DataFrame, model: Model) -> DataFrame:
+def _notice(first: Column, last: Column, p: Column) -> Column:
+    return F.struct(
+        first.alias("line"), p["family"].alias("family"), p["probability"].alias("probability"), p["overlap"].alias("overlap"), p["confirmed"].alias("confirmed"), last.alias("last")
+    )
+
+
+def _wrapped(joined: Column, model: Model, confirm: float) -> Column:
+    """The confirmed notices in joined lines: `joined` is an array of struct(line, word).
+
+    For each template, the stretch of at most twice its length, from one of its sequences on, that holds most of them.
+    """
+    templates = F.array(*[F.struct(F.lit(f).alias("family"), _strings(t).alias("runs")) for f in TEMPLATES for t in _template_runs(f)])
+    at = lambda i: F.concat_ws(" ", joined[i]["word"], joined[i + 1]["word"], joined[i + 2]["word"])
+    last_place = F.size(joined) - 3
+    three = F.transform(F.sequence(F.lit(0), last_place), lambda i: F.struct(i.alias("i"), at(i).alias("run")))
+
+    def stretches(three: Column) -> Column:
+        known = F.filter(templates, lambda t: F.size(F.array_intersect(F.transform(three, lambda x: x["run"]), t["runs"])) >= confirm * F.size(t["runs"]))
+        return F.filter(F.transform(known, lambda t: let(F.filter(three, lambda x: F.array_contains(t["runs"], x["run"])), lambda hits: best(t, hits))), lambda x: x.isNotNull())
+
+    def best(t: Column, hits: Column) -> Column:
+        held = lambda h: F.filter(hits, lambda x: (x["i"] >= h["i"]) & (x["i"] < h["i"] + 2 * (F.size(t["runs"]) + 2)))
+        n = lambda own: F.size(F.array_distinct(F.transform(own, lambda x: x["run"])))
+        # Of equal counts, the shortest stretch.
+        options = F.transform(hits, lambda h: let(held(h), lambda own: F.struct(n(own).alias("n"), (h["i"] - F.element_at(own, -1)["i"]).alias("short"), h["i"].alias("i"))))
+        return let(F.array_max(options), lambda o: F.when(o["n"] >= confirm * F.size(t["runs"]), judged(t, F.slice(joined, o["i"] + 1, 3 - o["short"]))))
+
+    def judged(t: Column, own: Column) -> Column:
+        p = predict(F.transform(own, lambda x: x["word"]), model, confirm)
+        return let(p, lambda p: F.when(p["confirmed"] & (p["family"] == t["family"]), _notice(own[0]["line"], F.element_at(own, -1)["line"], p)))
+
+    def one_each(found: Column) -> Column:
+        # Of each family the best one, the first of equals.
+        rank = lambda x: F.struct(x["overlap"], -x["line"], x["probability"], -x["last"])
+        return F.array_distinct(F.filter(found, lambda x: ~F.exists(found, lambda y: (y["family"] == x["family"]) & (rank(y) > rank(x)))))
+
+    return let(three, lambda x: let(stretches(x), one_each))
+
+
+def scan(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, notices (array of line, family, probability, overlap, confirmed)."""
-    cue = "(?i)(?<![a-z0-9])(?:" + "|".join(model.cues) + ")(?![a-z0-9])"
+    # Of plain words, one behind the other over whatever is between them, as words_of cuts them.
+    cue = "(?<![a-z0-9])(?:" + "|".join(c.replace(" ", "[^a-z0-9]+") for c in model.cues) + ")(?![a-z0-9])" if model.cues != [""] else ""
     lines = F.split("text", "\n")
     base = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
-    none = F.array().cast("array<struct<line:bigint,words:array<string>>>")
-    marked = F.transform(lines, lambda x, i: F.when(x.rlike(cue), F.struct(i.cast("bigint").alias("line"), words_of(x).alias("words"))))
-    candidates = F.when(F.col("text").rlike(cue), F.filter(marked, lambda x: x.isNotNull())).otherwise(none) if model.cues else none
-    judged = F.transform(F.col("candidates"), lambda c: let(predict(c["words"], model), lambda p: F.struct(c["line"].alias("line"), p["family"].alias("family"), p["probability"].alias("probability"), p["overlap"].alias("overlap"), p["confirmed"].alias("confirmed"))))
-    n_paragraphs = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long")
-    return base.select("doc_id", n_paragraphs.alias("n_paragraphs"), candidates.alias("candidates")).select(
-        "doc_id", "n_paragraphs", F.filter(judged, lambda j: j["family"] != NONE).alias("notices")
+    n_paragraphs = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("n_paragraphs")
+    rows = F.transform(lines, lambda x, i: F.struct(i.cast("bigint").alias("line"), words_of(x).alias("words"), F.lower(x).rlike(cue).alias("cue")))
+    # Only a text with a cue somewhere is cut into words at all.
+    some = F.when(F.lower("text").rlike(cue), rows) if model.cues else F.lit(None).cast("array<struct<line:bigint,words:array<string>,cue:boolean>>")
+    alone = F.transform(F.filter("rows", lambda x: x["cue"]), lambda x: let(predict(x["words"], model, confirm), lambda p: _notice(x["line"], x["line"], p)))
+    held = base.select("doc_id", n_paragraphs, some.alias("rows"))
+    held = held.select("doc_id", "n_paragraphs", "rows", F.filter(alone, lambda x: x["family"] != NONE).alias("alone"))
+    sure = F.transform(F.filter("alone", lambda x: x["confirmed"]), lambda x: x["line"])
+    # Lines between those that are blank or confirmed alone, two at least.
+    ends = F.concat(
+        F.array(F.lit(-1).cast("bigint")),
+        F.transform(F.filter("rows", lambda x: (F.size(x["words"]) == 0) | F.array_contains(sure, x["line"])), lambda x: x["line"]),
+        F.array(F.size("rows").cast("bigint")),
+    )
+    blocks = let(
+        ends,
+        lambda e: F.filter(
+            F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: F.slice("rows", (e[k] + 2).cast("int"), (e[k + 1] - e[k] - 1).cast("int"))), lambda b: F.size(b) > 1
+        ),
     )
+    joined = F.transform(blocks, lambda b: F.flatten(F.transform(b, lambda x: F.transform(x["words"], lambda w: F.struct(x["line"].alias("line"), w.alias("word"))))))
+    held = held.withColumn("joined", F.when(F.col("rows").isNotNull(), joined)).drop("rows")
+
+    def block(j: Column) -> Column:
+        return let(F.struct(j[0]["line"].alias("a"), F.element_at(j, -1)["line"].alias("b")), lambda s: let(_wrapped(j, model, confirm), lambda found: F.when(whole_too(s, found), whole(j, s)).otherwise(found)))
+
+    def whole_too(s: Column, found: Column) -> Column:
+        return (F.size(found) == 0) & ~F.exists("alone", lambda x: (x["line"] >= s["a"]) & (x["line"] <= s["b"]))
+
+    def whole(j: Column, s: Column) -> Column:
+        return F.filter(F.array(let(predict(F.transform(j, lambda x: x["word"]), model, confirm), lambda p: _notice(s["a"], s["b"], p))), lambda x: x["family"] != NONE)
+
+    over = F.flatten(F.transform("joined", lambda j: F.when(F.size(j) > 2, block(j)).otherwise(F.array().cast(NOTICES))))
+    held = held.select("doc_id", "n_paragraphs", "alone", F.coalesce(over, F.array().cast(NOTICES)).alias("over"))
+    kept = F.filter(F.coalesce("alone", F.array().cast(NOTICES)), lambda x: ~F.exists("over", lambda y: (y["line"] <= x["line"]) & (x["line"] <= y["last"])))
+    return held.select("doc_id", "n_paragraphs", F.transform(F.array_sort(F.concat(kept, "over")), lambda x: x.dropFields("last")).alias("notices"))
 
 
 def summary(scanned: DataFrame) -> DataFrame:

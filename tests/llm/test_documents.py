@@ -258,3 +258,21 @@ def test_short_notices_of_the_proprietary_family(spark, model, docs, rows):
     summary = license_scan.summary(license_scan.scan(docs, model)).collect()
     assert collections.Counter((r.doc_id, r.families, r.n_confirmed) for r in summary) == want
     assert any("proprietary" in f for _, f, _ in want)
+
+
+def test_wrapped_notices_are_joined(spark, model):
+    """A notice over several lines is one notice, named by its first line; blank lines part paragraphs."""
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction."
+    bsd = "# Redistribution and use in source and\n# binary forms, with or without\n# modification, are permitted provided that\n# the following conditions are met."
+    texts = {
+        f"Some project\n\n{mit}\n\nmore text": [(2, "mit")],
+        f"a line of text before it\n{bsd}\na line of text behind": [(1, "bsd")],
+        "Released under\nthe MIT License.": [(0, "mit")],
+        f"{mit}\n{bsd}\nReleased under the MIT License.": [(0, "mit"), (3, "bsd"), (7, "mit")],
+        "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0\nInternational License.": [(0, "cc-by-sa")],
+        "Permission is\n\nhereby granted,\n\nfree of charge": [],
+        "one line\n\nand another line\nof text": [],
+    }
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(n.line, n.family) for n in r.notices if n.confirmed] for r in license_scan.scan(frame, model).collect()}
+    assert got == dict(enumerate(texts.values()))
