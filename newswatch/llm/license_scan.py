@@ -7,8 +7,9 @@ regression with an L1 penalty is fitted on their word and word-pair indicators,
 weights differ from zero. A fifth of the labelled paragraphs is held out: there the
 temperature of the probabilities and the threshold of the unknown class are calibrated.
 
-Scanning: a line can only be a notice if it has a word that a template has and no
-other training paragraph has; of those, all are scored within their row. A family is
+Scanning: a line can only be predicted as a notice if its positive weights reach what the others'
+class is ahead by, so those that hold none of the features needed for that are passed over and no
+prediction is lost; all others are scored within their row. A family is
 predicted at or above the threshold and confirmed when enough of a template's three-word
 sequences are found; a line that looks like a notice but is neither is `unknown`.
 
@@ -135,7 +136,7 @@ class Model:
     temperature: float
     threshold: float
     held_out_accuracy: float
-    cues: list[str]  # words that only notices have
+    cues: list[str]  # words and word pairs of which a predicted notice has one
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -201,13 +202,32 @@ def train(docs: DataFrame, sample_docs: int = 400, sample_paragraphs: int = 4000
     shares = top.agg(F.avg(F.col("right").cast("int")).alias("all"), *[F.avg(F.when(F.col("p") >= s, F.col("right").cast("int"))).alias(f"s{k}") for k, s in enumerate(steps)]).first()
     threshold = next((s for s, share in zip(steps, shares[1:], strict=True) if share is not None and share >= precision), steps[-1])
     weights = {g: [float(v) for v in matrix[:, k]] for k, g in enumerate(vectorizer.vocabulary) if matrix[:, k].any()}
-    words = examples.select(F.explode(F.array_distinct("w")).alias("word"), (F.col("family") == NONE).alias("other"))
-    cue_rows = words.groupBy("word").agg(F.bool_or("other").alias("other")).filter("NOT other")
-    template_words = sorted({w for ts in TEMPLATES.values() for t in ts for w in _plain(t)})
-    cues = sorted(r.word for r in cue_rows.filter(F.col("word").isin(template_words) & (F.length("word") > 2)).collect())
+    often = rows.filter(F.col("family") == NONE).select(F.explode("f").alias("g")).filter(F.col("g").isin(list(weights))).groupBy("g").count()
+    cues = needed(weights, [float(b) for b in bias], {r.g: r["count"] for r in often.collect()})
     return Model(names, [float(b) for b in bias], weights, temperature, threshold, float(shares[0] or 0.0), cues)
 
 
+def needed(weights: dict[str, list[float]], intercepts: list[float], often: dict[str, int]) -> list[str]:
+    """Features of which every line that the model predicts as a notice has one; [""] where it may have none.
+
+    For each family, features are left out as long as all of them together cannot reach what the last
+    class is ahead by: those first that are met in many other paragraphs for the little they add.
+    """
+    cues = set()
+    for k, own in enumerate(intercepts[:-1]):
+        ahead = intercepts[-1] - own
+        if ahead <= 0:
+            return [""]
+        gains = {g: w[k] - w[-1] for g, w in weights.items() if w[k] > w[-1]}
+        left = 0.0
+        for g in sorted(gains, key=lambda g: (gains[g] / (1 + often.get(g, 0)), g)):
+            left += gains[g]
+            if left >= ahead * (1 - 1e-9):
+                left -= gains[g]
+                cues.add(g)
+    return sorted(cues)
+
+
 def _plain(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 

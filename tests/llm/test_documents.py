@@ -276,3 +276,23 @@ def test_wrapped_notices_are_joined(spark, model):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [(n.line, n.family) for n in r.notices if n.confirmed] for r in license_scan.scan(frame, model).collect()}
     assert got == dict(enumerate(texts.values()))
+
+
+def test_no_predicted_line_is_passed_over(spark, sf_dir):
+    """Sampled lines with the words of notices take no notice away, and the cues lose nothing that is predicted."""
+    plain = ["The licensed plumber came by at 4 under contract, cc the office, 0 to pay.", "A file in the public domain of released rights was reserved by its author.", "He may obtain a copy of this work at a licence shop."]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").limit(40).unionByName(spark.createDataFrame([(-k, x) for k, x in enumerate(plain, 1)], "doc_id long, text string"))
+    model = license_scan.train(docs, sample_docs=100, sample_paragraphs=300)
+    (found,) = license_scan.scan(spark.createDataFrame([(1, "Licensed under CC BY 4.0.")], "doc_id long, text string"), model).collect()
+    assert [n.family for n in found.notices] in (["cc-by"], [license_scan.UNKNOWN])
+    rnd = random.Random(7)
+    notices = [t.split() for ts in license_scan.TEMPLATES.values() for t in ts]
+    lines = list(plain)
+    for _ in range(400):
+        words = rnd.choice(notices)
+        at = rnd.randrange(len(words))
+        lines.append(" ".join(words[at : at + rnd.randint(1, 6)] + rnd.sample(plain[0].split(), rnd.randint(0, 3))))
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    judged = frame.select("doc_id", license_scan.let(license_scan.words_of(F.col("text")), lambda w: license_scan.predict(w, model)).alias("p"))
+    want = {(r.doc_id, r.p.family) for r in judged.collect() if r.p.family != license_scan.NONE}
+    assert {(r.doc_id, n.family) for r in license_scan.scan(frame, model).collect() for n in r.notices} == want and len(want) > 20
