@@ -348,10 +348,30 @@ def classes(joined: Joined) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, without those linked to a smaller doc_id; rows without an id stay.
+    """One row of `docs`, all columns, of each component: of its smallest doc_id, the row with the smallest text digest.
 
-    Only the ids to be removed are joined, so a corpus with few copies moves little but its texts.
+    Rows without an id are in no component; of those with equal sets (without words: equal texts) one stays, or
+    none where a row with an id has that set. Only the ids to be removed or met again are joined, so a corpus
+    with few copies moves little but its texts.
     """
-    found = classes(join(docs))
-    gone = written(found.filter("component_id < doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    joined = join(docs)
+    counts = classes(joined).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    gone = written(counts.filter("c < doc_id OR n > 1").select("doc_id", (F.col("c") == F.col("doc_id")).alias("again")), "near-copies")
+    single = docs.join(gone.select("doc_id"), "doc_id", "left_anti").filter("doc_id IS NOT NULL").select(docs.columns)
+    digest = F.sha2(text_of("text"), 256).alias("digest__")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__")
+    again = docs.join(gone.filter("again").select("doc_id"), "doc_id", "left_semi").select("doc_id", digest, row)
+    again = again.groupBy("doc_id").agg(F.min_by("row__", "digest__").alias("row__")).select("row__.*")
+
+    def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, "text"):
+            found = [shingles().of(t) for t in bytes_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) if len(s) else None for s in found], pa.binary())], ["digest__", "set_id"])
+
+    null = docs.filter("doc_id IS NULL").select(digest, row)
+    null = null.groupBy("digest__").agg(F.first("row__").alias("row__"))
+    of_text = null.select("digest__", text_of("row__.text").alias("text")).mapInArrow(sets, "digest__ string, set_id binary")
+    known = joined.sets.filter("doc_id IS NOT NULL").select("set_id")
+    chosen = of_text.join(known, "set_id", "left_anti").groupBy(F.coalesce("set_id", F.encode("digest__", "utf-8")).alias("k")).agg(F.min("digest__").alias("digest__"))
+    null = null.join(chosen.select("digest__"), "digest__", "left_semi").select("row__.*")
+    return single.unionByName(again).unionByName(null).select(docs.columns)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from newswatch.llm import decontaminate, license_scan, ngram_join, quality_rules, suffix_dedup
 from newswatch.llm.common import table
 from newswatch.llm.components import components
@@ -296,3 +297,14 @@ def test_no_predicted_line_is_passed_over(spark, sf_dir):
     judged = frame.select("doc_id", license_scan.let(license_scan.words_of(F.col("text")), lambda w: license_scan.predict(w, model)).alias("p"))
     want = {(r.doc_id, r.p.family) for r in judged.collect() if r.p.family != license_scan.NONE}
     assert {(r.doc_id, n.family) for r in license_scan.scan(frame, model).collect() for n in r.notices} == want and len(want) > 20
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, sf_dir):
+    """A row stored twice, and copies without an id, come out of the second and third stage once and whole."""
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(120))
+    rows = [(1, text(1)), (1, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (None, text(3)), (4, text(4)), (None, text(5)), (None, text(5).upper()), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = corpus_pipeline.near_copies(spark, docs, sf_dir)
+    got = [(r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.repeated_strings(spark, one, sf_dir).collect()]
+    assert one.columns == docs.columns
+    assert collections.Counter(got) == collections.Counter([(1, text(1)), (None, text(2)), (3, text(3)), (4, text(4)), (None, text(5)), (None, "")])
