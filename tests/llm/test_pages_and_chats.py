@@ -134,3 +134,18 @@ def test_escapes(text):
     escaped = chat_tree.escape(text)
     assert not any(c in escaped for c in chat_tree.CONTROLS)
     assert chat_tree.unescape(escaped) == text
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("<article><h2 id='how-to-search'>How</h2><section id='social-effects'><p>x</p></section></article>", "How\n\nx"),
+        ("<article><h2 id='search' class='related'>A</h2><p class='notice'>b</p><div class='social-effects'>c</div></article>", "A\n\nb\n\nc"),
+        ("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p></article>", "a x=1 b"),
+        ("<article><p>a</p><div class='x share-box'>no</div><div id='comments'>no</div><div role='navigation'>no</div><p hidden>no</p></article>", "a"),
+        ("<article><p>a</p><div class='relatedLinks'>no</div><ul class='social-share-buttons'><li>no</ul></article>", "a"),
+        ("<article id='ad-blockers'><p>a</p><article class='comment-body'>no</article></article>", "a"),
+    ],
+)
+def test_parts_of_an_article_are_dropped_by_whole_names(source, want):
+    assert "\n\n".join(html_extract.read_page(source)[0]) == want
