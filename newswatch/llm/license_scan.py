@@ -286,7 +286,7 @@ def _wrapped(joined: Column, model: Model, confirm: float) -> Column:
     three = F.transform(F.sequence(F.lit(0), last_place), lambda i: F.struct(i.alias("i"), at(i).alias("run")))
 
     def stretches(three: Column) -> Column:
-        known = F.filter(templates, lambda t: F.size(F.array_intersect(F.transform(three, lambda x: x["run"]), t["runs"])) >= confirm * F.size(t["runs"]))
+        known = let(F.array_distinct(F.transform(three, lambda x: x["run"])), lambda own: F.filter(templates, lambda t: F.size(F.array_intersect(own, t["runs"])) >= confirm * F.size(t["runs"])))
         return F.filter(F.transform(known, lambda t: let(F.filter(three, lambda x: F.array_contains(t["runs"], x["run"])), lambda hits: best(t, hits))), lambda x: x.isNotNull())
 
     def best(t: Column, hits: Column) -> Column:
@@ -294,10 +294,10 @@ def _wrapped(joined: Column, model: Model, confirm: float) -> Column:
         n = lambda own: F.size(F.array_distinct(F.transform(own, lambda x: x["run"])))
         # Of equal counts, the shortest stretch.
         options = F.transform(hits, lambda h: let(held(h), lambda own: F.struct(n(own).alias("n"), (h["i"] - F.element_at(own, -1)["i"]).alias("short"), h["i"].alias("i"))))
-        return let(F.array_max(options), lambda o: F.when(o["n"] >= confirm * F.size(t["runs"]), judged(t, F.slice(joined, o["i"] + 1, 3 - o["short"]))))
+        return let(F.array_max(options), lambda o: F.when(o["n"] >= confirm * F.size(t["runs"]), let(F.slice(joined, o["i"] + 1, 3 - o["short"]), lambda own: judged(t, own))))
 
     def judged(t: Column, own: Column) -> Column:
-        p = predict(F.transform(own, lambda x: x["word"]), model, confirm)
+        p = let(F.transform(own, lambda x: x["word"]), lambda w: predict(w, model, confirm))
         return let(p, lambda p: F.when(p["confirmed"] & (p["family"] == t["family"]), _notice(own[0]["line"], F.element_at(own, -1)["line"], p)))
 
     def one_each(found: Column) -> Column:
@@ -344,7 +344,7 @@ def scan(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
         return (F.size(found) == 0) & ~F.exists("alone", lambda x: (x["line"] >= s["a"]) & (x["line"] <= s["b"]))
 
     def whole(j: Column, s: Column) -> Column:
-        return F.filter(F.array(let(predict(F.transform(j, lambda x: x["word"]), model, confirm), lambda p: _notice(s["a"], s["b"], p))), lambda x: x["family"] != NONE)
+        return F.filter(F.array(let(let(F.transform(j, lambda x: x["word"]), lambda w: predict(w, model, confirm)), lambda p: _notice(s["a"], s["b"], p))), lambda x: x["family"] != NONE)
 
     over = F.flatten(F.transform("joined", lambda j: F.when(F.size(j) > 2, block(j)).otherwise(F.array().cast(NOTICES))))
     held = held.select("doc_id", "n_paragraphs", "alone", F.coalesce(over, F.array().cast(NOTICES)).alias("over"))
