@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newswatch.llm import chat_tree, decontaminate, html_extract, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_output, warc
+from newswatch.llm import chat_tree, decontaminate, html_extract, license_scan, merkle_manifest, ngram_join, packing, quality_rules, run_detection, suffix_dedup, token_output, warc, winnowing
 from newswatch.llm.common import table
+from newswatch.llm.oracles import ORACLES
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +77,55 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(files)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the texts (by crc32 of the id) repeat a stretch of their words, as the contract says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rewritten = merkle_manifest.let(words, lambda w: F.when(F.size(w) > 0, planted(w)))
+    return docs.select("doc_id", F.when(h % 10 == 0, rewritten).otherwise(F.col("text")).alias("text"))
+
+
+def op11_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, the strongest one, and digests of all and of the collapsed text."""
+    found = run_detection.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", run_detection.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document; every seventh id (by crc32) claims one character more."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    claimed = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    proved = merkle_manifest.manifest(table(spark, sf_dir, "documents"), fields, "lang", "doc_id", claimed)
+    proved = proved.withColumn("folded_root", merkle_manifest.folded("claimed_leaf", "path"))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest("path").alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are."""
+    found = winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnowing.written_out("fingerprint").alias("fingerprint"),
+        winnowing.written_out("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def queries() -> dict:
     return {
         "op1_chat_tree": op1_chat_tree,
@@ -88,8 +138,11 @@ def queries() -> dict:
         "op8_html_extract": op8_html_extract,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_token_output": op10_token_output,
+        "op11_run_detection": op11_run_detection,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_winnowing": op13_winnowing,
     }
 
 
 def oracle() -> dict[str, str]:
-    return {}
+    return ORACLES

@@ -95,3 +95,64 @@ def article_text(source):
     article = re.search(r"<article>(.*?)(?:</article>|\Z)", source, re.DOTALL)[1]
     blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))]
     return "\n\n".join(b for b in blocks if b)
+
+
+def planted_words(doc_id, text):
+    """The words of a text; for a tenth of the ids a stretch of them is repeated."""
+    import zlib
+
+    w, h = words(text), zlib.crc32(str(doc_id).encode())
+    n, g = len(w), h // 10
+    if doc_id is None or h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def runs(w):
+    """(start, length, period) of every run of words, period by period."""
+    found = {}
+    for q in range(1, len(w) // 4 + 1):
+        i = 0
+        while i < len(w) - q:
+            j = i
+            while j < len(w) - q and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(6, 4 * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, found):
+    gone = {k for s, n, q in found for k in range(s + q, s + n)}
+    return " ".join(x for k, x in enumerate(w) if k not in gone)
+
+
+def tree(leaves):
+    """(top, siblings of each leaf as (on the right, hash or nothing)) of a binary tree over leaves."""
+    paths, at, level = [[] for _ in leaves], list(range(len(leaves))), list(leaves)
+    while len(level) > 1:
+        for path, k in zip(paths, at, strict=True):
+            other = k ^ 1
+            path.append((k % 2 == 0, level[other] if other < len(level) else ""))
+        level = [sha("".join(level[k : k + 2]).encode()) for k in range(0, len(level), 2)]
+        at = [k // 2 for k in at]
+    return level[0], paths
+
+
+def fold(node, path):
+    for right, other in path:
+        node = sha((node + other if right else other + node).encode())
+    return node
+
+
+def leaf(values):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values).encode())
+
+
+def winnowed(text, k, window):
+    """{position: stretch} a window keeps by any order of the stretches, given as a function of them."""
+    grams = [text[j : j + k] for j in range(max(len(text) - k + 1, 1))] if text else []
+    return grams, [range(j, min(j + window, len(grams))) for j in range(max(len(grams) - window + 1, 1))] if grams else []
