@@ -41,6 +41,8 @@ from newswatch.llm.components import components
 WIDTH = 5  # words of a shingle
 HUBS = 4  # groups of a list that all others are tried against first
 NEED, OF = 75, 100  # linked when OF * common >= NEED * union
+BUCKET = 2 << 20  # shingles dealt to one bucket, about: buckets grow in number, not in size
+PART = 1 << 19  # shingles of a bucket sorted at a time
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -131,13 +133,16 @@ def _names(schema: str) -> list[str]:
 
 
 def _by_bucket(rows: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of one bucket after another; they come sorted by bucket."""
+    """The rows of one bucket after another; they come sorted by bucket. The caller may empty the list."""
     held: list[dict] = []
+    bucket = None
     for batch in rows:
-        for row in batch.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
+        for k in range(batch.num_rows):
+            (row,) = batch.slice(k, 1).to_pylist()  # a batch is never held twice
+            if held and bucket != row["bucket"]:
                 yield held
                 held = []
+            bucket = row["bucket"]
             held.append(row)
     if held:
         yield held
@@ -148,7 +153,7 @@ def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     ids = np.frombuffer(b"".join(r["set_ids"] for r in rows), "<u4").reshape(-1, 3)
     sizes = np.frombuffer(b"".join(r["sizes"] for r in rows), "<u4")
     counts = np.frombuffer(b"".join(r["counts"] for r in rows), "<u4")
-    owner = np.repeat(np.arange(len(ids)), counts)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
     return ids, sizes, owner, np.frombuffer(b"".join(r["shingles"] for r in rows), "<u8")
 
 
@@ -161,14 +166,12 @@ def _numbered(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidate_sets(docs: DataFrame) -> DataFrame:
+def _candidate_sets(docs: DataFrame, n_buckets: int) -> DataFrame:
     """set_id, n, first, oddity, prefix, shared of the sets that can have a partner.
 
     `oddity` is the sum of 1 / (number of sets) over the set's shingles. `prefix` holds the shared shingles of the prefix in order, `first` the place of the first of
     them, `shared` all shared shingles, sorted.
     """
-    spark = docs.sparkSession
-    n_buckets = partitions(spark)
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, "text", 4 << 20):
@@ -183,33 +186,43 @@ def _candidate_sets(docs: DataFrame) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             yield _emit(list(_packed(bucket[order], owner[order], ids, sizes, [flat[order]])), _names(DEALT))
 
+    def shared(number: np.ndarray, owner: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The entries (owner, number, shingle, number of sets) whose shingle two sets have or more."""
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        same = flat[1:] == flat[:-1]
+        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        flat, owner = flat[some], owner[some]
+        order = np.lexsort((number[owner], flat))
+        flat, owner = flat[order], owner[order]
+        own = number[owner]
+        fresh = np.concatenate([[True], (flat[1:] != flat[:-1]) | (own[1:] != own[:-1])])[: len(flat)]
+        flat, owner, own = flat[fresh], owner[fresh], own[fresh]
+        start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)])
+        df = np.diff([*start, len(flat)])
+        rarity = np.repeat(np.minimum(df, 65535), df).astype("<u2")
+        some = rarity > 1
+        return owner[some], own[some], flat[some], rarity[some]
+
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_bucket(rows):
             ids, sizes, owner, flat = _unpacked(held)
-            order = np.argsort(flat)
-            flat, owner = flat[order], owner[order]
-            same = flat[1:] == flat[:-1]
-            some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            flat, owner = flat[some], owner[some]
-            if not len(flat):
+            held.clear()
+            number = _numbered(ids)
+            # Equal shingles are of one part, so a bucket is worked on part by part.
+            parts = -(-len(flat) // PART)
+            part = ((flat >> np.uint64(40)) % np.uint64(max(parts, 1))).astype(np.int32)
+            done = [shared(number, owner[own], flat[own]) for k in range(parts) if len(own := np.flatnonzero(part == k))]
+            if not done:
                 continue
-            number = _numbered(ids)[owner]
-            order = np.lexsort((number, flat))
-            flat, owner, number = flat[order], owner[order], number[order]
-            fresh = np.concatenate([[True], (flat[1:] != flat[:-1]) | (number[1:] != number[:-1])])
-            flat, owner, number = flat[fresh], owner[fresh], number[fresh]
-            start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-            df = np.diff([*start, len(flat)])
-            rarity = np.repeat(np.minimum(df, 65535), df).astype("<u2")
-            some = rarity > 1
-            flat, owner, number, rarity = flat[some], owner[some], number[some], rarity[some]
+            owner, own, flat, rarity = (np.concatenate(c) for c in zip(*done, strict=True))
             if not len(flat):
                 continue
             bucket = (ids[owner, 0] % n_buckets).astype(np.int32)
-            order = np.lexsort((number, bucket))
+            order = np.lexsort((own, bucket))
             # Entries of one set are next to each other and name one owner.
-            owner, number = owner[order], number[order]
-            owner = owner[np.maximum.accumulate(np.where(np.diff(number, prepend=-1) != 0, np.arange(len(number)), 0))]
+            owner, own = owner[order], own[order]
+            owner = owner[np.maximum.accumulate(np.where(np.diff(own, prepend=-1) != 0, np.arange(len(own)), 0))]
             yield _emit(list(_packed(bucket[order], owner, ids, sizes, [flat[order], rarity[order]])), _names(SHARED))
 
     def choose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,9 +249,10 @@ def _candidate_sets(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in columns], _names(CANDIDATES))
 
     texts = docs.filter(F.col("doc_id").isNotNull()).select(text_of("text").alias("text"))
-    dealt = texts.mapInArrow(deal, DEALT).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(count, SHARED).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    return shared.mapInArrow(choose, CANDIDATES)
+    # A bucket has a number, so it goes to the partition of that number: none gets two.
+    dealt = texts.mapInArrow(deal, DEALT).repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket")
+    shared_ones = dealt.mapInArrow(count, SHARED).repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket")
+    return shared_ones.mapInArrow(choose, CANDIDATES)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,7 +289,9 @@ def join(docs: DataFrame) -> Joined:
     sets = written(_sets(docs), "sets")
     nodes = sets.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"))
     nodes = written(nodes, "set-nodes")
-    found = _candidate_sets(docs).join(nodes, "set_id").drop("set_id")
+    entries = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    n_buckets = max(partitions(docs.sparkSession), -(-entries // BUCKET))
+    found = _candidate_sets(docs, n_buckets).join(nodes, "set_id").drop("set_id")
     found = written(found.withColumn("key", F.sha2(F.concat_ws(",", F.col("prefix").cast("array<string>")), 256)), "candidate-sets")
 
     # Groups: equal size and prefix; the member with the least oddity stands for the group.
@@ -354,10 +370,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     none where a row with an id has that set. Only the ids to be removed or met again are joined, so a corpus
     with few copies moves little but its texts.
     """
+    own = [F.col(f"`{c}`") for c in docs.columns]
     joined = join(docs)
     counts = classes(joined).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
     gone = written(counts.filter("c < doc_id OR n > 1").select("doc_id", (F.col("c") == F.col("doc_id")).alias("again")), "near-copies")
-    single = docs.join(gone.select("doc_id"), "doc_id", "left_anti").filter("doc_id IS NOT NULL").select(docs.columns)
+    single = docs.join(gone.select("doc_id"), "doc_id", "left_anti").filter("doc_id IS NOT NULL").select(*own)
     digest = F.sha2(text_of("text"), 256).alias("digest__")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__")
     again = docs.join(gone.filter("again").select("doc_id"), "doc_id", "left_semi").select("doc_id", digest, row)
@@ -374,4 +391,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     known = joined.sets.filter("doc_id IS NOT NULL").select("set_id")
     chosen = of_text.join(known, "set_id", "left_anti").groupBy(F.coalesce("set_id", F.encode("digest__", "utf-8")).alias("k")).agg(F.min("digest__").alias("digest__"))
     null = null.join(chosen.select("digest__"), "digest__", "left_semi").select("row__.*")
-    return single.unionByName(again).unionByName(null).select(docs.columns)
+    return single.unionByName(again).unionByName(null).select(*own)
