@@ -21,6 +21,7 @@ one; other columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -193,9 +194,16 @@ def _named(counted: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
-    """The rows of `docs`, all columns, that the rules keep; texts are counted twice rather than shuffled."""
+    """The rows of `docs`, all columns, that the rules keep.
+
+    Texts are counted once to choose the cutoffs (only counts are written) and once to apply them, so no
+    text is shuffled or written. The counts go through an explode of one struct: the filter stays above it and
+    does not work them out again.
+    """
     chosen = cutoffs(written(_flat(docs), "quality-counts"), labels, risk, level)
-    row = F.struct(*docs.columns).alias("document")
+    inner = uuid.uuid4().hex  # no column of `docs` has such a name
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(inner)
     base = docs.select(row, F.col("lang").alias("stratum"), text_of("text").alias("text"))
-    counted = _named(base.select("document", "stratum", *counts(F.col("text"))))
-    return verdicts(counted, chosen).filter("kept").select("document.*")
+    counted = base.select(inner, "stratum", F.explode(F.array(F.struct(*counts(F.col("text"))))).alias("counted")).select(inner, "stratum", "counted.*")
+    kept = verdicts(_named(counted), chosen).filter("kept")
+    return kept.select(*[F.col(inner)[c].alias(c) for c in docs.columns])
