@@ -78,12 +78,20 @@ def simplified(text: bytes) -> bytes:
     return text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b",\n", b" ,\n").replace(b".\n", b" .\n")
 
 
+class Numbers(dict):
+    """Numbers keys from 0 as they are met."""
+
+    def __missing__(self, key: object) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer that never joins text across white space.
 
-    Texts are cut at ASCII white space, each distinct word is encoded once by the
-    tokenizers library and kept; the ids of a text are those of its words. The store
-    is emptied when it holds `room` words, which changes nothing but speed.
+    Texts are cut at ASCII white space; the distinct words of a batch are looked up, each new one is
+    encoded once by the tokenizers library and kept; the ids of a text are those of its words. The
+    store is emptied when it holds `room` words, which changes nothing but speed.
     """
 
     def __init__(self, path: str, room: int = 800_000):
@@ -94,59 +102,72 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.starts = np.zeros(1, np.int64)
+        # A word's number; where its ids start and how many there are; ids. A whole number stands for itself.
+        self.known = Numbers()
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _add(self, words: list[bytes], lengths: np.ndarray, flat: np.ndarray) -> None:
-        base = len(self.known)
-        self.known.update(zip(words, range(base, base + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+    def _store(self, numbers: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.size[numbers] = sizes
+        self.first[numbers] = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate([self.ids, flat])
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode words; of one in upper case or with signs behind, only the plain word and the signs."""
-        parts: list[tuple[bytes, ...]] = []
+    def _learn(self, words: list[bytes | int]) -> None:
+        """Encode words that have numbers but no ids yet; of one in upper case or with signs behind, only its parts."""
+        whole, made = [], []
         for w in words:
-            if b"<|" in w:  # special tokens are matched as they are written
-                parts.append((w,))
+            if isinstance(w, int) or b"<|" in w:  # special tokens are matched as they are written
+                whole.append(w)
+                continue
+            m = SIGNS_BEHIND.fullmatch(plain := w.lower())
+            parts = m.groups() if m else (plain,)
+            if parts == (w,):
+                whole.append(w)
             else:
-                m = SIGNS_BEHIND.fullmatch(plain := w.lower())
-                parts.append(m.groups() if m else (plain,))
-        plain = list({p for own in parts for p in own if p not in self.known})
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in plain], add_special_tokens=False)
-        lists = [e.ids for e in encoded]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self._add(plain, lengths, np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())))
-        made = [(w, own) for w, own in zip(words, parts, strict=True) if w not in self.known]
+                made.append((w, parts))
+        done = len(self.first)
+        at = np.fromiter((self.known[p] for _, own in made for p in own), np.int64)
+        whole.extend(dict.fromkeys(p for _, own in made for p in own if self.known[p] >= done + len(words)))
+        new = np.zeros(len(self.known) - done, np.int64)
+        self.first, self.size = np.concatenate([self.first, new]), np.concatenate([self.size, new])
+        texts = [w for w in whole if not isinstance(w, int)]
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in texts], add_special_tokens=False)
+        lists = [e.ids for e in encoded] + [[w] for w in whole if isinstance(w, int)]
+        order = texts + [w for w in whole if isinstance(w, int)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._store(np.fromiter(map(self.known.__getitem__, order), np.int64, len(order)), sizes, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())))
         if made:
-            at = np.fromiter((self.known[p] for _, own in made for p in own), np.int64)
             n_parts = np.fromiter((len(own) for _, own in made), np.int64, len(made))
             flat, each = self._gather(at)
-            first = np.cumsum(n_parts) - n_parts
-            self._add([w for w, _ in made], np.add.reduceat(each, first), flat)
+            numbers = np.fromiter((self.known[w] for w, _ in made), np.int64, len(made))
+            self._store(numbers, np.add.reduceat(each, np.cumsum(n_parts) - n_parts), flat)
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of stored words one after another, and how many each has."""
-        first, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
+        first, lengths = self.first[at], self.size[at]
         total, before = int(lengths.sum()), np.cumsum(lengths) - lengths
         return self.ids[np.arange(total) + np.repeat(first - before, lengths)], lengths
 
     def encode(self, texts: list[bytes], end: int | None = None) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers, with `end` after them if given."""
-        split = [simplified(t).split() for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        if len(self.known) + len(new) > self.room:
+        split: list[list] = [simplified(t).split() for t in texts]
+        if end is not None:
+            for words in split:
+                words.append(end)
+        n_words = np.fromiter(map(len, split), np.int64, len(split))
+        # The words of the batch are numbered among themselves first: its distinct ones are few.
+        local = Numbers()
+        at = np.fromiter(map(local.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        if len(self.known) > self.room:
             self._clear()
-        if fresh := [w for w in new if w not in self.known]:
-            self._learn(fresh)
-        out = []
-        for words in split:
-            ids, _ = self._gather(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
-            out.append(ids if end is None else np.append(ids, np.uint32(end)))
-        return out
+        done = len(self.known)
+        number = np.fromiter(map(self.known.__getitem__, local), np.int64, len(local))
+        if len(self.known) > done:
+            self._learn([w for w, n in zip(local, number.tolist(), strict=True) if n >= done])
+        flat, each = self._gather(number[at])
+        ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n_words)])]
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 @lru_cache(2)

@@ -53,17 +53,23 @@ def pack(docs: DataFrame, tokenizer: str, end: int, longest: int = 4096) -> Data
         words, part = word_ids(tokenizer), TaskContext.get().partitionId()
         places: dict[int, int] = {}
         for batch in batches(rows, "text"):
-            out: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(bytes_of(batch.column(1)), end), strict=True):
-                for start, length in decompose(len(ids), longest):
-                    place = places.get(length, 0)
-                    places[length] = place + 1
-                    out.append((doc_id, start, length, len(ids), part, place, ids[start : start + length].astype("<u4").tobytes()))
-            if out:
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
-                names = ["doc_id", "start", "length", "doc_tokens", "part", "place", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            encoded = words.encode(bytes_of(batch.column(1)), end)
+            pieces = [(k, start, length) for k, ids in enumerate(encoded) for start, length in decompose(len(ids), longest)]
+            if pieces:
+                row, start, length = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
+                place = np.empty(len(row), np.int64)
+                for size in np.unique(length).tolist():  # numbered within their length, over all batches of the task
+                    own = np.flatnonzero(length == size)
+                    place[own] = places.get(size, 0) + np.arange(len(own))
+                    places[size] = places.get(size, 0) + len(own)
+                tokens = np.fromiter(map(len, encoded), np.int64, len(encoded))
+                # Pieces stand one after another as their documents do.
+                flat = np.concatenate(encoded).astype("<u4", copy=False)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(length * 4)]), pa.int32())
+                ids = pa.Array.from_buffers(pa.binary(), len(row), [None, cuts.buffers()[1], pa.py_buffer(flat)])
+                columns = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(tokens[row])]
+                columns += [pa.array(np.full(len(row), part), pa.int32()), pa.array(place), ids]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "part", "place", "ids"])
 
     source = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     pieces = written(source.mapInArrow(cut, PIECES), "pieces")
