@@ -228,6 +228,18 @@ def needed(weights: dict[str, list[float]], intercepts: list[float], often: dict
     return sorted(cues)
 
 
+def any_of(cues: list[str]) -> str:
+    """A pattern of any of the cues, their common beginnings written once: few branches are tried at each place."""
+    by_first: dict[str, list[str]] = {}
+    for c in cues:
+        by_first.setdefault(c[:1], []).append(c[1:])
+    ends = by_first.pop("", None)
+    branches = [("[^a-z0-9]+" if c == " " else c) + any_of(rest) for c, rest in sorted(by_first.items())]
+    if ends is not None:
+        branches.append("")
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
 def _plain(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
@@ -311,7 +323,7 @@ def _wrapped(joined: Column, model: Model, confirm: float) -> Column:
 def scan(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, notices (array of line, family, probability, overlap, confirmed)."""
     # Of plain words, one behind the other over whatever is between them, as words_of cuts them.
-    cue = "(?<![a-z0-9])(?:" + "|".join(c.replace(" ", "[^a-z0-9]+") for c in model.cues) + ")(?![a-z0-9])" if model.cues != [""] else ""
+    cue = f"(?<![a-z0-9]){any_of(model.cues)}(?![a-z0-9])" if model.cues != [""] else ""
     lines = F.split("text", "\n")
     base = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     n_paragraphs = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("n_paragraphs")
