@@ -29,6 +29,7 @@ is returned (`without_repeats`), never in the counts and digests.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,8 @@ from newswatch.llm.common import batches, bytes_of, partitions, text_of, written
 
 GRAM = 16  # bytes of an anchor string
 PHRASE = 32  # mean bytes of a phrase
-SHARD = 1 << 15  # phrases of a shard
+SHARD = 1 << 13  # phrases of a shard: about a quarter of what is merged at a time
+SALT = 32  # tasks that the segments of one anchor are spread over while they are counted
 BASE = 0x9E3779B97F4A7C15  # of the rolling hashes; odd, so that it has an inverse
 CHUNK = 1 << 20  # bytes of segments merged at a time; a group of one anchor is not divided
 
@@ -390,7 +392,10 @@ def repeats(docs: DataFrame, window: int = 400, most_segments: int = 1000) -> tu
     distinct = cuts.groupBy("anchor", "segment").agg(F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
     # An anchor with very many different segments is a hot group: it is dealt to shards of bounded size.
     large = cuts.select("anchor", "segment").distinct().groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / most_segments).cast("int").alias("shards")).filter("shards > 1")
-    salted = distinct.join(large, "anchor", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    # They meet their number of shards spread over SALT tasks; there are few such anchors, so they are told to each.
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salt = F.pmod(F.xxhash64("segment", F.lit(1)), F.lit(SALT)).cast("int")
+    salted = distinct.withColumn("salt", salt).join(large, ["anchor", "salt"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     salted = salted.withColumn("shard", F.pmod(F.xxhash64("segment"), F.col("shards")).cast("int"))
     dealt = salted.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "segment")
     merged_shards = written(dealt.select("anchor", "shard", "segment", "bytes", "n", "shards").mapInArrow(merge, FOUND), "repeated-windows")
@@ -405,7 +410,7 @@ def repeats(docs: DataFrame, window: int = 400, most_segments: int = 1000) -> tu
 
 
 def report(docs: DataFrame, window: int = 400, most_segments: int = 1000) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, changed (whether any byte is removed)."""
     rows, kept = repeats(docs, window, most_segments)
     kept = written(kept.drop("kept"), "kept-digests")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
@@ -415,6 +420,7 @@ def report(docs: DataFrame, window: int = 400, most_segments: int = 1000) -> Dat
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, hashlib.sha256().hexdigest()).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        (whole | F.coalesce(F.col("n_removed") > 0, F.lit(False))).alias("changed"),
     )
 
 
@@ -422,14 +428,16 @@ def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     """The rows of `docs`, all columns, without their repeated bytes; rows of which nothing is left are dropped."""
     rows, kept = repeats(docs, window)
     # Only texts that change meet their row by digest: everything else is passed on as it is.
-    copies = rows.filter("copies > 1").select("digest", F.lit(True).alias("whole")).distinct()
-    changed = written(kept.select("digest", "kept").join(copies, "digest", "full_outer"), "kept-texts")
-    own = docs.withColumn("digest__", F.unhex(F.sha2(text_of("text"), 256)))
-    joined = own.join(changed.withColumnRenamed("digest", "digest__"), "digest__", "left")
-    gone = F.coalesce(F.col("whole"), F.lit(False)) & (F.octet_length(text_of("text")) >= window)
-    left = F.when(gone, F.lit("")).when(F.col("kept").isNotNull(), F.col("kept").cast("string")).otherwise(F.col("text"))
-    changed_row = gone | F.col("kept").isNotNull()
-    out = joined.withColumn("text", left).filter(~changed_row | (F.trim(F.col("text")) != ""))
+    tail = uuid.uuid4().hex  # no column of `docs` has such names
+    digest, whole, text = (f"{n}__{tail}" for n in ("digest", "whole", "text"))
+    copies = rows.filter("copies > 1").select(F.col("digest").alias(digest), F.lit(True).alias(whole)).distinct()
+    kept = kept.select(F.col("digest").alias(digest), F.col("kept").alias(text))
+    changed = written(kept.join(copies, digest, "full_outer"), "kept-texts")
+    joined = docs.withColumn(digest, F.unhex(F.sha2(text_of("text"), 256))).join(changed, digest, "left")
+    gone = F.coalesce(F.col(whole), F.lit(False)) & (F.octet_length(text_of("text")) >= window)
+    left = F.when(gone, F.lit("")).when(F.col(text).isNotNull(), F.col(text).cast("string")).otherwise(F.col("text"))
+    changed_row = gone | F.col(text).isNotNull()
+    out = joined.withColumns({"text": left, whole: changed_row}).filter(f"NOT `{whole}` OR trim(text) <> ''")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed_row, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(whole), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
