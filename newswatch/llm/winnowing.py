@@ -173,7 +173,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "text", "turned", "mark", "stretch", "ahead"]
     dealt = rows.select(*names[:4]).mapInArrow(deal, "doc_id long, text string, turned long, mark long, stretch int, ahead boolean")
-    dealt = dealt.repartition(n_parts, "stretch").sortWithinPartitions("stretch", "ahead", "turned", "mark")
+    dealt = dealt.repartitionById(n_parts, "stretch").sortWithinPartitions("stretch", "ahead", "turned", "mark")
     return dealt.select("doc_id", "text", "stretch", "ahead").mapInArrow(compare, COMPARED)
 
 
