@@ -155,6 +155,37 @@ def test_merged_transforms_on_small_alphabets(monkeypatch):
             assert bytes(b for b, x in zip(p, m, strict=True) if not x) == brute.removed(p, counts, window)[2]
 
 
+def test_a_call_merges_several_transforms(monkeypatch):
+    """With the default sizes what is merged at a time has more than one shard."""
+    shards, merged = [], suffix_dedup.merged
+    monkeypatch.setattr(suffix_dedup, "merged", lambda orders, *rest: shards.append(len(orders)) or merged(orders, *rest))
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(5000)]
+    common = " ".join(rnd.choice(words) for _ in range(90)).encode()
+    segments = [" ".join(rnd.choice(words) for _ in range(120)).encode() + common for _ in range(suffix_dedup.CHUNK // 1200)]
+    got = {s: (low, high) for s, low, high in suffix_dedup.repeated_windows(segments, [1] * len(segments), 400)}
+    assert shards[0] > 2 and len(got) == len(segments)
+    assert all(low <= len(s) - len(common) and high == len(s) for s, (low, high) in zip(segments, (got[k] for k in range(len(segments))), strict=True))
+
+
+@pytest.mark.parametrize("stage", ["quality", "repeats", "copies"])
+def test_stages_keep_columns_of_any_name(spark, sf_dir, stage):
+    docs = table(spark, sf_dir, "documents").filter("doc_id < 120")
+    names = ["kept", "whole", "digest__", "row__", "a.b", "document", "limits", "n_words", "changed", "c", "n", "set_id"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    one = {
+        "quality": lambda d: quality_rules.good_documents(d, table(spark, sf_dir, "labels")),
+        "repeats": suffix_dedup.without_repeats,
+        "copies": ngram_join.one_of_each,
+    }[stage]
+    plain = {tuple(r) for r in one(docs).collect()}
+    got = one(wide)
+    assert got.columns == wide.columns and got.schema == wide.schema
+    found = got.collect()
+    assert {tuple(r)[: len(docs.columns)] for r in found} == plain
+    assert all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+
+
 def test_suffix_order():
     rnd = random.Random(2)
     for _ in range(50):
@@ -240,7 +271,7 @@ def test_licence_classifier(spark, model, docs, rows):
         assert (notice.line, notice.family, notice.confirmed) == (1, family, sure)
     summary = license_scan.summary(license_scan.scan(docs, model)).collect()
     assert len(summary) == len(rows)
-    known = ("GNU General Public License, version 3", "MIT License", "Apache License, Version 2.0", "CC BY-NC 4.0")
+    known = ("GNU General Public License, version 3", "MIT License", "Apache License, Version 2.0", "CC BY-NC 4.0", "All rights reserved.")
     want = collections.Counter((d, sum(x in (t or "") for x in known)) for d, t in rows)
     assert collections.Counter((r.doc_id, r.n_confirmed) for r in summary) == want
 

@@ -11,9 +11,9 @@ from newswatch.llm.common import table
 from tests.llm import brute
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_thirteen_operators_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == [
