@@ -8,6 +8,7 @@ an end tag without one is ignored.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
@@ -15,6 +16,8 @@ from html.parser import HTMLParser
 # ---- fixed values ----
 DROPPED_TAGS = ["script", "style", "nav", "header", "footer", "aside"]
 BODY_NAME = re.compile("article|content|post|entry", re.I)
+DATE_METAS = [("property", "article:published_time"), ("name", "pubdate"), ("itemprop", "datePublished")]
+JSONLD_TYPE = "application/ld+json"
 LISTING_CLASSES = ["news", "press", "story", "post", "card", "listing", "resource", "results"]
 MIN_BODY_CHARS = 100
 # ---- end of fixed values ----
@@ -135,44 +138,93 @@ def article_text(html: str) -> str | None:
     return text or None
 
 
-# What the quick link reader takes for granted; any other page goes through the tree.
+# What the one-pass reader takes for granted; any other page goes through the tree.
 _ODD = re.compile(r"<!\[|<\?|<!(?!--|doctype)|<title[^>]*>[^<]*<(?!/title)|</?(?:textarea|plaintext|xmp|iframe|noembed|noframes|noscript)|\x00", re.I)
-_ATTRIBUTES = r"""(?:\s+[a-zA-Z_:@][^\s=<>"'/]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`/]+))?)*"""
+_ATTRIBUTES = r"""(?:\s+[a-zA-Z_:@][^\s=<>"'/]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`/]+))?)*+"""
 _PIECE = re.compile(
-    rf"""<!--(?P<note>.*?)-->|<!doctype[^>]*>|<(?P<code>script|style)(?P<codeattr>{_ATTRIBUTES})\s*>.*?</(?P=code)\s*>"""
+    rf"""<!--(?P<note>.*?)-->|<!doctype[^>]*>|<(?P<code>script|style)(?P<codeattr>{_ATTRIBUTES})\s*>(?P<inner>.*?)</(?P=code)\s*>"""
     rf"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attr>{_ATTRIBUTES})\s*(?P<self>/?)>""",
     re.I | re.S,
 )
 _ONE = re.compile(r"""([a-zA-Z_:@][^\s=<>"'/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`/]+)))?""")
 
 
+def _attributes(source: str) -> dict[str, str]:
+    """The first value of each attribute, as written; names in lower case."""
+    found: dict[str, str] = {}
+    for m in _ONE.finditer(source):
+        found.setdefault(m[1].lower(), m[m.lastindex] if m.lastindex > 1 else "")
+    return found
+
+
 def _value(attributes: str, wanted: str) -> str:
     """The first attribute of a name, decoded, '' when missing."""
-    for m in _ONE.finditer(attributes):
-        if m[1].lower() == wanted:
-            value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
-            return unescape(value) if "&" in value else value
-    return ""
+    value = _attributes(attributes).get(wanted, "")
+    return unescape(value) if "&" in value else value
+
 
+@dataclass
+class Reading:
+    """What one pass over a page's source finds."""
 
-def quick_anchors(html: str) -> list[tuple[int, str, str, int | None]] | None:
-    """``anchors`` without a tree, for pages of ordinary tags; None for any other."""
-    if _ODD.search(html):
+    title: str | None = None  # decoded text of the first title element
+    shared_title: str | None = None  # decoded content of the first og:title meta
+    dates: list[str] = field(default_factory=list)  # texts that may hold the date, in order
+    text: str | None = None  # main text, white space as found
+    items: list[str] = field(default_factory=list)  # JSON-LD texts
+    anchors: list[tuple[int, str, str, int | None]] = field(default_factory=list)
+
+
+def _text_of(bodies: list[list[str] | None], paragraphs: list[list[str]]) -> str | None:
+    body = next((b for b in bodies if b is not None), None)
+    text = " ".join(body) if body else ""
+    if len(text) < MIN_BODY_CHARS:
+        text = " ".join(p for own in paragraphs if (p := "".join(own)))
+    return text or None
+
+
+def one_pass(html: str) -> Reading | None:
+    """Title, dates, main text, embedded items and links of a page of ordinary tags; None for any other.
+
+    The tags are met once, in order and in time linear in the source; no tree is built. An open text
+    is told to everything that is open around it and not hidden from it.
+    """
+    lowered = html.lower()
+    open_ends = [(lowered.rfind(a), lowered.rfind(b)) for a, b in (("<!--", "-->"), ("<script", "</script"), ("<style", "</style"))]
+    if any(a > b for a, b in open_ends) or _ODD.search(html):
         return None
-    stack: list[tuple[str, int | None, bool]] = []  # tag, best rank down to it, hidden
+    out = Reading()
+    stack: list[tuple[str, int | None]] = []  # tag, best rank of a listing container down to it
     open_tags: dict[str, int] = {}
-    links: list[list] = []  # position, href, texts, rank, place in the stack or None when closed
+    hidden: list[int] = []  # places in the stack of elements whose text does not count for a link
+    dropped: list[int] = []  # and for the main text
+    links: list[list] = []  # position, href, texts, rank, place in the stack
     live: list[list] = []
+    bodies: list[list[str] | None] = [None] * 4  # texts of the first article, div by class, div by id, main
+    paragraphs: list[list[str]] = []
+    reading: list[tuple[int, list[str]]] = []  # places and texts of the open ones of both
+    metas: dict[tuple[str, str], str] = {}
+    time_texts: list[str] | None = None  # data of the first time element, None while there was none
+    date_shown, time_content, in_time, in_title = "", "", False, False
+    title: list[str] | None = None
     at, data = 0, ""
 
     def flush() -> None:
         nonlocal data
         if data:
-            if live and (text := decode(data).strip()):
-                last = max((k for k, e in enumerate(stack) if e[2]), default=-1)
+            if in_time:
+                time_texts.append(data)
+            if in_title:
+                title.append(data)
+            if (live or reading) and (text := decode(data).strip()):
+                last = hidden[-1] if hidden else -1
                 for link in live:
                     if link[4] >= last:
                         link[2].append(text)
+                last = max(last, dropped[-1] if dropped else -1)
+                for place, texts in reading:
+                    if place >= last:
+                        texts.append(text)
             data = ""
 
     for m in _PIECE.finditer(html):
@@ -183,13 +235,23 @@ def quick_anchors(html: str) -> list[tuple[int, str, str, int | None]] | None:
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if not m[0].startswith("<!") or m["note"] is not None:  # a declaration does not part a text
+            if m["code"]:
+                flush()
+                if m["code"].lower() == "script" and m["inner"] and _attributes(m["codeattr"]).get("type") == JSONLD_TYPE:
+                    out.items.append(m["inner"])
+            elif m["note"] is not None:  # a declaration does not part a text
                 flush()
             continue
         tag = tag.lower()
         if m["end"]:
             if m["attr"] or m["self"]:
                 return None
+            if tag == "time" and in_time:
+                flush()
+                in_time, date_shown = False, time_content or "".join(time_texts)  # one that never ends has no date
+            elif tag == "title" and in_title:
+                flush()
+                in_title, out.title = False, "".join(title)
             if open_tags.get(tag):
                 flush()
                 while True:
@@ -197,34 +259,79 @@ def quick_anchors(html: str) -> list[tuple[int, str, str, int | None]] | None:
                     open_tags[name] -= 1
                     if name == tag:
                         break
-                live = [x for x in live if x[4] < len(stack)]
+                depth = len(stack)
+                live = [x for x in live if x[4] < depth]
+                reading = [x for x in reading if x[0] < depth]
+                while hidden and hidden[-1] >= depth:
+                    hidden.pop()
+                while dropped and dropped[-1] >= depth:
+                    dropped.pop()
             continue
         flush()
         rank = stack[-1][1] if stack else None
         attr = m["attr"]
+        place = len(stack)
         if tag == "a":
             href = _value(attr, "href") if attr else ""
             if href:
-                links.append([len(links), href, [], rank, len(stack)])
+                links.append([len(links), href, [], rank, place])
                 live.append(links[-1])
+        elif tag == "meta" and attr:
+            values = _attributes(attr)
+            for key in ("property", "name", "itemprop"):
+                if key in values:
+                    metas.setdefault((key, values[key]), values.get("content", ""))
+        elif tag == "time" and time_texts is None and not m["self"]:
+            time_texts, in_time = [], True
+            time_content = _attributes(attr).get("content", "") if attr else ""
+        elif tag == "title" and title is None and not m["self"]:
+            title, in_title = [], True
         if tag in VOID:
             continue
         own = [] if rank is None else [rank]
         if tag == "article":
             own.append(0)
-        if attr and "class" in attr.lower():
+        lowered = attr.lower() if attr else ""
+        if "class" in lowered:
             names = _value(attr, "class").split()
             own += [i for i, name in enumerate(LISTING_CLASSES, 1) if name in names]
+        if not dropped and tag in ("article", "div", "main", "p"):
+            kinds = []
+            if tag == "article":
+                kinds = [0]
+            elif tag == "main":
+                kinds = [3]
+            elif tag == "div":
+                kinds = [k for k, name in ((1, "class"), (2, "id")) if name in lowered and BODY_NAME.search(_value(attr, name))]
+            for k in kinds:
+                if bodies[k] is None:
+                    bodies[k] = []
+                    if not m["self"]:
+                        reading.append((place, bodies[k]))
+            if tag == "p":
+                paragraphs.append([])
+                if not m["self"]:
+                    reading.append((place, paragraphs[-1]))
         if m["self"]:
             live = [x for x in live if x[4] < len(stack)] if tag == "a" else live
             continue
-        stack.append((tag, min(own, default=None), tag in HIDDEN))
+        stack.append((tag, min(own, default=None)))
         open_tags[tag] = open_tags.get(tag, 0) + 1
+        if tag in HIDDEN:
+            hidden.append(place)
+        if tag in DROPPED_TAGS:
+            dropped.append(place)
     if "<" in html[at:]:
         return None
     data += html[at:]
     flush()
-    return [(n, href, " ".join(texts), rank) for n, href, texts, rank, _ in links]
+    out.title = None if out.title is None else decode(out.title)
+    shared = metas.get(("property", "og:title"), "")
+    out.shared_title = unescape(shared) if "&" in shared else shared
+    out.dates = [metas.get(key, "") for key in DATE_METAS] + [date_shown]
+    out.text = _text_of(bodies, paragraphs)
+    out.anchors = [(n, href, " ".join(texts), rank) for n, href, texts, rank, _ in links]
+    return out
 
 
 def anchors(html: str) -> list[tuple[int, str, str, int | None]]:
@@ -232,8 +339,8 @@ def anchors(html: str) -> list[tuple[int, str, str, int | None]]:
 
     Rank 0 is an article element, 1 to 8 a listing class, None no container.
     """
-    found = quick_anchors(html)
-    return tree_anchors(html) if found is None else found
+    found = one_pass(html)
+    return tree_anchors(html) if found is None else found.anchors
 
 
 def tree_anchors(html: str) -> list[tuple[int, str, str, int | None]]:

@@ -7,9 +7,10 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from newswatch.functions import dom
+from newswatch.functions.dom import DATE_METAS, JSONLD_TYPE
 from newswatch.functions.text import parse_utc, squash_spaces, strip
 
 # ---- fixed values ----
@@ -18,8 +19,6 @@ MIN_TEXT_CHARS = 50
 DATE_SCAN_CHARS = 200_000
 # the word boundary is looked for after the literal, which is far cheaper to find
 ISO_DATE = r"(?iU)20(?<=\b20)\d{2}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})?)?\b"
-DATE_METAS = [("property", "article:published_time"), ("name", "pubdate"), ("itemprop", "datePublished")]
-JSONLD_TYPE = "application/ld+json"
 # ---- end of fixed values ----
 
 # Named entities decoded in place; a page with any other goes through the page reader.
@@ -63,11 +62,35 @@ def _tree_text(pages: pd.Series) -> pd.Series:
     return pages.map(lambda html: dom.article_text(html) if isinstance(html, str) else None)
 
 
+READING = (
+    StructType()
+    .add("odd", BooleanType())
+    .add("title", StringType())
+    .add("shared_title", StringType())
+    .add("dates", ArrayType(StringType()))
+    .add("text", StringType())
+)
+
+
+@F.pandas_udf(READING)
+def _one_pass(pages: pd.Series) -> pd.DataFrame:
+    """Title, dates and main text from one pass over each page; only ``odd`` for those it cannot read."""
+
+    def fields(html: str | None) -> tuple:
+        if not isinstance(html, str):
+            return (False, None, None, None, None)
+        found = dom.one_pass(html)
+        return (True, None, None, None, None) if found is None else (False, found.title, found.shared_title, found.dates, found.text)
+
+    return pd.DataFrame(list(map(fields, pages)), columns=["odd", "title", "shared_title", "dates", "text"])
+
+
 # Keeps later filters above the step, so that no page is parsed once for the
 # filter and once more for the column.
 _decode_text = _decode_text.asNondeterministic()
 _decode_value = _decode_value.asNondeterministic()
 _tree_text = _tree_text.asNondeterministic()
+_one_pass = _one_pass.asNondeterministic()
 
 
 def decoded(c: Column, value: bool = False) -> Column:
@@ -133,6 +156,30 @@ def closes_itself(segment: Column) -> Column:
     return F.forall(ends, stays_open)
 
 
+def with_page_fields(pages: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
+    """Add ``page_title``, ``page_date`` and ``page_text`` (H1, H2), from one pass over the source.
+
+    Needs ``html``, which is dropped. Pages with unusual tags go through the patterns and the tree,
+    which get NULL for all others.
+    """
+    read = pages.withColumn("reading", _one_pass(F.col("html")))
+    read = read.withColumns({"odd_html": F.when(F.col("reading.odd"), F.col("html"))})
+    read = read.withColumn("code_free", without_code(F.col("odd_html")))
+    rules = read.withColumns({"odd_title": page_title(F.col("code_free")), "odd_date": page_date(F.col("code_free"), F.col("odd_html"))})
+    rules = with_main_text(rules.withColumnRenamed("html", "source").withColumnRenamed("odd_html", "html"), max_chars)
+    title = F.coalesce(*[F.nullif(strip(F.col(f"reading.{c}")), F.lit("")) for c in ("title", "shared_title")])
+    dates = [F.get("reading.dates", F.lit(k)) for k in range(len(DATE_METAS) + 1)]
+    plain = F.substring(squash_spaces(F.col("reading.text")), 1, max_chars)
+    scanned = F.when(~F.col("reading.odd"), F.substring("source", 1, DATE_SCAN_CHARS))
+    return rules.withColumns(
+        {
+            "page_title": F.when(F.col("reading.odd"), F.col("odd_title")).otherwise(title),
+            "page_date": F.when(F.col("reading.odd"), F.col("odd_date")).otherwise(F.coalesce(first_date(dates), first_date([scanned]))),
+            "page_text": F.when(F.col("reading.odd"), F.col("page_text")).otherwise(F.when(F.length(plain) > MIN_TEXT_CHARS, plain)),
+        }
+    ).drop("reading", "html", "source", "code_free", "odd_title", "odd_date")
+
+
 def with_main_text(pages: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
     """Add ``page_text``, the article text, NULL unless longer than 50 characters (H1).
 

@@ -6,13 +6,15 @@ import json
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from newswatch.functions import dom
-from newswatch.functions.markup import jsonld_texts, page_date, page_title, with_main_text, without_code
+from newswatch.functions.markup import jsonld_texts, with_page_fields
 from newswatch.functions.text import parse_utc
 from newswatch.functions.urls import article_like, extra_listing, host, normalize, resolve
 from newswatch.operators.load import is_later
@@ -47,35 +49,44 @@ _CONTAINERS = 1 + len(dom.LISTING_CLASSES)
 
 def page_fields(pages: DataFrame) -> DataFrame:
     """Title, date and main text of article pages (H1, H2)."""
-    head = pages.withColumn("code_free", without_code(F.col("html")))
-    fields = head.withColumns(
-        {
-            "page_title": page_title(F.col("code_free")),
-            "page_date": page_date(F.col("code_free"), F.col("html")),
-        }
-    )
-    return with_main_text(fields).drop("html", "code_free")
+    return with_page_fields(pages)
 
 
-def page_anchors(pages: DataFrame) -> DataFrame:
-    """(url, pos, href, text, container) of every link of (url, html) rows (H4).
+READS = "url string, anchors array<struct<pos: bigint, href: string, text: string, container: bigint>>, items array<string>, odd boolean"
+
 
-    The only Python over page source here: enclosing elements need a reader.
+def page_reads(pages: DataFrame) -> DataFrame:
+    """(url, anchors, items, odd): the links and JSON-LD texts of (url, html) rows, from one pass over each page (H3, H4).
+
+    The links of an ``odd`` page come from the element tree; its items are NULL and left to a pattern.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (url, *anchor)
-                for url, html in zip(batch["url"], batch["html"], strict=True)
-                if html
-                for anchor in dom.anchors(html)
-            ]
-            frame = pd.DataFrame(rows, columns=["url", "pos", "href", "text", "container"])
-            yield frame.astype({"pos": "int64", "container": "Int64"})
+            rows = [(url, html) for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if html]
+            found = [dom.one_pass(html) for _, html in rows]
+            links = [dom.tree_anchors(html) if f is None else f.anchors for f, (_, html) in zip(found, rows, strict=True)]
+            ends = pa.array(np.cumsum([0, *map(len, links)]), pa.int32())
+            parts = list(zip(*[a for own in links for a in own], strict=True)) or [[]] * 4
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+            entries = pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(parts, kinds, strict=True)], ["pos", "href", "text", "container"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([url for url, _ in rows], pa.string()), pa.ListArray.from_arrays(ends, entries),
+                 pa.array([None if f is None else f.items for f in found], pa.list_(pa.string())), pa.array([f is None for f in found])],
+                ["url", "anchors", "items", "odd"],
+            )
+
+    return pages.select("url", "html").mapInArrow(read, READS)
+
+
+def page_anchors(pages: DataFrame) -> DataFrame:
+    """(url, pos, href, text, container) of every link of (url, html) rows (H4)."""
+    return anchors_of(page_reads(pages))
+
 
-    schema = "url string, pos bigint, href string, text string, container bigint"
-    return pages.select("url", "html").mapInPandas(read, schema)
+def anchors_of(reads: DataFrame) -> DataFrame:
+    """The links of ``page_reads``, one row each."""
+    return reads.select("url", F.inline("anchors"))
 
 
 def selector_rank(href: Column, container: Column) -> Column:
@@ -157,13 +168,18 @@ def _with_graph(obj: Column, depth: int = GRAPH_DEPTH) -> Column:
     return F.concat(F.array(obj), F.flatten(F.transform(_elements(_get(obj, "@graph")), lambda n: _with_graph(n, depth - 1))))
 
 
-def jsonld_items(pages: DataFrame) -> DataFrame:
+def jsonld_items(pages: DataFrame, reads: DataFrame | None = None) -> DataFrame:
     """Article items of embedded JSON-LD: (page_url, n, url, title, published_date) (H3).
 
-    A script holds one object, a list, or a graph. Items of another host are left out.
+    ``reads`` are the ``page_reads`` of the pages, if there are any already; of odd pages a pattern finds the scripts. A script holds one object, a list, or a graph. Items of another host are left out.
     Graphs nested deeper than expressions unfold go to a reader; a node's fields are parsed once.
     """
-    blocks = pages.select(F.col("url").alias("page_url"), F.posexplode(jsonld_texts(F.col("html"))).alias("block", "json"))
+    if reads is None:
+        found = pages.select("url", jsonld_texts(F.col("html")).alias("items"))
+    else:
+        odd = pages.join(reads.where("odd").select("url"), "url", "left_semi").select("url", jsonld_texts(F.col("html")).alias("items"))
+        found = reads.where("NOT odd").select("url", "items").unionByName(odd)
+    blocks = found.select(F.col("url").alias("page_url"), F.posexplode("items").alias("block", "json"))
     valid = blocks.where(F.try_parse_json(F.col("json")).isNotNull())
     text = F.ltrim(F.col("json"))
     levels = (F.length(text) - F.length(F.replace(text, F.lit('"@graph"'), F.lit("")))) / len('"@graph"')
@@ -199,19 +215,19 @@ def jsonld_items(pages: DataFrame) -> DataFrame:
 
 
 def candidates(
-    pages: DataFrame, html: DataFrame, max_items: int = MAX_ITEMS, anchors: DataFrame | None = None
+    pages: DataFrame, html: DataFrame, max_items: int = MAX_ITEMS, reads: DataFrame | None = None
 ) -> DataFrame:
     """Article urls to visit per source, in order.
 
     ``pages``: (company_name, source_url, page_no, page_url), the listing pages
-    of each source. ``html``: (url, html) of those pages; ``anchors``: their links,
-    if they have been read already. Embedded items come first; a page's links count only while the list is shorter than
+    of each source. ``html``: (url, html) of those pages; ``reads``: their
+    ``page_reads``, if they have been read already. Embedded items come first; a page's links count only while the list is shorter than
     ``max_items``. That list only grows, so running counts decide. The counts,
     the grouping and the later ranking share one shuffle by source; a source
     has at most 1 + MAX_EXTRA_PAGES pages.
     """
     source = ["company_name", "source_url"]
-    items = jsonld_items(html).select(
+    items = jsonld_items(html, reads).select(
         "page_url",
         F.lit(0).alias("kind"),
         F.col("n.block").alias("a"),
@@ -220,7 +236,7 @@ def candidates(
         "title",
         "published_date",
     )
-    links = listing_links(page_anchors(html) if anchors is None else anchors, max_items).select(
+    links = listing_links(page_anchors(html) if reads is None else anchors_of(reads), max_items).select(
         "page_url",
         F.lit(1).alias("kind"),
         F.lit(0).alias("a"),

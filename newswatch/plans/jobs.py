@@ -45,27 +45,27 @@ def crawl(
 ) -> tuple[DataFrame, DataFrame]:
     """Records and fetch log of all sources from stored pages.
 
-    Pages are looked up once per kind of visit, links are read once per page.
+    Pages are looked up once per kind of visit; links and embedded items come from one pass over each page.
     """
     sources = registry.source_urls(wh["load_sources"])
     first = written(extract.first_visits(sources, snapshots, robots.site_rules(robots_files, user_agent)), "listings")
-    anchors = written(_anchors(first), "anchors")
-    extra = written(extract.extra_visits(first, anchors, snapshots), "extra-listings")
-    anchors = anchors.unionByName(written(_anchors(extra), "extra-anchors"))
+    reads = written(_reads(first), "listing-reads")
+    extra = written(extract.extra_visits(first, extract.anchors_of(reads), snapshots), "extra-listings")
+    reads = reads.unionByName(written(_reads(extra), "extra-reads")).dropDuplicates(["url"])
     listings = first.unionByName(extra)
     opened = listings.where("fetched")
     pages = opened.select("company_name", "source_url", "page_no", F.col("url").alias("page_url"))
     html = opened.select("url", F.col("text").alias("html"))
     config = registry.active_config(wh["load_config"], flow_name)
     cutoffs = delta_cutoffs(wh, config, flow_name)
-    chosen = extract.chosen_candidates(extract.candidates(pages, html, max_items, anchors), cutoffs, max_items)
+    chosen = extract.chosen_candidates(extract.candidates(pages, html, max_items, reads), cutoffs, max_items)
     articles = written(extract.article_visits(chosen, snapshots), "articles")
     return extract.records(articles, fetched_at), extract.visit_log(listings, articles)
 
 
-def _anchors(visits: DataFrame) -> DataFrame:
+def _reads(visits: DataFrame) -> DataFrame:
     opened = visits.where("fetched").select("url", F.col("text").alias("html"))
-    return extract.page_anchors(opened.dropDuplicates(["url"]))
+    return extract.page_reads(opened.dropDuplicates(["url"]))
 
 
 def delta_cutoffs(wh: Warehouse, config: DataFrame, flow_name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newswatch.functions.markup import page_title, without_code
 from newswatch.functions.urls import normalize
 from newswatch.operators import extract, load, robots
+from newswatch.plans.jobs import written
 from newswatch.plans.queries_load import Inputs
 from newswatch.sources.driver_tables import FLOW, adapted, read
 from newswatch.sources.pages import fetch_log
@@ -50,7 +51,8 @@ def listing_html(t: PageInputs) -> DataFrame:
 
 def chosen(t: PageInputs) -> DataFrame:
     pages = t.listings.select("company_name", F.col("url").alias("source_url"), F.lit(0).alias("page_no"), F.col("url").alias("page_url"))
-    found = extract.candidates(pages, listing_html(t), MAX_ITEMS)
+    reads = written(extract.page_reads(listing_html(t)), "listing-reads")
+    found = extract.candidates(pages, listing_html(t), MAX_ITEMS, reads)
     return extract.chosen_candidates(found, load.last_success(t.monitoring, FLOW), MAX_ITEMS)
 
 

@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from newswatch.functions import dom, markup, urls
@@ -266,16 +268,59 @@ def test_jsonld_pattern_skips_other_scripts(spark):
     assert one(spark, html).select(markup.jsonld_texts(F.col("html"))).head()[0] == ["{}"]
 
 
-def test_quick_link_reader_equals_the_tree():
-    rnd = random.Random(9)
-    pool = """<a href="/x">|</a>|<a href=y>|<p>|</p>|<div class="news x">|</div>|<article>|</article>|t & u &amp; &copy |<!-- c -->|<br>|<br/>
-        |<script>var a="<a href=1>";</script>|<li class=card>|</li>|<template>|</template>|<a>| text |<b/>|<a href="/q"/>|<img src=x>|&#65;|<rt>|</rt>
-        |<span CLASS="story">|</span>|<A HREF="&lt;z">|</x>|< b|<style>p{}</style>|<title>a</title>|<p title="a>b">|<!doctype html>|<a href="">""".split("|")
+PROSE = "some words of the article that go on for long enough to be taken as its text "
+PIECES = ("""<a href="/x">|</a>|<a href=y>|<p>|</p>|<div class="news x">|</div>|<article>|</article>|t & u &amp; &copy |<!-- c -->|<br>|<br/>
+    |<script>var a="<a href=1>";</script>|<li class=card>|</li>|<template>|</template>|<a>| text |<b/>|<a href="/q"/>|<img src=x>|&#65;|<rt>|</rt>
+    |<span CLASS="story">|</span>|<A HREF="&lt;z">|</x>|< b|<style>p{}</style>|<title>a &amp; b</title>|<p title="a>b">|<!doctype html>|<a href="">
+    |<main>|</main>|<nav>|</nav>|<div id="content">|<div class="post-body">|<header>|</header>|<p/>|<article/>
+    |<meta property="og:title" content="Shared &eacute; title">|<META name="pubdate" content="2024-03-01">|<meta itemprop=datePublished content=2024-04-02T10:00:00Z>
+    |<meta property="article:published_time" content="no date">|<time content="2024-05-06">|<time>|</time>|2024-01-31|<title> </title>
+    |<script type="application/ld+json">{"@type":"Article"}</script>|<script type='text/x'>{}</script>|<!-- <script type="application/ld+json">{}</script> -->|"""
+    + "|".join([PROSE, f"<p>{PROSE}</p>", f"<article>{PROSE}{PROSE}</article>"])).split("|")
+
+
+def random_pages(n, seed):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(1, 16))) for _ in range(n)]
+
+
+def test_one_pass_equals_the_tree():
     quick = 0
-    for _ in range(4000):
-        html = "".join(rnd.choice(pool) for _ in range(rnd.randint(1, 14)))
-        found = dom.quick_anchors(html)
+    for html in random_pages(6000, 9):
+        found = dom.one_pass(html)
         if found is not None:
             quick += 1
-            assert found == dom.tree_anchors(html), html
+            assert found.anchors == dom.tree_anchors(html), html
+            assert found.text == dom.article_text(html), html
     assert quick > 2000
+
+
+def test_one_pass_equals_the_patterns(spark, sf_dir):
+    """Title, date, text and embedded items of random pages and of the driver's."""
+    made = spark.createDataFrame([(f"https://example.com/{k}", h) for k, h in enumerate(random_pages(300, 4))], "url string, html string")
+    pages = made.unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html")).distinct()
+    head = pages.withColumn("code_free", markup.without_code(F.col("html")))
+    old = head.withColumns({"page_title": markup.page_title(F.col("code_free")), "page_date": markup.page_date(F.col("code_free"), F.col("html"))})
+    old = markup.with_main_text(old).select("url", "html", "page_title", "page_date", "page_text").collect()
+    new = {r.url: r for r in extract.page_fields(pages.withColumn("source_html", F.col("html"))).collect()}
+    for r in old:
+        got = new[r.url]
+        assert (got.page_title, got.page_date, got.page_text) == (r.page_title, r.page_date, r.page_text), r.html
+    items = {r.url: r["items"] for r in extract.page_reads(pages).where("NOT odd").collect()}
+    for r in pages.select("url", "html", markup.jsonld_texts(F.col("html")).alias("j")).collect():
+        assert items.get(r.url, r.j) == r.j, r.html
+
+
+@pytest.mark.parametrize("piece", ["<a b ", "<a '", "<!-- ", "<script ", '<p x="', "<p>", "<b", "&amp", "<article><p>"])
+def test_one_pass_is_linear(piece):
+    start = time.perf_counter()
+    dom.one_pass(piece * (400_000 // len(piece)))
+    assert time.perf_counter() - start < 5
+
+
+def test_odd_pages_still_have_fields_and_links(spark):
+    html = f'<title>Odd</title><noscript>x</noscript><article><a href="/news/one">One</a> {PROSE}{PROSE}</article>'
+    row = extract.page_fields(one(spark, html)).head()
+    assert row.page_title == "Odd" and row.page_text.startswith("One some words")
+    reads = extract.page_reads(one(spark, html)).head()
+    assert reads.odd and [a.href for a in reads.anchors] == ["/news/one"]
