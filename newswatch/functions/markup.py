@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from newswatch.functions import dom
 from newswatch.functions.dom import DATE_METAS, JSONLD_TYPE
@@ -63,26 +64,59 @@ def _tree_text(pages: pd.Series) -> pd.Series:
 
 
 READING = (
-    StructType()
-    .add("odd", BooleanType())
-    .add("title", StringType())
-    .add("shared_title", StringType())
-    .add("dates", ArrayType(StringType()))
-    .add("text", StringType())
+    StructType().add("title", StringType()).add("shared_title", StringType()).add("dates", ArrayType(StringType())).add("text", StringType())
 )
 
 
+def _python(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.ASCII)
+
+
+def _attribute_pattern(name: str) -> str:
+    return rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def _meta_pattern(key: str, value: str) -> str:
+    exact = value.replace(".", r"\.")
+    return rf"""(?is)<meta\s(?:[^>]*\s)?{key}\s*=\s*(?-i:["']?{exact}["']?)(?=[\s/>])[^>]*>"""
+
+
+_TITLE = r"(?is)<title(?=[\s>])[^>]*>(.*?)</title\s*>"
+_TIME = r"(?is)<time(?=[\s>])[^>]*>.*?</time\s*>"
+_OPENING = r"(?s)^<[^>]*>"
+
+
+def _odd_page(html: str) -> dom.Reading:
+    """The fields of a page that is not of ordinary tags: by the same patterns as columns, and by the tree."""
+    head = _python(_CODE).sub(" ", html)
+
+    def content(tag: str) -> str:
+        m = _python(_attribute_pattern("content")).search(tag)
+        return next((g for g in m.groups() if g is not None), "") if m else ""
+
+    def meta(key: str, value: str) -> str:
+        m = _python(_meta_pattern(key, value)).search(head)
+        return content(m[0]) if m else ""
+
+    title, shown = _python(_TITLE).search(head), _python(_TIME).search(head)
+    inner = title[1] if title and not re.search("<[a-zA-Z/!]", title[1]) else ""
+    shared = unescape(meta("property", "og:title"))
+    time = content(_python(_OPENING).match(shown[0])[0]) or _python(_TAG).sub("", shown[0]) if shown else ""
+    dates = [*(meta(*key) for key in DATE_METAS), time]
+    return dom.Reading(dom.decode(inner), shared, dates, dom.article_text(html))
+
+
 @F.pandas_udf(READING)
 def _one_pass(pages: pd.Series) -> pd.DataFrame:
-    """Title, dates and main text from one pass over each page; only ``odd`` for those it cannot read."""
+    """Title, dates and main text of each page, read once."""
 
     def fields(html: str | None) -> tuple:
         if not isinstance(html, str):
-            return (False, None, None, None, None)
-        found = dom.one_pass(html)
-        return (True, None, None, None, None) if found is None else (False, found.title, found.shared_title, found.dates, found.text)
+            return (None,) * 4
+        found = dom.one_pass(html) or _odd_page(html)
+        return (found.title, found.shared_title, found.dates, found.text)
 
-    return pd.DataFrame(list(map(fields, pages)), columns=["odd", "title", "shared_title", "dates", "text"])
+    return pd.DataFrame(list(map(fields, pages)), columns=["title", "shared_title", "dates", "text"])
 
 
 # Keeps later filters above the step, so that no page is parsed once for the
@@ -159,25 +193,16 @@ def closes_itself(segment: Column) -> Column:
 def with_page_fields(pages: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
     """Add ``page_title``, ``page_date`` and ``page_text`` (H1, H2), from one pass over the source.
 
-    Needs ``html``, which is dropped. Pages with unusual tags go through the patterns and the tree,
-    which get NULL for all others.
+    Needs ``html``, which is dropped. Python hands back short texts only; dates are parsed, and the
+    source searched for one where none is named, by expressions.
     """
     read = pages.withColumn("reading", _one_pass(F.col("html")))
-    read = read.withColumns({"odd_html": F.when(F.col("reading.odd"), F.col("html"))})
-    read = read.withColumn("code_free", without_code(F.col("odd_html")))
-    rules = read.withColumns({"odd_title": page_title(F.col("code_free")), "odd_date": page_date(F.col("code_free"), F.col("odd_html"))})
-    rules = with_main_text(rules.withColumnRenamed("html", "source").withColumnRenamed("odd_html", "html"), max_chars)
     title = F.coalesce(*[F.nullif(strip(F.col(f"reading.{c}")), F.lit("")) for c in ("title", "shared_title")])
     dates = [F.get("reading.dates", F.lit(k)) for k in range(len(DATE_METAS) + 1)]
-    plain = F.substring(squash_spaces(F.col("reading.text")), 1, max_chars)
-    scanned = F.when(~F.col("reading.odd"), F.substring("source", 1, DATE_SCAN_CHARS))
-    return rules.withColumns(
-        {
-            "page_title": F.when(F.col("reading.odd"), F.col("odd_title")).otherwise(title),
-            "page_date": F.when(F.col("reading.odd"), F.col("odd_date")).otherwise(F.coalesce(first_date(dates), first_date([scanned]))),
-            "page_text": F.when(F.col("reading.odd"), F.col("page_text")).otherwise(F.when(F.length(plain) > MIN_TEXT_CHARS, plain)),
-        }
-    ).drop("reading", "html", "source", "code_free", "odd_title", "odd_date")
+    date = F.coalesce(first_date(dates), first_date([F.substring("html", 1, DATE_SCAN_CHARS)]))
+    read = read.withColumns({"page_title": title, "page_date": date, "page_text": F.substring(squash_spaces(F.col("reading.text")), 1, max_chars)})
+    read = read.withColumn("page_text", F.when(F.length("page_text") > MIN_TEXT_CHARS, F.col("page_text")))
+    return read.drop("reading", "html")
 
 
 def with_main_text(pages: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
@@ -200,20 +225,17 @@ def with_main_text(pages: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFra
 
 def attribute(tag: Column, name: str) -> Column:
     """An attribute of a tag's source, '' when missing."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    return F.concat(*[F.regexp_extract(tag, _attribute_pattern(name), i) for i in (1, 2, 3)])
 
 
 def meta_content(code_free: Column, key: str, value: str) -> Column:
     """Content of the first meta tag with the attribute, '' when missing."""
-    exact = value.replace(".", r"\.")
-    pattern = rf"""(?is)<meta\s(?:[^>]*\s)?{key}\s*=\s*(?-i:["']?{exact}["']?)(?=[\s/>])[^>]*>"""
-    return attribute(F.regexp_extract(code_free, pattern, 0), "content")
+    return attribute(F.regexp_extract(code_free, _meta_pattern(key, value), 0), "content")
 
 
 def page_title(head: Column) -> Column:
     """The title element when it holds text only, else the og:title, of code-free source (H2)."""
-    inner = F.regexp_extract(head, r"(?is)<title(?=[\s>])[^>]*>(.*?)</title\s*>", 1)
+    inner = F.regexp_extract(head, _TITLE, 1)
     title = F.when(~inner.rlike("<[a-zA-Z/!]"), F.nullif(strip(decoded(inner)), F.lit("")))
     shared = F.nullif(strip(decoded(meta_content(head, "property", "og:title"), value=True)), F.lit(""))
     return F.coalesce(title, shared)
@@ -229,8 +251,8 @@ def first_date(texts: list[Column]) -> Column:
 def page_date(head: Column, html: Column) -> Column:
     """Publication date from the known tags in order, else the first date in the source (H2)."""
     candidates = [meta_content(head, key, value) for key, value in DATE_METAS]
-    time = F.regexp_extract(head, r"(?is)<time(?=[\s>])[^>]*>.*?</time\s*>", 0)
-    opening = F.regexp_extract(time, r"(?s)^<[^>]*>", 0)
+    time = F.regexp_extract(head, _TIME, 0)
+    opening = F.regexp_extract(time, _OPENING, 0)
     shown = F.regexp_replace(time, _TAG, "")
     candidates.append(F.coalesce(F.nullif(attribute(opening, "content"), F.lit("")), shown))
     return F.coalesce(first_date(candidates), first_date([F.substring(html, 1, DATE_SCAN_CHARS)]))
