@@ -48,6 +48,32 @@ def model_tag(provider: str, model: str, version: str = PROMPT_VERSION) -> str:
     return f"{provider}:{model}:{version}"
 
 
+def body_hash(body: Column) -> Column:
+    """The hash of a squashed body, '' when it holds nothing (X4, X5): what a load keeps beside the body."""
+    return F.when(_filled(body), content_hash(squash_spaces(body))).otherwise(F.lit(""))
+
+
+def _filled(body: Column) -> Column:
+    return body.rlike(f"(?U)[^{SPACE_CLASS}]")
+
+
+def selected(articles: DataFrame, company: str | None = None, limit: int | None = None) -> DataFrame:
+    """The articles of a company, or the first ones by id; only ids are sorted."""
+    rows = articles if company is None else articles.where(F.upper("company_name") == company.strip().upper())
+    return rows if limit is None else rows.join(rows.select("id").orderBy("id").limit(limit), "id", "left_semi")
+
+
+def due_articles(
+    hashed: DataFrame, existing: DataFrame, target_model: str | None = None, company: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """The articles to summarise, decided on stored hashes alone (E5, E6, J10): no body is read.
+
+    ``hashed`` has ``id``, ``company_name`` and ``content_hash``, '' or NULL for articles without a body.
+    """
+    rows = selected(hashed, company, limit).where("content_hash <> ''")
+    return refresh_decisions(rows, existing, target_model).where("refresh_reason IS NOT NULL").drop("refresh_reason")
+
+
 def cleaned(articles: DataFrame) -> DataFrame:
     """Articles with squashed title and body, and the body's hash."""
     rows = articles.withColumns(
@@ -180,15 +206,15 @@ def enrich(
 ) -> DataFrame:
     """Summary rows to upsert (E6). Rows with an empty summary are dropped.
 
+    For stored articles ``due_articles`` decides first, so that only their bodies come here.
     Everything that needs the body is computed before the join with the stored
     summaries, so bodies never shuffle. ``summarizer`` maps prompts to replies;
     a failure or an unreadable reply falls back to the rules, with the error.
     ``limit`` takes the first articles by id.
     """
-    rows = articles if company is None else articles.where(F.upper("company_name") == company.strip().upper())
-    rows = rows if limit is None else rows.orderBy("id").limit(limit)
+    rows = selected(articles, company, limit)
     # tested on the raw body: a filter on the cleaned one would clean it twice
-    clean = with_structured_summary(cleaned(rows.where(F.col("article_content").rlike(f"(?U)[^{SPACE_CLASS}]"))))
+    clean = with_structured_summary(cleaned(rows.where(_filled(F.col("article_content")))))
     if summarizer is not None:
         clean = clean.withColumn("prompt", prompt(F.col("company_name"), F.col("title"), F.col("content")))
     narrow = clean.select(

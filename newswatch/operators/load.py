@@ -112,15 +112,21 @@ def monitoring_metrics(companies: DataFrame, eligible: DataFrame, metrics: DataF
 
 
 def monitoring_rows(
-    metrics: DataFrame, config: DataFrame, inserted: DataFrame, flow_name: str, run_id: str, ended_at
+    metrics: DataFrame, config: DataFrame, inserted: DataFrame, flow_name: str, run_id: str, ended_at,
+    write_errors: DataFrame | None = None,
 ) -> DataFrame:
     """One monitoring row per company of the run.
 
-    A company fails when it has no eligible row and its sources had errors.
-    ``inserted`` holds (company_name, records_inserted).
+    A company fails when it has no eligible row and its sources had errors, or when its rows could not be
+    stored: ``write_errors`` holds (company_name, write_error). ``inserted`` holds (company_name, records_inserted).
     """
     failed = (F.col("urls_attempted") == 0) & (F.col("error_count") > 0)
     rows = with_load_config(metrics, config).join(inserted, "company_name", "left")
+    if write_errors is None:
+        rows = rows.withColumn("write_error", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(write_errors.select("company_name", "write_error"), "company_name", "left")
+    unstored = F.col("write_error").isNotNull()
     return rows.select(
         F.lit(run_id).alias("run_id"),
         F.lit(flow_name).alias("run_name"),
@@ -128,9 +134,9 @@ def monitoring_rows(
         staging_name(F.col("industry_sector")).alias("target_schema"),
         staging_name(F.col("company_name")).alias("target_table"),
         "load_type",
-        F.when(failed, F.lit(FAILURE)).otherwise(F.lit(SUCCESS)).alias("run_status"),
-        F.when(failed, F.lit(FAILED_MESSAGE)).otherwise(F.lit(LOADED_MESSAGE)).alias("run_message"),
-        F.coalesce("records_inserted", F.lit(0)).cast("bigint").alias("records_inserted"),
+        F.when(failed | unstored, F.lit(FAILURE)).otherwise(F.lit(SUCCESS)).alias("run_status"),
+        F.when(failed, F.lit(FAILED_MESSAGE)).otherwise(F.coalesce("write_error", F.lit(LOADED_MESSAGE))).alias("run_message"),
+        F.when(unstored, 0).otherwise(F.coalesce("records_inserted", F.lit(0))).cast("bigint").alias("records_inserted"),
         "urls_attempted",
         "urls_fetched",
         "parse_success_count",

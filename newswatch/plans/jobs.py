@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from newswatch.session import scratch_path
 from newswatch.sources import registry
 
 
+MESSAGE_CHARS = 500  # of an error that is kept with a company's run
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """The stored tables of one catalog database."""
@@ -78,9 +83,10 @@ def load_run(
     wh: Warehouse, records: DataFrame, log: DataFrame, flow_name: str, run_id: str, ended_at,
     min_title_length: int = MIN_TITLE_LENGTH, export_path: str | None = None,
 ) -> int:
-    """One load of all companies at once (C2); 1 when a company failed, else 0.
+    """One load of all companies (C2); 1 when a company failed, else 0.
 
-    All decisions are made on rows without bodies, which are written once. Bodies move
+    Companies are stored together; where that fails, halves of them are tried, until the ones
+    that cannot be stored are found. Those are recorded as failed with the message, all others are loaded. All decisions are made on rows without bodies, which are written once. Bodies move
     once, to the rows that are inserted. A run that is repeated after it stopped
     between its appends adds what is missing and nothing twice: articles and
     bodies are each compared with what is stored of them.
@@ -94,13 +100,13 @@ def load_run(
     inserted = new.groupBy("company_name").agg(F.count("*").alias("records_inserted"))
     companies = registry.source_urls(wh["load_sources"]).select("company_name")
     metrics = load.monitoring_metrics(companies, due, load.fetch_metrics(log))
-    rows = written(load.monitoring_rows(metrics, config, inserted, flow_name, run_id, ended_at), "monitoring")
-
     stamped = new.withColumn("s_created_ts", F.coalesce(load.parse_utc(F.col("s_created_ts")), load.moment(ended_at)))
-    keys = ["industry_sector", "company_name", "url"]
     bodies = new.join(_bodies(records), ["url", "seq"]).where("article_content IS NOT NULL")
-    wh.append("article_bodies", bodies.join(wh["article_bodies"].select(*keys), keys, "left_anti"))
-    wh.append("articles", stamped)
+    bodies = bodies.withColumn("content_hash", enrichment.body_hash(F.col("article_content")))
+    names = sorted((r.company_name for r in inserted.select("company_name").collect()), key=str)  # one name per company
+    errors = wh.spark.createDataFrame(list(_stored(wh, stamped, bodies, names).items()), "company_name string, write_error string")
+    rows = load.monitoring_rows(metrics, config, inserted, flow_name, run_id, ended_at, errors)
+    rows = written(rows, "monitoring")
     wh.append("load_monitoring", rows)
     wh.replace("load_config", load.switch_to_delta(wh["load_config"], rows.where("run_status = 'SUCCESS'"), flow_name))
     if export_path:
@@ -108,6 +114,27 @@ def load_run(
     return 0 if rows.where("run_status <> 'SUCCESS'").isEmpty() else 1
 
 
+def _stored(wh: Warehouse, articles: DataFrame, bodies: DataFrame, names: list[str]) -> dict[str, str]:
+    """Append the rows of the companies; the message for each that could not be stored.
+
+    An append that fails leaves nothing of itself; bodies stored before their articles failed are
+    known by key, so they are not stored again.
+    """
+    if not names:
+        return {}
+    keys = ["industry_sector", "company_name", "url"]
+    own = F.col("company_name").isin(names)
+    try:
+        wh.append("article_bodies", bodies.where(own).join(wh["article_bodies"].select(*keys), keys, "left_anti"))
+        wh.append("articles", articles.where(own).join(wh["articles"].select(*keys), keys, "left_anti"))
+    except (PySparkException, Py4JError) as error:  # a write that Spark gives up
+        if len(names) == 1:
+            return {names[0]: str(error).strip().split("\n")[0][:MESSAGE_CHARS]}
+        half = len(names) // 2
+        return _stored(wh, articles, bodies, names[:half]) | _stored(wh, articles, bodies, names[half:])
+    return {}
+
+
 def _bodies(records: DataFrame) -> DataFrame:
     """Bodies by the url as validation writes it and the arrival."""
     return records.select(strip(F.coalesce("url", F.lit(""))).alias("url"), "seq", "article_content")
@@ -120,27 +147,50 @@ def export_csv(validated: DataFrame, path: str) -> None:
 
 
 def enrich_run(wh: Warehouse, as_of, purge: bool = True, **options) -> tuple[int, int]:
-    """Summarise what is due and purge summarised bodies (E6, M3, M4): (summaries written, bodies purged)."""
-    eligible = warehouse.without_excluded(tables.with_bodies(wh["articles"], wh["article_bodies"]), wh["title_exclusion"])
-    fresh = written(enrichment.enrich(eligible, wh["article_summary"], as_of, **options), "summaries")
-    count = fresh.count()
-    wh.replace("article_summary", tables.upsert(wh["article_summary"], fresh, ["article_id"]))
+    """Summarise what is due and purge summarised bodies (E6, M3, M4): (summaries written, bodies purged).
+
+    What is due is decided on the hashes kept beside the bodies. Only due articles fetch their
+    body, from the sectors that have any; with nothing due no body is read and no table rewritten.
+    """
+    keys = ["industry_sector", "company_name", "url"]
+    eligible = warehouse.without_excluded(wh["articles"].join(_hashes(wh["article_bodies"]), keys), wh["title_exclusion"])
+    choice = {k: options.pop(k) for k in ("company", "limit") if k in options}
+    target = options.get("target_model") if options.get("summarizer") else None
+    due = written(enrichment.due_articles(eligible, wh["article_summary"], target, **choice), "due-articles")
+    count = 0
+    if not due.isEmpty():
+        articles = tables.with_bodies(due.drop("content_hash"), wh["article_bodies"])
+        fresh = written(enrichment.enrich(articles, wh["article_summary"], as_of, **options), "summaries")
+        count = fresh.count()
+        wh.replace("article_summary", tables.upsert(wh["article_summary"], fresh, ["article_id"]))
     return count, purge_bodies(wh) if purge else 0
 
 
+def _hashes(bodies: DataFrame) -> DataFrame:
+    """Keys and content hashes; only rows stored without a hash have their body read."""
+    keys = ["industry_sector", "company_name", "url"]
+    known = bodies.where("content_hash IS NOT NULL").select(*keys, "content_hash")
+    unknown = bodies.where("content_hash IS NULL AND article_content IS NOT NULL")
+    return known.unionByName(unknown.select(*keys, enrichment.body_hash(F.col("article_content")).alias("content_hash")))
+
+
 def purge_bodies(wh: Warehouse) -> int:
     """Drop bodies of summarised articles; only sectors that lose a body are rewritten (M4)."""
     bodies, summaries = wh["article_bodies"], wh["article_summary"]
-    gone = written(
-        tables.bodies_to_purge(bodies, summaries).select("industry_sector", "company_name", "url"), "purged"
-    )
+    keys = ["industry_sector", "company_name", "url"]
+    held = bodies.where("content_hash <> ''").select("id", *keys).join(tables.summarized(summaries), "id", "left_semi")
+    unknown = tables.bodies_to_purge(bodies.where("content_hash IS NULL"), summaries)
+    gone = written(held.select(*keys).unionByName(unknown.select(*keys)), "purged")
     count = gone.count()
     if count:
         # the body stays as NULL, so that a sector without bodies is still overwritten
         mark = gone.withColumn("purged", F.lit(True))
         touched = bodies.join(gone.select("industry_sector").distinct(), "industry_sector", "left_semi")
-        kept = touched.join(mark, ["industry_sector", "company_name", "url"], "left").withColumn(
-            "article_content", F.when(F.col("purged").isNull(), F.col("article_content"))
+        kept = touched.join(mark, keys, "left").withColumns(
+            {
+                "article_content": F.when(F.col("purged").isNull(), F.col("article_content")),
+                "content_hash": F.when(F.col("purged").isNull(), F.col("content_hash")).otherwise(F.lit("")),
+            }
         )
         tables.replace_sectors(kept, wh.database, "article_bodies", scratch_path(wh.spark, "bodies"))
     return count

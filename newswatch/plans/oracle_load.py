@@ -166,6 +166,23 @@ def _loads() -> dict[str, str]:
        coalesce(i.n, 0) AS records_inserted, m.urls_attempted, m.urls_fetched, m.parse_success_count,
        m.avg_response_time_ms, m.error_count, TIMESTAMP '{EVENTS_AS_OF}' AS run_start_ts, TIMESTAMP '{EVENTS_AS_OF}' AS run_end_ts
 FROM measured AS m LEFT JOIN config AS c ON c.company_name = m.company_name
+LEFT JOIN (SELECT company_name, count(*) AS n FROM fresh GROUP BY company_name) AS i ON i.company_name = m.company_name""",
+            *LOAD,
+            LOG,
+            METRICS,
+        ),
+        "load_run_write_errors": with_tables(
+            LOAD_TABLES,
+            f"""SELECT 'run-1' AS run_id, 'NEWS_FLOW' AS run_name, m.company_name,
+       concat('stg_', lower(coalesce(c.industry_sector, 'LIFESCIENCE'))) AS target_schema,
+       concat('stg_', lower(m.company_name)) AS target_table, coalesce(c.load_type, 'FULL') AS load_type,
+       CASE WHEN m.urls_attempted = 0 AND m.error_count > 0 OR length(m.company_name) % 5 = 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS run_status,
+       CASE WHEN m.urls_attempted = 0 AND m.error_count > 0
+            THEN 'Source scrape failed before any valid records were parsed'
+            WHEN length(m.company_name) % 5 = 0 THEN 'cannot store ' || m.company_name ELSE 'Data loaded successfully' END AS run_message,
+       CASE WHEN length(m.company_name) % 5 = 0 THEN 0 ELSE coalesce(i.n, 0) END AS records_inserted, m.urls_attempted, m.urls_fetched, m.parse_success_count,
+       m.avg_response_time_ms, m.error_count, TIMESTAMP '{EVENTS_AS_OF}' AS run_start_ts, TIMESTAMP '{EVENTS_AS_OF}' AS run_end_ts
+FROM measured AS m LEFT JOIN config AS c ON c.company_name = m.company_name
 LEFT JOIN (SELECT company_name, count(*) AS n FROM fresh GROUP BY company_name) AS i ON i.company_name = m.company_name""",
             *LOAD,
             LOG,

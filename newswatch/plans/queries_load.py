@@ -63,6 +63,15 @@ def run_rows(t: Inputs) -> DataFrame:
     return load.monitoring_rows(metrics(t), config, inserted, FLOW, "run-1", EVENTS_AS_OF)
 
 
+def run_rows_with_write_errors(t: Inputs) -> DataFrame:
+    """The same run where the rows of every company whose name's length five divides could not be stored."""
+    inserted = new_rows(t).groupBy("company_name").agg(F.count("*").alias("records_inserted"))
+    config = registry.active_config(t.load_config, FLOW)
+    broken = metrics(t).where(F.length("company_name") % 5 == 0)
+    errors = broken.select("company_name", F.concat(F.lit("cannot store "), "company_name").alias("write_error"))
+    return load.monitoring_rows(metrics(t), config, inserted, FLOW, "run-1", EVENTS_AS_OF, errors)
+
+
 def summary_changes(t: Inputs) -> DataFrame:
     """Two new summaries per article in some order; the later one has to win."""
     rows = t.articles.select(F.col("id").alias("article_id"), "title", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
@@ -268,6 +277,7 @@ def queries() -> dict:
         "fetch_metrics_overall": lambda t: load.fetch_metrics(attempts(t), per_company=False),
         "monitoring_metrics": metrics,
         "load_run": run_rows,
+        "load_run_write_errors": run_rows_with_write_errors,
         "summary_upsert": summary_upsert,
         "source_upsert": source_upsert,
         "purge_bodies": bodies_after_purge,

@@ -5,7 +5,8 @@ from __future__ import annotations
 TABLES: dict[str, str] = {
     "articles": "id string, company_name string, url string, title string, "
     "published_date timestamp_ntz, s_created_ts timestamp_ntz, industry_sector string",
-    "article_bodies": "id string, company_name string, url string, article_content string, industry_sector string",
+    # content_hash: of the squashed body, '' without one, NULL where it was not worked out at load
+    "article_bodies": "id string, company_name string, url string, article_content string, content_hash string, industry_sector string",
     "load_sources": "company_name string, industry_sector string, source_1 string, source_2 string, "
     "source_3 string, source_4 string, source_5 string, s_created_ts timestamp_ntz, s_modified_ts timestamp_ntz",
     "load_config": "flow_name string, company_name string, load_type string, active_flag string, "

@@ -168,3 +168,60 @@ def test_a_load_that_stopped_between_its_appends_is_repeated(spark):
         assert jobs.load_run(wh, rows, fetched, FLOW, run, "2026-04-21 12:00:00") == 0
     assert (wh["articles"].count(), wh["article_bodies"].count()) == (2, 2)
     assert tables.with_bodies(wh["articles"], wh["article_bodies"]).count() == 2
+
+
+class Broken(Warehouse):
+    """Cannot store articles of one company: the tasks that write them fail."""
+
+    def append(self, name, rows):
+        if name == "articles":
+            fails = F.raise_error(F.lit("no room for SECOND"))
+            rows = rows.withColumn("title", F.when(F.col("company_name") == "SECOND", fails).otherwise(F.col("title")))
+        super().append(name, rows)
+
+
+def test_a_company_that_cannot_be_stored_leaves_the_others_loaded(spark):
+    tables.create_tables(spark, "brokendb")
+    wh = Warehouse(spark, "brokendb")
+    names = ["FIRST", "SECOND", "THIRD"]
+    wh.append("load_sources", spark.createDataFrame([(n, "banking", f"https://{n}.com/") for n in names], "company_name string, industry_sector string, source_1 string"))
+    config = [(FLOW, n, "FULL", "Y", "BANKING") for n in names]
+    wh.append("load_config", spark.createDataFrame(config, "flow_name string, company_name string, load_type string, active_flag string, industry_sector string"))
+    rows = records(spark, [record(10 * k + j, company=n, url=f"https://{n}.com/{j}") for k, n in enumerate(names) for j in range(2)])
+    fetched = log(spark, [(n, True, True, True, 8.0) for n in names])
+    assert jobs.load_run(Broken(spark, "brokendb"), rows, fetched, FLOW, "run-1", "2026-04-21 12:00:00") == 1
+    runs = {r.company_name: (r.run_status, r.run_message, r.records_inserted) for r in wh["load_monitoring"].collect()}
+    done = ("SUCCESS", "Data loaded successfully", 2)
+    status, message, inserted = runs.pop("SECOND")
+    assert runs == {"FIRST": done, "THIRD": done} and (status, inserted) == ("FAILURE", 0)
+    assert message and message != done[1] and "\n" not in message and len(message) <= jobs.MESSAGE_CHARS
+    assert {r.company_name for r in wh["articles"].collect()} == {"FIRST", "THIRD"}
+    assert {r.company_name: r.load_type for r in wh["load_config"].collect()} == {"FIRST": "DELTA", "SECOND": "FULL", "THIRD": "DELTA"}
+    # the next run adds only what is missing
+    assert jobs.load_run(wh, rows, fetched, FLOW, "run-2", "2026-04-21 12:00:00") == 0
+    again = {r.company_name: r.records_inserted for r in wh["load_monitoring"].where("run_id = 'run-2'").collect()}
+    assert again == {"FIRST": 0, "SECOND": 2, "THIRD": 0}
+    assert (wh["articles"].count(), wh["article_bodies"].count()) == (6, 6)
+
+
+def test_enrichment_reads_bodies_of_due_articles_only(spark, monkeypatch):
+    tables.create_tables(spark, "duedb")
+    wh = Warehouse(spark, "duedb")
+    names = "id string, company_name string, url string, title string, industry_sector string"
+    wh.append("articles", spark.createDataFrame([(f"a{k}", "ACME", f"https://a/{k}", "T", "S") for k in range(6)], names))
+    bodies = [(f"a{k}", "ACME", f"https://a/{k}", BODY + str(k) if k < 5 else " ", "S") for k in range(6)]
+    frame = spark.createDataFrame(bodies, "id string, company_name string, url string, article_content string, industry_sector string")
+    hashed = frame.withColumn("content_hash", F.when(F.col("id") != "a0", enrich.body_hash(F.col("article_content"))))  # a0: stored before hashes were
+    wh.append("article_bodies", hashed)
+    fetched = []
+    with_bodies = tables.with_bodies
+    monkeypatch.setattr(tables, "with_bodies", lambda due, bodies: fetched.append(sorted(r.id for r in due.select("id").collect())) or with_bodies(due, bodies))
+    assert jobs.enrich_run(wh, "2026-04-23 00:00:00", purge=False, limit=2) == (2, 0)
+    assert jobs.enrich_run(wh, "2026-04-23 00:00:00", purge=False) == (3, 0)
+    assert jobs.enrich_run(wh, "2026-04-24 00:00:00", purge=False) == (0, 0)
+    assert fetched == [["a0", "a1"], ["a2", "a3", "a4"]]  # the last run fetched none
+    plan = jobs._hashes(wh["article_bodies"])._jdf.queryExecution().executedPlan().toString()
+    assert "IsNull(content_hash)" in plan and plan.count("article_content:string") <= 1  # the known side reads hashes only
+    assert jobs.enrich_run(wh, "2026-04-25 00:00:00") == (0, 5)
+    assert jobs.enrich_run(wh, "2026-04-26 00:00:00") == (0, 0)
+    assert {r.id for r in wh["article_bodies"].where("article_content IS NOT NULL").collect()} == {"a5"}
