@@ -119,9 +119,11 @@ def rate_audit(
     The window is half-open: a request exactly ``window_seconds`` old is out.
     Each client's time line is cut into stretches of ten windows, and a
     stretch also sees the last window of the one before. So one client with a
-    third of all rows is spread over many tasks, at a tenth more rows.
+    third of all rows is spread over many tasks, at a tenth more rows. A request without a time has no
+    attempts to count: ``attempts`` and ``over_limit`` are NULL.
     """
     limits = limits or RATE_LIMITS
+    untimed = requests.where("created_ts IS NULL")
     stretch = F.window("created_ts", f"{window_seconds * 10} seconds")
     near_end = F.col("created_ts") > F.col("w.end") - F.expr(f"INTERVAL {window_seconds} SECONDS")
     seen = requests.withColumn("w", stretch).select(
@@ -136,7 +138,9 @@ def rate_audit(
         F.expr(f"count(*) OVER (PARTITION BY scope, client_ip, stretch ORDER BY created_ts {frame})"),
     )
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    return counted.where(F.col("stretch") == F.col("w.start")).select(
+    own = counted.where(F.col("stretch") == F.col("w.start")).drop("w", "stretch")
+    every = own.unionByName(untimed.withColumn("attempts", F.lit(None).cast("bigint")))
+    return every.select(
         "activity_id",
         "scope",
         "client_ip",

@@ -115,6 +115,11 @@ FROM listing WHERE schemaname ILIKE 'stg%' AND tablename ILIKE 'stg%'""",
         "staging_union": with_tables(
             "articles",
             """SELECT company_name, industry_sector, concat('stg_', lower(industry_sector)) AS schemaname,
+       concat('stg_', lower(company_name)) AS tablename, id, url, title, published_date, s_created_ts FROM articles""",
+        ),
+        "staging_layout": with_tables(
+            "articles",
+            """SELECT company_name, industry_sector, concat('stg_', lower(industry_sector)) AS schemaname,
        concat('stg_', lower(company_name)) AS tablename, id, url, title, published_date, s_created_ts FROM articles""",
         ),
         "staging_dedup": with_tables(

@@ -63,6 +63,14 @@ def run_rows(t: Inputs) -> DataFrame:
     return load.monitoring_rows(metrics(t), config, inserted, FLOW, "run-1", EVENTS_AS_OF)
 
 
+def layout_union(t: Inputs) -> DataFrame:
+    """Every article written as a table per company, and the union read back in one scan."""
+    staged = staging.staged_articles(t.articles).drop("company_name", "industry_sector")
+    path = scratch_path(staged.sparkSession, "staging-layout")
+    staged.write.partitionBy("schemaname", "tablename").parquet(path)
+    return staging.staged_layout(staged.sparkSession, path)
+
+
 def run_rows_with_write_errors(t: Inputs) -> DataFrame:
     """The same run where the rows of every company whose name's length five divides could not be stored."""
     inserted = new_rows(t).groupBy("company_name").agg(F.count("*").alias("records_inserted"))
@@ -265,6 +273,7 @@ def queries() -> dict:
             normalize_identifier(F.col("title")).alias("slug"),
             label_from_name(normalize_identifier(F.col("title"))).alias("label"),
         ),
+        "staging_layout": layout_union,
         "staging_union": lambda t: staging.staged_articles(t.articles),
         "staging_dedup": lambda t: staging.first_by_id(t.staged),
         "eligible_articles": lambda t: staging.eligible_articles(t.staged, t.exclusions).select("id", "url", "tablename"),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newswatch.functions.text import DEFAULT_SECTOR, label_from_name, staging_name
 from newswatch.operators.warehouse import without_excluded
+from newswatch.schemas import TABLES
 
 STAGED = ["id", "url", "title", "published_date", "s_created_ts"]
 
@@ -44,9 +46,41 @@ def staged_tables(spark: SparkSession, with_body: bool = False) -> DataFrame:
         )
         for row in listing
     ]
+    if not frames:
+        kinds = {f.name: f.dataType for f in spark.createDataFrame([], TABLES["articles"] + ", article_content string").schema}
+        names = ["company_name", "industry_sector", "schemaname", "tablename", *columns]
+        return spark.range(0).select(*[F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in names])
     return reduce(DataFrame.unionByName, frames)
 
 
+def staged_layout(spark: SparkSession, folder: str, with_body: bool = False) -> DataFrame:
+    """The same union over ``folder/<schema>/<table>/`` parquet files, in one scan.
+
+    Labels come from each file's path (folders may be written as ``name=value``), so the plan is as large for
+    many tables as for one. A folder that is missing or has no staging tables gives no rows.
+    """
+    columns = [*STAGED, "article_content"] if with_body else STAGED
+    schema = spark.createDataFrame([], TABLES["articles"] + ", article_content string").schema
+    schema = type(schema)([f for f in schema.fields if f.name in columns])
+    try:
+        files = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], schema).withColumn("_metadata", F.lit(None).cast("struct<file_path: string>"))
+    parts = F.split("_metadata.file_path", "/")
+    named = [F.regexp_replace(F.element_at(parts, k), "^[^=]*=", "") for k in (-3, -2)]
+    rows = files.select(named[0].alias("schemaname"), named[1].alias("tablename"), *columns)
+    staged = rows.where(F.col("schemaname").ilike("stg%") & F.col("tablename").ilike("stg%"))
+    return staged.select(
+        label_from_name(F.col("tablename")).alias("company_name"),
+        label_from_name(F.col("schemaname")).alias("industry_sector"),
+        "schemaname",
+        "tablename",
+        *columns,
+    )
+
+
 def staged_articles(articles: DataFrame) -> DataFrame:
     """The same union over the one partitioned article table: labels come from
     the staging names, bodies are not read (S8)."""

@@ -280,3 +280,30 @@ def test_where_a_stream_is_cut_changes_nothing(spark, tmp_path):
         continuous_load(stream, out, f"{out}-checkpoint", config, cutoffs, once=True).awaitTermination()
         found[n_files] = sorted(r.id for r in spark.read.parquet(out).collect())
     assert found[1] == found[3] == ["id1", "id2"]
+
+
+def test_staging_layout_in_one_scan(spark, tmp_path):
+    def table(schema, name, ids):
+        rows = [(i, f"https://x/{i}", "t", f"body {i}") for i in ids]
+        spark.createDataFrame(rows, "id string, url string, title string, article_content string").write.parquet(f"{tmp_path}/l/{schema}/{name}")
+
+    table("stg_banking", "stg_acme_corp", ["1", "2"])
+    table("stg_banking", "stg_other", ["3"])
+    table("dwh", "stg_acme_corp", ["4"])
+    table("stg_life", "final", ["5"])
+    union = staging.staged_layout(spark, f"{tmp_path}/l", with_body=True)
+    assert sorted((r.id, r.company_name, r.industry_sector, r.tablename, r.article_content, r.published_date) for r in union.collect()) == [
+        ("1", "ACME CORP", "BANKING", "stg_acme_corp", "body 1", None),
+        ("2", "ACME CORP", "BANKING", "stg_acme_corp", "body 2", None),
+        ("3", "OTHER", "BANKING", "stg_other", "body 3", None),
+    ]
+    plan = staging.staged_layout(spark, f"{tmp_path}/l")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "article_content" not in plan
+    empty = staging.staged_layout(spark, f"{tmp_path}/missing")
+    assert empty.count() == 0 and empty.columns == union.drop("article_content").columns
+
+
+def test_requests_without_a_time_are_kept(spark):
+    rows = [("a", "chat", "ip", None), ("b", "chat", "ip", datetime(2026, 1, 1))]
+    got = activity.rate_audit(spark.createDataFrame(rows, "activity_id string, scope string, client_ip string, created_ts timestamp_ntz"))
+    assert sorted((r.activity_id, r.attempts, r.over_limit) for r in got.collect()) == [("a", None, None), ("b", 1, False)]
