@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from newswatch.llm import merkle_manifest, queries, run_detection, winnowing
 from newswatch.llm.common import table
 from tests.llm import brute
+from tests.oracle_check import compare, connect
 
 
 def batch_of(docs):
@@ -136,14 +137,10 @@ def test_manifest_of_every_size_over_one_and_more_tiers(spark, n):
     assert [tuple(r) for r in checked.select("subroot", "root", "n").distinct().collect()] == [(top, top, (n - 1).bit_length())]
 
 
-def test_manifest_sql(spark, tmp_path, sf_dir):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    want = collections.Counter(con.execute(queries.oracle()["op12_merkle_manifest"]).fetchall())
-    got = collections.Counter(tuple(r) for r in queries.op12_merkle_manifest(spark, sf_dir).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect())
-    assert got == want
+@pytest.mark.parametrize("name", sorted(queries.oracle()))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    rows, problems = compare(queries.queries()[name](spark, sf_dir), connect(sf_dir), queries.oracle()[name])
+    assert rows and not problems
 
 
 def plain_print(text):
