@@ -2,6 +2,7 @@
 
 import pytest
 
+from newswatch.operators import robots
 from newswatch.plans import registry
 
 STREAMING = {"rate_limiter", "continuous_load"}
@@ -70,3 +71,11 @@ def test_load_moves_bodies_once(spark, plans):
     assert "article_content" not in decided
     exchanges = [block for block in moved.split("Exchange hashpartitioning")[1:] if "article_content" in block.split("Exchange")[0]]
     assert len(exchanges) == 1
+
+
+def test_robots_rules_are_not_patterns(spark):
+    files = spark.createDataFrame([("https://h.com", "User-agent: *\nDisallow: /a\nAllow: /a/*.html$")], "site string, text string")
+    urls = spark.createDataFrame([("https://h.com/a/x.html",), ("https://h.com/a/x.htm",), ("https://h.com/b",)], "url string")
+    decided = robots.fetch_decisions(urls, robots.site_rules(files, "Bot/1.0"))
+    assert "RLIKE" not in decided._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert [r.allowed for r in decided.orderBy("url").collect()] == [False, True, True]
