@@ -58,10 +58,11 @@ FROM folded"""
 WARC = """
 WITH payloads AS (
     SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS kept FROM payloads)
+firsts AS (SELECT *, row_number() OVER same AS place, first_value(page_id) OVER same AS kept FROM payloads
+    WINDOW same AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
 SELECT page_id, payload_bytes, payload_digest,
-    CASE WHEN payload_bytes >= 100 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN payload_bytes >= 100 AND page_id <> kept THEN kept END AS refers_to,
+    CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND place > 1 THEN kept END AS refers_to,
     CAST(NULL AS VARCHAR) AS problem  -- every archive is whole
 FROM firsts"""
 

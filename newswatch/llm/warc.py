@@ -10,10 +10,10 @@ by segment number, checks that they are all there and that their total length is
 one, and decodes the chunked body. Of what does not fit, `problem` says what is wrong.
 
 Defined results: a null html is an empty payload; a null url gives no target line; a null page
-id is read back as null; rows equal in id, url and html are one capture; rows of equal id and
-different contents are captures of their own; of equal payloads the one with the smallest
-page id (null last, then by url) is the response; other columns are not read; an empty table
-gives no records.
+id is read back as null; every row is a capture with a record of its own, rows equal in id, url
+and html too, whose records are numbered; of equal payloads the one with the smallest page id
+(null last, then by url) is the response, one of the rows equal in all three; other columns are
+not read; an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -42,9 +42,10 @@ RECORDS = (
 )
 
 
-def record_id(page_id: int | None, url: str | None, digest: str) -> str:
-    name = hashlib.sha256((url or "").encode()).hexdigest()[:16]
-    return f"<urn:page:{'null' if page_id is None else page_id}:{name}:{digest[:32]}>"
+def record_id(page_id: int | None, url: str | None, digest: str, copy: int = 0) -> str:
+    name = "null" if url is None else hashlib.sha256(url.encode()).hexdigest()[:16]
+    number = f":copy:{copy}" if copy else ""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{name}:{digest[:32]}{number}>"
 
 
 def chunked(payload: bytes, size: int) -> bytes:
@@ -116,7 +117,7 @@ def write_archives(
         for batch in rows:
             out = []
             for row in batch.to_pylist():
-                own = record_id(row["page_id"], row["url"], row["digest"])
+                own = record_id(row["page_id"], row["url"], row["digest"], row["copy"])
                 first = record_id(row["first_page"], row["first_url"], row["digest"]) if row["first_found"] else own
                 fields = {
                     "WARC-Type": "response" if first == own else "revisit",
@@ -134,20 +135,28 @@ def write_archives(
                     out += records_of(fields, HTTP_HEAD, segment_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    captures = pages.select(
-        F.col("page_id").cast("long"), "url", text_of("html").cast("binary").alias("payload")
-    ).withColumn("digest", F.sha2("payload", 256))
+    captures = pages.select(F.col("page_id").cast("long"), "url", text_of("html").cast("binary").alias("payload")).withColumn(
+        "digest", F.sha2("payload", 256)
+    )
+    counted = written(
+        captures.groupBy("page_id", "url", "digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("payload")).alias("size")),
+        "captures-counted",
+    )
     shared = (
-        captures.filter(F.octet_length("payload") >= least_bytes)
+        counted.filter(F.col("size") >= least_bytes)
         .groupBy("digest")
-        .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.sum("n").alias("n"))
         .filter("n > 1")
         .select("digest", F.lit(True).alias("first_found"), F.col("first.page_id").alias("first_page"), F.col("first.url").alias("first_url"))
     )
+    rows = captures.withColumn("copy", F.lit(0).cast("long"))
+    equal = counted.filter("n > 1")
+    if not equal.isEmpty():
+        rows = numbered(captures, equal, least_bytes)
     path = scratch_path(spark, "archives")
     (
-        captures.join(shared, "digest", "left")
-        .select("page_id", "url", "payload", "digest", "first_found", "first_page", "first_url")
+        rows.join(shared, "digest", "left")
+        .select("page_id", "url", "payload", "digest", "copy", "first_found", "first_page", "first_url")
         .mapInArrow(render, "record binary")
         .select(F.col("record").cast("string"))
         .write.option("lineSep", END_OF_RECORD)
@@ -158,6 +167,28 @@ def write_archives(
     return path
 
 
+def numbered(captures: DataFrame, equal: DataFrame, least_bytes: int, block: int = 10_000) -> DataFrame:
+    """`captures` with `copy`: 0, and numbers from 1 for further rows equal to one before.
+
+    `equal` (page_id, url, digest, n, size) counts the rows that occur more than once. One of each is kept
+    with its payload, combined before the shuffle; the others are made from the count, in blocks, and carry
+    a payload only where it is too small for a revisit.
+    """
+    keys = ["page_id", "url", "digest"]
+    mine, theirs = captures.alias("c"), equal.alias("e")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}"))
+    firsts = written(mine.join(theirs, same, "left_semi").groupBy(*keys).agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n")), "equal-captures")
+    small = F.when(F.octet_length("payload") < least_bytes, F.col("payload"))
+    blocks = firsts.select(*keys, small.alias("payload"), "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 2) / block))).alias("block"))
+    last = F.least(F.col("n") - 1, (F.col("block") + 1) * block)
+    copies = blocks.repartition("digest", "block").select(*keys, "payload", F.explode(F.sequence(F.col("block") * block + 1, last)).alias("copy"))
+    order = ["page_id", "url", "payload", "digest", "copy"]
+    single = mine.join(theirs, same, "left_anti").unionByName(firsts.drop("n")).withColumn("copy", F.lit(0).cast("long"))
+    return single.select(*order).unionByName(copies.select(*order))
+
+
 def parse_archive(raw: bytes) -> Iterator[tuple]:
     """(record_id, type, uri, refers_to, digest, origin, number, total, block, problem) of each record of a file."""
     at = 0
@@ -299,11 +330,9 @@ def captures(records: DataFrame) -> DataFrame:
         ),
         "captures",
     )
-    # Rows equal in id, url and html were written as equal records; they are one capture.
-    narrow = narrow.dropDuplicates(["record_id", "record_type"])
     first = narrow.filter("record_type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("first_digest"), F.col("payload_bytes").alias("first_bytes")
-    )
+    ).dropDuplicates(["refers_to"])  # archives of others may hold a record twice
     full = narrow.join(first, "refers_to", "left")
     return full.select(
         page_of("record_id").alias("page_id"),

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import time
 
 import pytest
 
@@ -17,7 +18,7 @@ def pages(spark, sf_dir):
     odd = [
         (-1, "http://x/é\n", None), (-2, None, ""), (-3, "http://y", BIG), (-4, "http://z", BIG), (-5, "u", "é" * 40), (-6, "u", "é" * 40),
         (-7, "u", "a" * 99), (-8, "u", "a" * 99), (-9, "u", "b" * 100), (-10, "u", "b" * 100), (-11, "u", "twin one"), (-11, "u", "twin two"),
-        (-12, "u", "same row"), (-12, "u", "same row"), (None, "u", "no id"),
+        (-12, "u", "same row"), (-12, "u", "same row"), (None, "u", "no id"), *[(-13, None, "r" * 200)] * 3, *[(None, "", "s" * 200)] * 2, (None, None, "s" * 200),
     ]
     return table(spark, sf_dir, "pages").unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
 
@@ -27,15 +28,17 @@ def test_archives_round_trip(spark, pages):
     segments = warc.read_segments(spark, path)
     records = warc.whole_records(segments)
     got = collections.Counter(tuple(r) for r in warc.captures(records).collect())
-    source = {(r.page_id, r.url, (r.html or "").encode()) for r in pages.collect()}
-    first = {}
-    for p, _, h in source:
-        if len(h) >= 100:
-            first[h] = min(first.get(h, p), p)
+    source = [(r.page_id, r.url, (r.html or "").encode()) for r in pages.collect()]
+    same = collections.defaultdict(list)
+    for p, u, h in source:
+        same[h].append((p is None, p or 0, u or "", p))
     want = collections.Counter()
-    for p, _, h in source:
-        kind, ref = ("revisit", first[h]) if h in first and first[h] != p else ("response", None)
-        want[(p, len(h), hashlib.sha256(h).hexdigest(), kind, ref, None)] += 1
+    for h, rows in same.items():
+        for k, (*_, p) in enumerate(sorted(rows, key=lambda r: r[:3])):
+            revisit = k > 0 and len(h) >= 100
+            want[(p, len(h), hashlib.sha256(h).hexdigest(), "revisit" if revisit else "response", min(rows)[3] if revisit else None, None)] += 1
+    ids = [r.record_id for r in records.select("record_id").collect()]
+    assert len(set(ids)) == len(ids) == len(source)
     assert got == want
     assert segments.filter("record_type = 'continuation'").count() > 20
     # A lost segment is noticed.
@@ -43,6 +46,28 @@ def test_archives_round_trip(spark, pages):
     assert warc.whole_records(lost).filter("problem IS NOT NULL").count() == 1
 
 
+def test_many_equal_rows(spark):
+    rows = [(1, "u", "x" * 300)] * 25 + [(2, "u", "y")] * 7 + [(3, "u", "x" * 300)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("page_id", "url", "CAST(html AS BINARY) AS payload", "sha2(html, 256) AS digest")
+    equal = captures.groupBy("page_id", "url", "digest").count().withColumnRenamed("count", "n").filter("n > 1")
+    got = warc.numbered(captures, equal, 100, block=4).collect()
+    assert sorted((r.page_id, r.copy) for r in got) == sorted([(1, k) for k in range(25)] + [(2, k) for k in range(7)] + [(3, 0)])
+    assert all(bytes(r.payload) == b"y" for r in got if r.page_id == 2) and sum(r.payload is not None for r in got if r.page_id == 1) == 1
+
+
+def test_tags_that_never_close():
+    """Linear time, whatever stays open; what is no tag is text."""
+    for n in (20_000, 80_000):
+        for odd in ("<a b ", "<a ' ", "<a '>' ", "<a \"'>", "<! ", "<script ", "<p class=it's>"):
+            started = time.process_time()
+            html_extract.read_page(odd * n + "'")
+            assert time.process_time() - started < 10, (odd, n)
+    read = lambda source: [t for t, _ in html_extract.read_page(source)[1]]
+    assert read("<p>one</p>two <b cut") == ["one", "two <b cut"]
+    assert read("<p title=it's>one</p><p>two</p>") == ["one", "two"]
+    assert read("<p title='a>b'>one</p>1 < 2 <!-- <p>no") == ["one", "1 < 2"]
+
+
 def test_chunk_framing():
     for payload in (b"", b"x", b"0\r\n\r\n" * 10, bytes(range(256)) * 9):
         for size in (1, 7, 4096):
