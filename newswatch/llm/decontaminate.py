@@ -11,12 +11,16 @@ batches at a time; the others walk the lists by block-max WAND, which retrieves
 or above the threshold. A retrieved item is verified: enough of the word sequences of its
 question (all but the last sentence) and of its answer (the last) must be in the passage.
 
+Words are folded runs of letters and digits; scripts written without spaces count each character as a
+word. Counts of words over the items, for their weights, come from all items, as does the length of a passage, so
+what is found does not depend on how many indexes the benchmark is split into.
+
 Size: the items of one index are collected only up to `most_bytes` of text; a larger benchmark
-is split by item into as many indexes (each with statistics of its own) that read the documents
-in turn. Documents are never shuffled.
+is split by item into as many indexes that read the documents in turn. Documents are never shuffled.
 
-Defined results: items and documents with a null or empty text and items of fewer than five words
-match nothing; items of equal
+Defined results: items and documents with a null or empty text or without words match nothing; an item of two to
+four words is too short for shares and is found where all its words stand in a row; an item of one word has
+no answer beside its question and is found only in a document that is this word; items of equal
 ids are one item in the result; documents of equal ids are one document; a null document id is
 kept as it is; other columns are not read; empty tables give no rows.
 """
@@ -24,8 +28,10 @@ kept as it is; other columns are not read; empty tables give no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +43,27 @@ from newswatch.llm.common import batches, bytes_of, text_of, written
 HITS = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
 BLOCK = 2  # items of a block: so few that the bound of a passage is close to its best score
 K1, B = 1.2, 0.75
-LEAST_WORDS = 5  # of an item; fewer are met by chance
+SHORT = 5  # words of an item; fewer must stand in a row
 # Upper-case letters to lower case, ASCII punctuation to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not (48 <= c <= 57 or 97 <= c <= 122) else c for c in range(256))
+# UTF-8 of punctuation and of characters written without spaces between words: Thai, Lao, Burmese, Khmer, kana, Chinese.
+MARKS = re.compile(rb"\xe3\x80[\x80-\xbf]|\xef\xbc[\x81-\x8f\x9a-\xa0]|\xe2\x80[\x80-\xbf]")
+UNSPACED = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1(?:[\x80\x81\x9e\x9f][\x80-\xbf]|\x82[\x80-\x9f])|[\xe3-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xaf][\x80-\xbf]{2}")
+SENTENCE = re.compile(rb"[.?!](?=\s)|\n|\xe3\x80\x82|\xef\xbc[\x81\x8e\x9f]")
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+    folded = text.translate(FOLD)
+    if not folded.isascii():
+        folded = UNSPACED.sub(rb" \g<0> ", MARKS.sub(b" ", folded))
+    return folded.split()
 
 
 def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
     """The words of all but the last sentence and of the last; short ones are drawn up to a quarter."""
     words = words_of(text)
-    ends = [len(words_of(text[: m.end()])) for m in re.finditer(rb"[.?!](?=\s)|\n", text)]
+    at = [0, *(m.end() for m in SENTENCE.finditer(text))]
+    ends = list(accumulate(len(words_of(text[a:b])) for a, b in pairwise(at)))
     least = max(1, min(8, len(words) // 4))
     cut = max((e for e in ends if least <= e <= len(words) - least), default=len(words) - max(least, len(words) // 4))
     return words[:cut], words[cut:]
@@ -65,15 +79,16 @@ class Rules:
 class Index:
     """Inverted index of the test items with weights, list maxima and block maxima."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], found_in: dict[bytes, int], n_items: int, mean: float, longest: int):
+        """`found_in` counts, over all `n_items` items, of `mean` and at most `longest` words, those that have each word of these."""
         split = [words_of(t) for _, t in items]
-        keep = [k for k, w in enumerate(split) if len(w) >= LEAST_WORDS]
+        keep = [k for k, w in enumerate(split) if w]
         self.ids = [items[k][0] for k in keep]
-        self.parts = [question_and_answer(items[k][1]) for k in keep]
         split = [split[k] for k in keep]
-        self.longest = max(map(len, split), default=0)
+        self.parts = [question_and_answer(items[k][1]) if len(w) >= SHORT else (w, []) for k, w in zip(keep, split, strict=True)]
+        self.longest = longest
         self.terms: dict[bytes, int] = {}
-        n, mean = len(split), sum(map(len, split)) / max(1, len(split))
+        n = len(split)
         rows, cols, tfs = [], [], []
         for k, words in enumerate(split):
             counts: dict[bytes, int] = {}
@@ -84,14 +99,15 @@ class Index:
                 cols.append(k)
                 tfs.append(tf)
         rows, cols, tfs = np.array(rows, np.int64), np.array(cols, np.int64), np.array(tfs, float)
-        df = np.bincount(rows, minlength=len(self.terms))
+        listed = np.bincount(rows, minlength=len(self.terms))
+        df = np.array([found_in[w] for w in self.terms], np.int64)
         lengths = np.array([len(w) for w in split], float)
-        weight = np.log(1 + (n - df[rows] + 0.5) / (df[rows] + 0.5)) * tfs * (K1 + 1)
+        weight = np.log(1 + (n_items - df[rows] + 0.5) / (df[rows] + 0.5)) * tfs * (K1 + 1)
         weight /= tfs + K1 * (1 - B + B * lengths[cols] / mean) if n else 1
         weight /= np.bincount(cols, weight, minlength=n)[cols] if n else 1
         order = np.lexsort((cols, rows))
         self.items, self.weights = cols[order], weight[order]
-        self.starts = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(listed)]).astype(np.int64)
         self.most = np.zeros(len(self.terms))
         np.maximum.at(self.most, rows, weight)
         # Block maxima: one entry per word and block that has it.
@@ -148,7 +164,12 @@ class Index:
                     skip(k, pivot)
 
     def verify(self, item: int, words: list[bytes], run: int) -> tuple[float, float]:
-        """Shares of the question's and the answer's word sequences that the passage has."""
+        """Shares of the question's and the answer's word sequences that the passage has; all or nothing of a short item."""
+        whole, answer = self.parts[item]
+        if not answer:
+            n = len(whole)
+            there = words == whole if n == 1 else any(words[k : k + n] == whole for k in range(len(words) - n + 1))
+            return float(there), float(there)
         shares = []
         for part in self.parts[item]:
             n = min(run, max(1, len(part)))
@@ -211,14 +232,38 @@ class Index:
                     yield t, item, start, score, question, answer
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Items that have each word; under a null word the items, their words and those of the longest."""
+
+    def count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(batches_, "text"):
+            found: Counter = Counter()
+            split = [w for w in map(words_of, bytes_of(batch.column(1))) if w]
+            for words in split:
+                found.update(set(words))
+            columns = [[None, *found], [len(split), *found.values()], *([f(map(len, split)), *[0] * len(found)] for f in (sum, lambda x: max(x, default=0)))]
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["word", "items", "words", "longest"])
+
+    counted = rows.mapInArrow(count, "word binary, items long, words long, longest long")
+    return counted.groupBy("word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+
+
 def indexes(items: DataFrame, most_bytes: int) -> Iterator[Index]:
-    """Indexes of all items, each over at most about `most_bytes` of text."""
+    """Indexes of all items, each over at most about `most_bytes` of text, with weights from all of them."""
     rows = items.select(F.col("item_id").cast("long"), text_of("text").cast("binary").alias("text")).filter(F.octet_length("text") > 0)
+    counts = written(word_counts(rows), "item-words")
+    total = counts.filter("word IS NULL").first()
+    n_items, n_words, longest = (total["items"], total.words, total.longest) if total else (0, 0, 0)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     slices = max(1, -(-size * 5 // (4 * most_bytes)) if size > most_bytes else 1)
     for k in range(slices):
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else rows
-        yield Index(sorted(((r.item_id, bytes(r.text)) for r in own.toLocalIterator()), key=lambda r: (r[0] is None, r)))
+        # The words of a slice are fewer than its bytes.
+        known = counts.join(word_counts(own).select("word"), "word", "left_semi") if slices > 1 else counts.filter("word IS NOT NULL")
+        found_in = {bytes(r.word): r["items"] for r in known.select("word", "items").toLocalIterator()}
+        texts = sorted(((r.item_id, bytes(r.text)) for r in own.toLocalIterator()), key=lambda r: (r[0] is None, r))
+        yield Index(texts, found_in, n_items, n_words / max(1, n_items), longest)
 
 
 def find(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), most_bytes: int = 16 << 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import html
+import math
 import re
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -156,3 +157,58 @@ def winnowed(text, k, window):
     """{position: stretch} a window keeps by any order of the stretches, given as a function of them."""
     grams = [text[j : j + k] for j in range(max(len(text) - k + 1, 1))] if text else []
     return grams, [range(j, min(j + window, len(grams))) for j in range(max(len(grams) - window + 1, 1))] if grams else []
+
+
+def item_words(text):
+    """Lower-cased words; a character of a script without spaces is a word, ASCII and common marks are none."""
+    out = []
+    for c in text:
+        k = ord(c)
+        if k < 128:
+            out.append(c.lower() if c.isalnum() else " ")
+        elif 0x2000 <= k <= 0x203F or 0x3000 <= k <= 0x303F or 0xFF01 <= k <= 0xFF0F or 0xFF1A <= k <= 0xFF20:
+            out.append(" ")
+        elif any(a <= k <= b for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x9FFF), (0x20000, 0x2FFFF))):
+            out.append(f" {c} ")
+        else:
+            out.append(c)
+    return [w for w in "".join(out).split(" ") if w]
+
+
+def leaks(docs, items, threshold=0.5, overlap=0.5, run=3, k1=1.2, b=0.75):
+    """(document, item) pairs by scoring every item against every passage; docs and items are lists of (id, text)."""
+    own = [(i, t, item_words(t or "")) for i, t in items]
+    own = [(i, t, w) for i, t, w in own if w]
+    longest, mean = max(len(w) for *_, w in own), sum(len(w) for *_, w in own) / len(own)
+    found_in = collections.Counter(w for *_, words_ in own for w in set(words_))
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    weighed = []
+    for i, t, w in own:
+        parts = {
+            x: math.log(1 + (len(own) - found_in[x] + 0.5) / (found_in[x] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / mean))
+            for x, tf in collections.Counter(w).items()
+        }
+        least = max(1, min(8, len(w) // 4))
+        ends = [len(item_words(t[: m.end()])) for m in re.finditer(r"[.?!](?=[ \t-\r])|\n|[。！．？]", t)]
+        cut = max([e for e in ends if least <= e <= len(w) - least], default=len(w) - max(least, len(w) // 4))
+        weighed.append((i, w, parts, sum(parts.values()), w[:cut], w[cut:]))
+    pairs = set()
+    for d, text in docs:
+        words_ = item_words(text or "")
+        for p in range(max(1, -(-len(words_) // longest) - 1)):
+            passage = words_[p * longest : (p + 2) * longest]
+            there, sequences = set(passage), {n: grams(passage, n) for n in range(1, 5)}
+            for i, w, parts, most, question, answer in weighed:
+                if sum(v for x, v in parts.items() if x in there) < threshold * most - 1e-9:
+                    continue
+                if len(w) < 5:
+                    ok = passage == w if len(w) == 1 else tuple(w) in sequences[len(w)]
+                else:
+                    shares = []
+                    for part in (question, answer):
+                        mine = grams(part, min(run, len(part)))
+                        shares.append(len(mine & sequences[min(run, len(part))]) / len(mine))
+                    ok = min(shares) >= overlap
+                if ok:
+                    pairs.add((d, i))
+    return pairs

@@ -208,37 +208,36 @@ def test_texts_without_repeats_keep_rows(docs, rows):
 
 @pytest.fixture(scope="module")
 def items(spark, sf_dir):
-    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "one"), (5, "item id seen twice. with an answer of some words")], "item_id long, text string")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "one"), (-4, "capital of France? Paris"), (-5, "人工智能的定义是什么？它是研究如何让机器思考的科学。"), (-6, " .!"), (-7, "same id"), (5, "item id seen twice. with an answer of some words")], "item_id long, text string")
     return table(spark, sf_dir, "benchmark").unionByName(odd)
 
 
-def test_leaks_equal_full_scoring(docs, rows, items):
-    rules = decontaminate.Rules()
-    index = next(decontaminate.indexes(items, 1 << 24))
-    want = set()
-    for d, t in rows:
-        words, step = decontaminate.words_of((t or "").encode()), index.longest
-        for p in range(max(1, -(-len(words) // step) - 1)):
-            passage = words[p * step : p * step + 2 * step]
-            score = np.zeros(len(index.ids))
-            for term in {index.terms[w] for w in passage if w in index.terms}:
-                own = slice(index.starts[term], index.starts[term + 1])
-                score[index.items[own]] += index.weights[own]
-            for i in np.flatnonzero(score >= rules.threshold - 1e-9):
-                if min(index.verify(int(i), passage, rules.run)) >= rules.overlap:
-                    want.add((d, index.ids[i]))
-    got = decontaminate.find(docs, items).collect()
+@pytest.fixture(scope="module")
+def with_items(spark, docs):
+    odd = [
+        (-101, "so the capital of France? Paris it is"), (-102, "the capital of Paris, France"), (-103, "前面的文字人工智能的定义是什么？它是研究如何让机器思考的科学。后面的文字"),
+        (-104, "One!"), (-105, "one more"), (-106, "人工智能" * 40), (-107, "item id seen twice — with an answer of some words"),
+    ]
+    return docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+
+
+def test_leaks_equal_full_scoring(docs, with_items, items):
+    rows = [tuple(r) for r in with_items.collect()]
+    want = brute.leaks(rows, [tuple(r) for r in items.select("item_id", "text").collect()])
+    got = decontaminate.find(with_items, items).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 3
-    leaky = {d for d, _ in want}
+    assert {(-101, -4), (-103, -5), (-104, -3), (-16, -7), (-107, 5)} <= want and not {-102, -105, -106} & {d for d, _ in want}
     clean = decontaminate.clean_documents(docs, items)
     assert clean.columns == docs.columns
-    assert {r.doc_id for r in clean.select("doc_id").collect()} == {d for d, _ in rows} - leaky
+    texts = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    leaky = {d for d, _ in brute.leaks(list(enumerate(t for _, t in texts)), [tuple(r) for r in items.select("item_id", "text").collect()])}
+    assert collections.Counter(tuple(r) for r in clean.select("doc_id", "text").collect()) == collections.Counter(t for k, t in enumerate(texts) if k not in leaky)
 
 
-def test_split_index_finds_copies(docs, items):
-    some = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items, most_bytes=4000).collect()}
-    whole = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).filter("question_overlap = 1 AND answer_overlap = 1").collect()}
-    assert whole <= some
+def test_split_index_finds_the_same(with_items, items):
+    plain = lambda df: sorted((r.doc_id, r.item_id, r.passage, round(r.score, 9), r.question_overlap) for r in df.collect())
+    assert len(list(decontaminate.indexes(items, 4000))) > 2
+    assert plain(decontaminate.find(with_items, items, most_bytes=4000)) == plain(decontaminate.find(with_items, items))
 
 
 def test_planted_items_are_found_and_clean_ones_left(spark, items):
