@@ -10,17 +10,20 @@ from newswatch.functions.text import strip
 MIN_TITLE_LENGTH = 10  # fixed value: the default setting
 
 
+def usable(records: DataFrame, min_title_length: int = MIN_TITLE_LENGTH) -> DataFrame:
+    """Rows with a web address and a long enough title, both trimmed (F1); row by row, so also of a stream."""
+    clean = records.withColumns({c: strip(F.coalesce(c, F.lit(""))) for c in ("url", "title")})
+    return clean.where(F.col("url").rlike("^https?://") & (F.length("title") >= min_title_length))
+
+
 def validate(records: DataFrame, min_title_length: int = MIN_TITLE_LENGTH) -> DataFrame:
     """Clean urls and titles, drop bad rows, keep each url's first arrival.
 
     Urls are unique across companies. ``seq`` is the arrival order. Of a url
     with very many copies each task passes on one row only.
     """
-    clean = records.withColumns(
-        {c: strip(F.coalesce(c, F.lit(""))) for c in ("url", "title")}
-    ).where(F.col("url").rlike("^https?://") & (F.length("title") >= min_title_length))
     order = Window.partitionBy("url").orderBy("seq")
-    return clean.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+    return usable(records, min_title_length).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
 def validation_metrics(validated: DataFrame, run_metrics: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newswatch.operators.load import last_success
-from newswatch.session import scratch_path
+from newswatch.session import scratch_path, use_state_store
 from newswatch.sources import registry
 from newswatch.sources.driver_tables import FLOW, adapted, adapted_stream
 from newswatch.streaming.continuous_load import continuous_load
-from newswatch.streaming.rate_limiter import STATE_STORE, rate_limited
+from newswatch.streaming.rate_limiter import rate_limited
 
 
 def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,7 @@ def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), "created_ts").cast("timestamp")).alias("at_us"),
     )
     out = scratch_path(spark, "verdicts")
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != STATE_STORE:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # a session not made by build_session
+    use_state_store(spark)
     limited = rate_limited(calls, 3600, {"public": 3, "chat": 1})
     writer = limited.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint")
     writer.trigger(availableNow=True).start(out).awaitTermination()

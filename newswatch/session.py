@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Settings every job of this package is written for. No join carries a
 # broadcast hint: Spark broadcasts a side only when its measured size is below
 # the threshold, and sort-merges (with skew splitting) beyond it.
@@ -18,7 +20,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",  # Python workers hold one batch at a time
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -33,6 +35,12 @@ def build_session(app: str = "newswatch", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed state needs this store; a session not made by ``build_session`` may have another."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != STATE_STORE:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 

@@ -13,7 +13,6 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 from newswatch.operators.activity import RATE_LIMITS, RATE_WINDOW_SECONDS
 
 SECOND = 1_000_000
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 OUTPUT = StructType(
     [

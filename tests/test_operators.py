@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newswatch.operators import activity, feed, load, marts, monitor, report, requests, robots, warehouse
 from newswatch.operators.validate import validate, validation_metrics
+from newswatch.schemas import RECORD
 from newswatch.sources import pages, registry, seeds, staging
 from newswatch.streaming.rate_limiter import SECOND, admit
 
@@ -261,7 +262,6 @@ def test_seed_files(spark, tmp_path):
 
 def test_where_a_stream_is_cut_changes_nothing(spark, tmp_path):
     """A url belongs to its first arrival also when that one was not due and came in an earlier batch."""
-    from newswatch.schemas import RECORD
     from newswatch.streaming.continuous_load import continuous_load
 
     def row(company, n, day, title="A title that is long enough"):
@@ -282,6 +282,50 @@ def test_where_a_stream_is_cut_changes_nothing(spark, tmp_path):
     assert found[1] == found[3] == ["id1", "id2"]
 
 
+def test_continuous_load_of_many_batches(spark, tmp_path):
+    """Any cut gives the same rows, a batch reads no stored rows, and urls stored before are known."""
+    from newswatch.streaming.continuous_load import continuous_load, stored
+
+    rng = random.Random(8)
+    rows = [
+        (rng.choice("AB"), f"id{n}", "https://a.com/", f" https://a.com/{rng.randrange(60)} ", "A title that is long enough"[: rng.choice([5, 30])], "body", None, None, None, n)
+        for n in range(200)
+    ]
+    config = spark.createDataFrame([("A", "FULL", "SPACE")], "company_name string, load_type string, industry_sector string")
+    cutoffs = spark.createDataFrame([], "company_name string, last_success timestamp_ntz")
+    before = ("A", "old", "https://a.com/", "https://a.com/7", "An older title of it", None, None, None, None, -1)
+    want = {}
+    for r in rows:
+        if len(r[4]) >= 10:
+            want.setdefault(r[3].strip(), r[:2])
+    want = sorted([("A", "old"), *(v for k, v in want.items() if (k, v[0]) != ("https://a.com/7", "A"))])
+    for n_files in (1, 20):
+        folder, out = tmp_path / f"many{n_files}", str(tmp_path / f"loaded{n_files}")
+        first = spark.createDataFrame([before], RECORD).withColumns({"load_type": F.lit("FULL"), "industry_sector": F.lit("SPACE")})
+        first.withColumn("published_date", F.lit(None).cast("timestamp_ntz")).write.partitionBy("industry_sector").parquet(out)
+        size = len(rows) // n_files
+        for k in range(n_files):
+            spark.createDataFrame(rows[k * size : (k + 1) * size], RECORD).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        for _ in range(2):  # a second run finds nothing new
+            query = continuous_load(stream, out, f"{out}-checkpoint", config, cutoffs, once=True)
+            query.awaitTermination()
+        loaded = stored(spark, out)
+        assert sorted((r.company_name, r.id) for r in loaded.collect()) == want
+        assert {r.article_content for r in loaded.where("id <> 'old'").collect()} == {"body"}
+
+
+def test_only_a_repeated_batch_reads_the_table(spark, tmp_path, monkeypatch):
+    from newswatch.streaming import continuous_load as module
+
+    calls = []
+    monkeypatch.setattr(module, "load_batch", lambda batch, path, config, cutoffs, again: calls.append(again))
+    load = module.loader("p", None, None)
+    for k in range(20):
+        load(None, k)
+    assert calls == [True] + [False] * 19
+
+
 def test_staging_layout_in_one_scan(spark, tmp_path):
     def table(schema, name, ids):
         rows = [(i, f"https://x/{i}", "t", f"body {i}") for i in ids]
