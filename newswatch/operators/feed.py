@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newswatch.functions.text import blank_to_null, date_label, safe_url
 from newswatch.operators.warehouse import export_view, news_window
+from newswatch.session import scratch_path
 
 # ---- fixed values ----
 PERIOD_LABELS = {
@@ -237,12 +242,30 @@ def chat_answer(rows: DataFrame, question: str, company: str | None = None, peri
     return joined.select(F.when(F.size("parts") == 0, F.lit(nothing)).otherwise(F.regexp_replace(text, r"\s+$", "")).alias("answer"))
 
 
-def valid_choice(choices: DataFrame, wanted: str | None) -> str:
-    """The wanted value when it is offered, else ALL (F12). Looks up one value, collects no list."""
-    wanted = wanted or "ALL"
-    if wanted.upper() == "ALL" or not choices.where(F.col(choices.columns[0]) == wanted).isEmpty():
-        return wanted
-    return "ALL"
+def combinations(news: DataFrame, as_of, period: str | None) -> DataFrame:
+    """Sectors, companies and topics that occur together in a period: all choices come from these."""
+    return period_rows(news, as_of, period).groupBy("industry_sector", "company_name", "key_topic").agg(F.count(F.lit(1)).alias("article_count"))
+
+
+def valid_choices(combined: DataFrame, sector: str | None, company: str | None, topic: str | None) -> tuple[str, str, str]:
+    """The wanted values that are offered, else ALL, each among the rows the ones before it leave.
+
+    One row of counts answers for all three: whether a value is offered under each choice that can be in force before it.
+    """
+    names, wanted = ("industry_sector", "company_name", "key_topic"), [w or "ALL" for w in (sector, company, topic)]
+    known = [F.col(n) == w for n, w in zip(names, wanted, strict=True)]
+    offered = {}
+    for k, name in enumerate(names):
+        for kept in product((False, True), repeat=k):
+            under = [known[j] for j in range(k) if kept[j]]
+            offered[kept, k] = reduce(and_, [*under, known[k], blank_to_null(F.col(name)).isNotNull()])
+    counts = combined.agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(offered.values())]).first()
+    found = dict(zip(offered, counts, strict=True))
+    chosen: list[str] = []
+    for k, w in enumerate(wanted):
+        kept = tuple(c.upper() != "ALL" for c in chosen)
+        chosen.append(w if w.upper() == "ALL" or found[kept, k] else "ALL")
+    return chosen[0], chosen[1], chosen[2]
 
 
 def dashboard(
@@ -254,21 +277,29 @@ def dashboard(
     topic: str | None = None,
     limit: int = FEED_LIMIT,
 ) -> dict:
-    """The whole dashboard as lazy DataFrames plus the selections in force."""
-    sector_list = sectors(news, as_of, known_period(period))
-    sector = valid_choice(sector_list, sector)
-    company_list = companies(news, as_of, known_period(period), sector)
-    company = valid_choice(company_list, company)
-    topic_list = topics(news, as_of, known_period(period), sector, company)
-    topic = valid_choice(topic_list, topic)
-    rows = feed(news, as_of, sector, company, period, topic, limit)
+    """The whole dashboard as DataFrames plus the selections in force.
+
+    The base is read twice: for the choices, from which those in force are taken, and for the feed they
+    select. Everything shown comes from these two small tables.
+    """
+    spark = news.sparkSession
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    combined = stored(combinations(news, as_of, period), "choices")
+    sector, company, topic = valid_choices(combined, sector, company, topic)
+    of_sector = _equals(combined, "industry_sector", sector)
+    rows = stored(feed(news, as_of, sector, company, period, topic, limit), "feed")
     return {
         "selected": {"industry_sector": sector, "company": company, "period": period, "topic": topic},
-        "industry_sectors": sector_list,
-        "companies": company_list,
-        "topics": topic_list,
+        "industry_sectors": _choices(combined, "industry_sector"),
+        "companies": _choices(of_sector, "company_name"),
+        "topics": _choices(_equals(of_sector, "company_name", company), "key_topic"),
         "periods": periods(news.sparkSession),
         "summary": feed_summary(rows),
         "top_topics": top_topics(rows),
-        "rows": display_rows(rows),
+        "rows": display_rows(rows.orderBy(*feed_order())),
     }

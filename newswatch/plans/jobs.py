@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newswatch.functions.text import strip
@@ -199,13 +199,14 @@ def purge_bodies(wh: Warehouse) -> int:
 def publish(wh: Warehouse, as_of, folder: str, stamp: str) -> dict[str, int]:
     """All report sheets as datasets under a stamp, which ``latest`` then names; rows per sheet (M9).
 
-    The base view is written once and feeds every sheet.
+    The base view is written once and feeds every sheet; a sheet's rows are counted while it is written.
     """
     base = written(warehouse.news_all(wh["articles"], wh["article_summary"], wh["title_exclusion"]), "news")
     counts = {}
     for name, sheet in report.report_sheets(base, as_of).items():
-        sheet.write.mode("overwrite").parquet(f"{folder}/{stamp}/{name}")
-        counts[name] = wh.spark.read.parquet(f"{folder}/{stamp}/{name}").count()
+        seen = Observation(name)
+        sheet.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{stamp}/{name}")
+        counts[name] = seen.get["n"]
     wh.spark.range(1).select(F.lit(stamp).alias("stamp")).write.mode("overwrite").parquet(f"{folder}/latest")
     return counts
 

@@ -73,6 +73,27 @@ def test_dashboard_filters_cascade(spark):
     assert [r.color for r in colors.collect()] == ["CFE2FF", None, None]
 
 
+def test_dashboard_choices_against_a_plain_model(spark, tmp_path):
+    rng = random.Random(2)
+    made = [(rng.choice(["A", "B", None]), rng.choice(["S", "T", ""]), 50, datetime(2024, 3, 30), rng.choice(["x", "y", ""])) for _ in range(12)]
+    news(spark, made).write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    combined = feed.combinations(base, AS_OF, "week").cache()
+    for sector in ("S", "T", "", "all", None, "Q"):
+        for company in ("A", "B", "Z", ""):
+            for topic in ("x", "y", "z", "All"):
+                chosen, left = [], made
+                for k, wanted in ((1, sector), (0, company), (4, topic)):
+                    found = not wanted or wanted.upper() == "ALL" or wanted in {r[k] for r in left if r[k]}
+                    chosen.append((wanted or "ALL") if found else "ALL")
+                    left = [r for r in left if chosen[-1].upper() == "ALL" or r[k] == chosen[-1]]
+                assert feed.valid_choices(combined, sector, company, topic) == tuple(chosen)
+    board = feed.dashboard(base, AS_OF, "S", "A", "week", "x")
+    for name in ("industry_sectors", "companies", "topics", "summary", "top_topics", "rows"):
+        files = board[name].inputFiles()
+        assert files and not any(str(tmp_path) in f for f in files), name  # nothing reads the base again
+
+
 MONITORING = "run_id string, run_name string, company_name string, load_type string, run_status string, run_message string, records_inserted bigint, urls_attempted bigint, urls_fetched bigint, parse_success_count bigint, error_count bigint, run_start_ts timestamp_ntz, run_end_ts timestamp_ntz"
 
 
