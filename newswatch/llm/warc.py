@@ -332,8 +332,11 @@ def captures(records: DataFrame) -> DataFrame:
     )
     first = narrow.filter("record_type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("first_digest"), F.col("payload_bytes").alias("first_bytes")
-    ).dropDuplicates(["refers_to"])  # archives of others may hold a record twice
-    full = narrow.join(first, "refers_to", "left")
+    )
+    # Archives of others may hold a record twice; stored, so that a response of very many revisits is split in the join.
+    first = written(first.dropDuplicates(["refers_to"]), "responses")
+    revisits = narrow.filter("refers_to IS NOT NULL").join(first, "refers_to", "left")
+    full = narrow.filter("refers_to IS NULL").unionByName(revisits, allowMissingColumns=True)
     return full.select(
         page_of("record_id").alias("page_id"),
         F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"),
