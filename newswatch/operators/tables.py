@@ -12,7 +12,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newswatch.schemas import PARTITIONED, TABLES
+from newswatch.schemas import PARTITIONED, PIECEWISE, TABLES
+
+PIECE_ROWS = 1_000_000  # rows a run puts in one piece of a table, about
 
 
 def last_per_key(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -103,18 +105,54 @@ def balanced(rows: DataFrame, name: str) -> DataFrame:
     return rows.hint("rebalance", PARTITIONED[name]) if name in PARTITIONED else rows
 
 
+def version_path(spark: SparkSession, database: str, name: str) -> str:
+    """A fresh folder beside a stored table for a new version of it."""
+    home = spark.sql(f"DESCRIBE DATABASE {database}").where("info_name = 'Location'").head().info_value
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
 def replace(df: DataFrame, database: str, name: str) -> None:
     """Store a new version of an unpartitioned table and point the catalog at it (M2-M5)."""
     if name in PARTITIONED:
-        raise ValueError(f"{name} is partitioned; use replace_sectors")
+        raise ValueError(f"{name} is partitioned; use replace_sectors or upsert_pieces")
     spark = df.sparkSession
-    home = spark.sql(f"DESCRIBE DATABASE {database}").where("info_name = 'Location'").head().info_value
-    path = f"{home}/{name}-{uuid.uuid4().hex}"
+    path = version_path(spark, database, name)
     conform(df, name).write.parquet(path)
     spark.sql(f"ALTER TABLE {database}.{name} SET LOCATION '{path}'")
     spark.catalog.refreshTable(f"{database}.{name}")
 
 
+def upsert_pieces(updates: DataFrame, rows: int, database: str, name: str) -> list[str]:
+    """Replace rows by key and add new ones, rewriting only the pieces that hold a replaced key (M3).
+
+    ``updates``: stored rows with unique keys, ``rows`` of them, free of changes while this runs.
+    Every key lies in one piece, a partition of the table. The pieces to rewrite are found from keys alone; a new
+    version of each is written beside the table, and its catalog entry moves there when all are
+    complete. A reader therefore sees each row once, old or new, and a run that stopped is put right by repeating it. New
+    keys become pieces of their own and touch no stored file. Returns the rewritten pieces.
+    """
+    spark, keys, part = updates.sparkSession, PIECEWISE[name], PARTITIONED[name]
+    target = spark.table(f"{database}.{name}")
+    updates = conform(updates, name).drop(part)
+    path = version_path(spark, database, name)
+    held_path = f"{path}/held"
+    target.select(*keys, part).join(updates.select(*keys), keys).write.parquet(held_path)
+    held = spark.read.schema(target.select(*keys, part).schema).parquet(held_path)
+    touched = sorted(r[0] for r in held.select(part).distinct().collect())  # names of pieces, which the catalog lists too
+    if touched:
+        kept = target.where(F.col(part).isin(touched)).join(held, keys, "left_anti")
+        changed = updates.join(held, keys)
+        rows_of_pieces = conform(kept.unionByName(changed), name).hint("rebalance", part)
+        rows_of_pieces.write.partitionBy(part).parquet(f"{path}/pieces")
+        for piece in touched:
+            spark.sql(f"ALTER TABLE {database}.{name} PARTITION ({part} = '{piece}') SET LOCATION '{path}/pieces/{part}={piece}'")
+        spark.catalog.refreshTable(f"{database}.{name}")
+    run, pieces = uuid.uuid4().hex, -(-rows // PIECE_ROWS) or 1
+    piece = F.concat(F.lit(f"{run}-"), F.pmod(F.xxhash64(*keys), F.lit(pieces)).cast("string"))
+    append(updates.join(held, keys, "left_anti").withColumn(part, piece), database, name)
+    return touched
+
+
 def replace_sectors(df: DataFrame, database: str, name: str, path: str) -> None:
     """Overwrite only the sector partitions present in ``df`` (M4 at scale).
 

@@ -36,6 +36,9 @@ class Warehouse:
     def replace(self, name: str, rows: DataFrame) -> None:
         tables.replace(rows, self.database, name)
 
+    def upsert(self, name: str, rows: DataFrame, count: int) -> list[str]:
+        return tables.upsert_pieces(rows, count, self.database, name)
+
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, safe from lost executors."""
@@ -162,7 +165,7 @@ def enrich_run(wh: Warehouse, as_of, purge: bool = True, **options) -> tuple[int
         articles = tables.with_bodies(due.drop("content_hash"), wh["article_bodies"])
         fresh = written(enrichment.enrich(articles, wh["article_summary"], as_of, **options), "summaries")
         count = fresh.count()
-        wh.replace("article_summary", tables.upsert(wh["article_summary"], fresh, ["article_id"]))
+        wh.upsert("article_summary", fresh, count)
     return count, purge_bodies(wh) if purge else 0
 
 

@@ -19,7 +19,7 @@ TABLES: dict[str, str] = {
     "error_count bigint, run_start_ts timestamp_ntz, run_end_ts timestamp_ntz",
     "article_summary": "article_id string, company_name string, url string, title string, article_summary string, "
     "key_topic string, business_impact string, geography string, signal_type string, content_hash string, "
-    "summary_model string, summary_status string, error_message string, summarized_at timestamp_ntz",
+    "summary_model string, summary_status string, error_message string, summarized_at timestamp_ntz, part string",
     "title_exclusion": "company_name string, id string, title string",
     "company_requests": "request_id string, company_name string, requested_industry_sector string, "
     "source_url string, submitter_username string, submitter_role string, review_status string, "
@@ -28,8 +28,11 @@ TABLES: dict[str, str] = {
     "activity_path string, activity_meta string, request_id string, client_ip string, created_ts timestamp_ntz",
 }
 
-# Tables laid out by sector on disk; the partition column comes last.
-PARTITIONED = {"articles": "industry_sector", "article_bodies": "industry_sector"}
+# Tables laid out on disk by sector or piece; the partition column comes last.
+PARTITIONED = {"articles": "industry_sector", "article_bodies": "industry_sector", "article_summary": "part"}
+
+# Tables whose rows are replaced by key: the partition column is a piece of the run that added the rows.
+PIECEWISE = {"article_summary": ["article_id"]}
 
 RECORD = (
     "company_name string, id string, source_url string, url string, title string, article_content string, "

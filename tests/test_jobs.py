@@ -147,6 +147,60 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == named.rstrip("/")
 
 
+def summaries(spark, ids, text):
+    rows = [(i, f"{text} {i}", "2026-01-01") for i in ids]
+    return spark.createDataFrame(rows, "article_id string, article_summary string, content_hash string")
+
+
+def test_an_upsert_rewrites_only_pieces_with_a_replaced_key(spark, monkeypatch):
+    tables.create_tables(spark, "piecedb")
+    wh = Warehouse(spark, "piecedb")
+    monkeypatch.setattr(tables, "PIECE_ROWS", 10)
+    files = lambda: set(wh["article_summary"].inputFiles())
+    first = [f"a{k}" for k in range(40)]
+    assert wh.upsert("article_summary", summaries(spark, first, "one"), 40) == []
+    assert wh["article_summary"].select("part").distinct().count() == 4
+    before = files()
+    assert wh.upsert("article_summary", summaries(spark, ["b1", "b2", None], "two"), 3) == []
+    assert before < files()  # new keys touch no stored file
+    before = files()
+    reader = wh["article_summary"].where("article_id = 'a7'")
+    assert reader.head().article_summary == "one a7"
+    piece = reader.head().part
+    assert wh.upsert("article_summary", summaries(spark, ["a7", "c1"], "three"), 2) == [piece]
+    gone = before - files()
+    assert gone and all(f"part={piece}/" in f for f in gone)
+    got = {r.article_id: r.article_summary for r in wh["article_summary"].where("article_id IS NOT NULL").collect()}
+    want = {i: f"one {i}" for i in first} | {"b1": "two b1", "b2": "two b2", "a7": "three a7", "c1": "three c1"}
+    assert got == want and wh["article_summary"].count() == len(want) + 1
+    assert wh["article_summary"].where("article_id = 'a7'").head().part == piece
+    assert wh.upsert("article_summary", summaries(spark, [], "none"), 0) == []
+    # pieces moved once are found and moved again; one run may touch many
+    touched = wh.upsert("article_summary", summaries(spark, first, "four"), 40)
+    assert len(touched) == 4 and piece in touched
+    rows = wh["article_summary"].where("article_summary LIKE 'four%'")
+    assert rows.count() == 40 and wh["article_summary"].count() == len(want) + 1
+
+
+def test_an_upsert_that_stopped_before_its_new_keys_is_repeated(spark, monkeypatch):
+    tables.create_tables(spark, "halfdb")
+    wh = Warehouse(spark, "halfdb")
+    wh.upsert("article_summary", summaries(spark, ["a", "b"], "old"), 2)
+    append = tables.append
+
+    def stops(*args):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(tables, "append", stops)
+    with pytest.raises(RuntimeError, match="stopped"):
+        wh.upsert("article_summary", summaries(spark, ["a", "c"], "new"), 2)
+    texts = lambda: sorted(r.article_summary for r in wh["article_summary"].collect())
+    assert texts() == ["new a", "old b"]
+    monkeypatch.setattr(tables, "append", append)
+    wh.upsert("article_summary", summaries(spark, ["a", "c"], "new"), 2)
+    assert texts() == ["new a", "new c", "old b"]
+
+
 class Interrupted(Warehouse):
     """Stops at its second append, as if the driver died between bodies and articles."""
 
