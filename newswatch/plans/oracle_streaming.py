@@ -26,7 +26,9 @@ def oracle() -> dict[str, str]:
          c.at_us, list_filter(v.live, lambda x: x > c.at_us - {WINDOW})[1]
   FROM verdicts AS v JOIN calls AS c ON c.scope = v.scope AND c.client_ip = v.client_ip AND c.n = v.n + 1)""",
     )
+    limiter = limiter.replace("WITH ", "WITH RECURSIVE ", 1)
     return {
-        "rate_limiter": limiter.replace("WITH ", "WITH RECURSIVE ", 1),
+        "rate_limiter": limiter,
+        "rate_limiter_late": limiter,  # late arrival changes no verdict
         "continuous_load": with_tables(LOAD_TABLES, f"SELECT {RECORD} FROM due", *LOAD),
     }

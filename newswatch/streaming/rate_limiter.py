@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from newswatch.operators.activity import RATE_LIMITS, RATE_WINDOW_SECONDS
 
@@ -24,6 +26,9 @@ OUTPUT = StructType(
     ]
 )
 ADMITTED = StructType([StructField("at", LongType())])
+SLICE = StructType([StructField("slice", LongType())])
+HELD = StructType([StructField("at", ArrayType(LongType())), StructField("ids", ArrayType(StringType()))])
+SLICE_SECONDS = 60  # calls of one client that are put in order together
 
 
 def admit(admitted: deque, times: Iterable[int], window: int, limit: int) -> Iterator[tuple[bool, int]]:
@@ -38,10 +43,22 @@ def admit(admitted: deque, times: Iterable[int], window: int, limit: int) -> Ite
         if len(admitted) >= limit:
             yield False, max(1, (admitted[0] + window - now) // SECOND)
         else:
-            admitted.append(now)
+            insort(admitted, now)  # at the end, but for a call later than is waited for
             yield True, 0
 
 
+def split(calls: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Calls with a time and calls without one."""
+    known = calls["at_us"].notna()
+    return calls[known].astype({"at_us": "int64"}), calls[~known]
+
+
+def verdicts(key, calls: pd.DataFrame, allowed, retry) -> pd.DataFrame:
+    scope, client = key
+    columns = {"scope": scope, "client_ip": client, "allowed": allowed, "retry_after": retry}
+    return pd.DataFrame({"activity_id": calls["activity_id"], **columns})
+
+
 class RateLimiter(StatefulProcessor):
     """State per (scope, client): at most ``limit`` admitted times."""
 
@@ -52,43 +69,91 @@ class RateLimiter(StatefulProcessor):
         self.admitted = handle.getListState("admitted", ADMITTED)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        scope, client = key
         # a key's rows of one micro-batch: two narrow columns, put in time order
-        calls = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "activity_id"])
+        timed, untimed = split(pd.concat(list(rows), ignore_index=True))
+        if len(untimed):
+            yield verdicts(key, untimed, None, None)
+        if len(timed):
+            yield self.judged(key, timed)
+
+    def judged(self, key, calls: pd.DataFrame) -> pd.DataFrame:
+        calls = calls.sort_values(["at_us", "activity_id"])
         known = deque(at for (at,) in self.admitted.get()) if self.admitted.exists() else deque()
-        verdicts = list(admit(known, calls["at_us"], self.window, self.limits[scope]))
+        decided = list(admit(known, calls["at_us"], self.window, self.limits[key[0]]))
         if known:
             self.admitted.put([(int(at),) for at in known])
         else:
             self.admitted.clear()
-        allowed, retry = zip(*verdicts, strict=True)
-        yield pd.DataFrame(
-            {
-                "activity_id": calls["activity_id"],
-                "scope": scope,
-                "client_ip": client,
-                "allowed": allowed,
-                "retry_after": retry,
-            }
-        )
+        return verdicts(key, calls, *zip(*decided, strict=True))
 
     def close(self) -> None:
         pass
 
 
+class PatientRateLimiter(RateLimiter):
+    """Holds calls back, in slices of time, until no call before them is waited for.
+
+    State per (scope, client): the admitted times and the calls of open slices, one value a
+    slice. A slice is put in order and judged by its timer once the watermark has passed its end,
+    so a task holds one slice of one client.
+    """
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.held = handle.getMapState("held", SLICE, HELD)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            timed, untimed = split(chunk[chunk["activity_id"].notna()])
+            if len(untimed):
+                yield verdicts(key, untimed, None, None)
+            # a slice whose end is past already is judged by its timer in this same micro-batch
+            for slice_no, calls in timed.groupby(timed["at_us"] // (SLICE_SECONDS * SECOND)):
+                self.hold(int(slice_no), calls)
+
+    def hold(self, slice_no: int, calls: pd.DataFrame) -> None:
+        at, ids = calls["at_us"].tolist(), calls["activity_id"].tolist()
+        if self.held.containsKey((slice_no,)):
+            before = self.held.getValue((slice_no,))
+            at, ids = list(before[0]) + at, list(before[1]) + ids
+        else:
+            self.handle.registerTimer((slice_no + 1) * SLICE_SECONDS * 1000)
+        self.held.updateValue((slice_no,), (at, ids))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        slice_no = expiredTimerInfo.getExpiryTimeInMs() // 1000 // SLICE_SECONDS - 1
+        at, ids = self.held.getValue((slice_no,))
+        self.held.removeKey((slice_no,))
+        yield self.judged(key, pd.DataFrame({"at_us": at, "activity_id": ids}))
+
+
 def rate_limited(
-    calls: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, limits: dict[str, int] | None = None
+    calls: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, limits: dict[str, int] | None = None,
+    lateness_seconds: int | None = None,
 ) -> DataFrame:
     """Admit or refuse every call of a stream (ST1).
 
     ``calls``: activity_id, scope, client_ip and ``at_us``, the call's time in
     microseconds. Needs the RocksDB state store. A client's verdicts depend on
     each other, so a client stays with one task; the trigger bounds its rows.
+
+    Without ``lateness_seconds`` a call is judged in the micro-batch that brings it. With it, a call is held
+    back until the latest call met is more than that many seconds (and a slice) later. Calls that arrive
+    at most so late then have the verdicts of the true order, however they are shuffled and cut
+    into batches; a call that is later still is judged in the micro-batch that brings it. A call without a
+    time cannot be placed: ``allowed`` and ``retry_after`` are NULL. With ``lateness_seconds`` a row whose ``activity_id`` is NULL
+    is a heartbeat: it has no verdict and only moves the time on, for instance at the end of a stream.
     """
+    columns = ["activity_id", "scope", "client_ip", "at_us"]
+    limits, patient = limits or RATE_LIMITS, lateness_seconds is not None
+    if patient:
+        # the time column is dropped behind the watermark, so that Spark does not drop late calls
+        timed = calls.select(*columns, F.timestamp_micros("at_us").alias("at"))
+        calls = timed.withWatermark("at", f"{lateness_seconds} seconds")
+    limiter = (PatientRateLimiter if patient else RateLimiter)(window_seconds, limits)
     return (
-        calls.select("activity_id", "scope", "client_ip", "at_us")
+        calls.select(*columns)
         .groupBy("scope", "client_ip")
-        .transformWithStateInPandas(
-            RateLimiter(window_seconds, limits or RATE_LIMITS), OUTPUT, "append", "none"
-        )
+        .transformWithStateInPandas(limiter, OUTPUT, "append", "eventTime" if patient else "none")
     )

@@ -6,13 +6,14 @@ import re
 from collections import deque
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from newswatch.operators import activity, feed, load, marts, monitor, report, requests, robots, warehouse
 from newswatch.operators.validate import validate, validation_metrics
 from newswatch.schemas import RECORD
 from newswatch.sources import pages, registry, seeds, staging
-from newswatch.streaming.rate_limiter import SECOND, admit
+from newswatch.streaming.rate_limiter import SECOND, admit, rate_limited
 
 AS_OF = "2024-03-31 00:00:00"
 NEWS = (
@@ -372,3 +373,50 @@ def test_requests_without_a_time_are_kept(spark):
     rows = [("a", "chat", "ip", None), ("b", "chat", "ip", datetime(2026, 1, 1))]
     got = activity.rate_audit(spark.createDataFrame(rows, "activity_id string, scope string, client_ip string, created_ts timestamp_ntz"))
     assert sorted((r.activity_id, r.attempts, r.over_limit) for r in got.collect()) == [("a", None, None), ("b", 1, False)]
+
+
+def late_stream(spark, folder, batches):
+    """One file, and so one micro-batch, for each list of calls."""
+    schema = "activity_id string, scope string, client_ip string, at_us long"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    out = f"{folder}-verdicts"
+    limited = rate_limited(stream, 600, {"public": 3, "chat": 1}, lateness_seconds=900)
+    limited.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out).awaitTermination()
+    found = spark.read.parquet(out).collect()
+    assert len(found) == len({r.activity_id for r in found})
+    return {r.activity_id: (r.allowed, r.retry_after) for r in found}
+
+
+@pytest.mark.parametrize("n_batches", [2, 7])
+def test_late_calls_have_the_verdicts_of_the_true_order(spark, tmp_path, n_batches):
+    rng = random.Random(n_batches)
+    start = 1_767_225_600
+    calls = [(f"c{n}", rng.choice(["public", "chat"]), rng.choice("AAB"), (start + rng.randrange(7200)) * SECOND + rng.randrange(SECOND)) for n in range(300)]
+    want = {}
+    for key in {c[1:3] for c in calls}:
+        own, admitted = sorted((c[3], c[0]) for c in calls if c[1:3] == key), []
+        for at, name in own:
+            live = [t for t in admitted if t > at - 600 * SECOND]
+            most = 1 if key[0] == "chat" else 3
+            want[name] = (len(live) < most, 0 if len(live) < most else max(1, (live[0] + 600 * SECOND - at) // SECOND))
+            if len(live) < most:
+                admitted.append(at)
+    arrival = sorted(calls, key=lambda c: c[3] + rng.randrange(900) * SECOND)
+    assert [c[3] for c in arrival] != sorted(c[3] for c in calls)
+    size = -(-len(arrival) // n_batches)
+    batches = [arrival[k : k + size] for k in range(0, len(arrival), size)]
+    assert late_stream(spark, tmp_path / "open", batches).items() < want.items()  # the last ones are still held back
+    heartbeat = [(None, None, None, (start + 7200 + 900 + 61) * SECOND)]
+    assert late_stream(spark, tmp_path / "ended", [*batches, heartbeat]) == want
+
+
+def test_calls_later_than_waited_for_and_calls_without_a_time(spark, tmp_path):
+    minute = 60 * SECOND
+    first = [("a", "chat", "A", 100 * minute), ("no time", "chat", "A", None)]
+    later = [("b", "chat", "A", 1000 * minute)]
+    latest = [("too late", "chat", "A", 104 * minute), ("much too late", "chat", "A", 50 * minute)]
+    heartbeat = [(None, None, None, 2000 * minute)]
+    got = late_stream(spark, tmp_path / "in", [first, later, latest, heartbeat])
+    assert got == {"a": (True, 0), "no time": (None, None), "b": (True, 0), "too late": (False, 360), "much too late": (True, 0)}

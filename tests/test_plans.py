@@ -5,7 +5,7 @@ import pytest
 from newswatch.operators import robots
 from newswatch.plans import registry
 
-STREAMING = {"rate_limiter", "continuous_load"}
+STREAMING = {"rate_limiter", "rate_limiter_late", "continuous_load"}
 NO_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
 
