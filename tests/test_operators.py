@@ -3,9 +3,11 @@
 import json
 import random
 import re
+import types
 from collections import deque
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from newswatch.operators import activity, feed, load, marts, monitor, report, re
 from newswatch.operators.validate import validate, validation_metrics
 from newswatch.schemas import RECORD
 from newswatch.sources import pages, registry, seeds, staging
+from newswatch.streaming import rate_limiter
 from newswatch.streaming.rate_limiter import SECOND, admit, rate_limited
 
 AS_OF = "2024-03-31 00:00:00"
@@ -420,3 +423,92 @@ def test_calls_later_than_waited_for_and_calls_without_a_time(spark, tmp_path):
     heartbeat = [(None, None, None, 2000 * minute)]
     got = late_stream(spark, tmp_path / "in", [first, later, latest, heartbeat])
     assert got == {"a": (True, 0), "no time": (None, None), "b": (True, 0), "too late": (False, 360), "much too late": (True, 0)}
+
+
+class CountedState:
+    """The states and timers of one client in memory; counts every call to them."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, set(), {}
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getListState = lambda self, *_: CountedValue(self)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.values[key] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.values[key]
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.values
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.values[key]
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class CountedValue:
+    def __init__(self, owner):
+        self.owner, self.value = owner, None
+
+    def exists(self):
+        self.owner.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.owner.calls += 1
+        return self.value
+
+    def put(self, value):
+        self.owner.calls += 1
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.put(None)
+
+
+@pytest.mark.parametrize("room", [1 << 14, 40, 1])
+def test_held_calls_need_few_state_calls_and_keep_the_true_order(monkeypatch, room):
+    monkeypatch.setattr(rate_limiter, "ROOM", room, raising=False)
+    rng = random.Random(room)
+    minute, start = 60 * SECOND, 1_767_225_600 * SECOND
+    calls = [(start + rng.randrange(2000) * minute + rng.randrange(minute), f"c{n}") for n in range(2000)]
+    limiter, state = rate_limiter.PatientRateLimiter(600, {"public": 3}), CountedState()
+    limiter.init(state)
+    frames = [pd.DataFrame(calls[k : k + 500], columns=["at_us", "activity_id"]) for k in range(0, 2000, 500)]
+    got, watermark, live, want = [], 0, deque(), {}
+
+    def fire(to):
+        times = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: to // 1000)
+        for at in sorted(t for t in state.timers if t <= to // 1000):
+            got.extend(limiter.handleExpiredTimer(("public", "A"), times, types.SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)))
+            state.timers.discard(at)
+
+    got.extend(limiter.handleInputRows(("public", "A"), iter(frames[:2]), None))
+    fire(start - minute)
+    got.extend(limiter.handleInputRows(("public", "A"), iter(frames[2:]), None))
+    for part in (1, 2):  # the watermark passes the middle, then the end
+        fire(start + part * 1001 * minute)
+    for at, name in sorted(calls):
+        want[name] = next(iter(rate_limiter.admit(live, [at], 600 * SECOND, 3)))
+    rows = pd.concat(got)
+    assert len(rows) == 2000 and not state.timers and not state.values
+    assert dict(zip(rows["activity_id"], zip(rows["allowed"], rows["retry_after"], strict=True), strict=True)) == want
+    if room > 2000:
+        assert state.calls < 100
