@@ -6,20 +6,21 @@ import re
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from newswatch.functions import dom
 from newswatch.functions.dom import DATE_METAS, JSONLD_TYPE
-from newswatch.functions.text import parse_utc, squash_spaces, strip
+from newswatch.functions.text import once, parse_utc, squash_spaces, strip
 
 # ---- fixed values ----
 MAX_TEXT_CHARS = 50_000
 MIN_TEXT_CHARS = 50
 DATE_SCAN_CHARS = 200_000
 # the word boundary is looked for after the literal, which is far cheaper to find
-ISO_DATE = r"(?iU)20(?<=\b20)\d{2}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})?)?\b"
+ISO_DATE = r"20(?iU)(?<=\b20)\d{2}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})?)?\b"
 # ---- end of fixed values ----
 
 # Named entities decoded in place; a page with any other goes through the page reader.
@@ -106,17 +107,21 @@ def _odd_page(html: str) -> dom.Reading:
     return dom.Reading(dom.decode(inner), shared, dates, dom.article_text(html))
 
 
-@F.pandas_udf(READING)
-def _one_pass(pages: pd.Series) -> pd.DataFrame:
+_READING = pa.struct([("title", pa.string()), ("shared_title", pa.string()), ("dates", pa.list_(pa.string())), ("text", pa.string())])
+
+
+@F.arrow_udf(READING)
+def _one_pass(pages: pa.Array) -> pa.Array:
     """Title, dates and main text of each page, read once."""
 
-    def fields(html: str | None) -> tuple:
-        if not isinstance(html, str):
-            return (None,) * 4
+    def fields(html: str | None) -> dict:
+        if html is None:
+            return {}
         found = dom.one_pass(html) or _odd_page(html)
-        return (found.title, found.shared_title, found.dates, found.text)
+        return {"title": found.title, "shared_title": found.shared_title, "dates": found.dates, "text": found.text}
 
-    return pd.DataFrame(list(map(fields, pages)), columns=["title", "shared_title", "dates", "text"])
+    read = [pa.array(list(map(fields, pages[a:b].to_pylist())), _READING) for a, b in dom.pieces(pages)]
+    return pa.concat_arrays(read) if read else pa.array([], _READING)
 
 
 # Keeps later filters above the step, so that no page is parsed once for the
@@ -202,7 +207,7 @@ def with_page_fields(pages: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataF
     date = F.coalesce(first_date(dates), first_date([F.substring("html", 1, DATE_SCAN_CHARS)]))
     read = read.withColumns({"page_title": title, "page_date": date, "page_text": F.substring(squash_spaces(F.col("reading.text")), 1, max_chars)})
     read = read.withColumn("page_text", F.when(F.length("page_text") > MIN_TEXT_CHARS, F.col("page_text")))
-    return read.drop("reading", "html")
+    return once(read.drop("reading", "html"), "page_title", "page_date", "page_text")
 
 
 def with_main_text(pages: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
@@ -243,7 +248,7 @@ def page_title(head: Column) -> Column:
 
 def first_date(texts: list[Column]) -> Column:
     """The first readable ISO date of each text in turn, as a UTC timestamp."""
-    found = F.transform(F.array(*texts), lambda t: F.regexp_extract(t, ISO_DATE, 0))
+    found = F.filter(F.transform(F.array(*texts), lambda t: F.regexp_extract(t, ISO_DATE, 0)), lambda d: d != "")
     dates = F.transform(found, lambda d: parse_utc(F.regexp_replace(d, r"(?i)^(.{10})[T\s]", "$1T")))
     return F.try_element_at(F.array_compact(dates), F.lit(1))
 

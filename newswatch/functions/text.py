@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values: must equal the published rules for equal results ----
@@ -216,3 +216,12 @@ def meta_field(c: Column, name: str) -> Column:
 def moment(as_of) -> Column:
     """An explicit reporting time (text or datetime) as a zone-less literal."""
     return F.lit(str(as_of)).cast("timestamp_ntz")
+
+
+def once(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with these columns behind a step that no filter passes.
+
+    A filter on a computed column is else moved below it and computes it again, as often as it names it.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names)))).select(*df.columns)

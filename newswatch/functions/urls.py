@@ -103,8 +103,9 @@ _urljoin = _urljoin.asNondeterministic()
 def resolve(base: Column, href: Column) -> Column:
     """The absolute url of a link (H5). Python joins only what is not plainly absolute or rooted."""
     rooted = href.rlike(_CLEAN_ROOTED) & ~href.contains("/.")
-    native = F.when(href.rlike(_CLEAN_ABSOLUTE), href).when(rooted, F.concat(site(base), href))
-    odd = native.isNull()
+    absolute = href.rlike(_CLEAN_ABSOLUTE)
+    native = F.when(absolute, href).when(rooted, F.concat(site(base), href))
+    odd = ~F.coalesce(absolute | (rooted & base.isNotNull()), F.lit(False))  # where native is NULL
     return F.coalesce(native, _urljoin(F.when(odd, base), F.when(odd, href)))
 
 
@@ -118,17 +119,18 @@ def normalize(base: Column, href: Column) -> Column:
     return F.when(doubled, F.concat(head, rest)).otherwise(full)
 
 
-def article_like(url: Column, base: Column, text: Column) -> Column:
-    """Whether a link of a listing page leads to an article (H6)."""
-    name, base_name = F.lower(host(url)), F.lower(host(base))
+def article_like(url: Column, base: Column, text: Column, parts: dict[str, Column] | None = None) -> Column:
+    """Whether a link of a listing page leads to an article (H6); ``parts`` are the host and path of both, if there are columns of them."""
+    own = parts or {"host": host(url), "base_host": host(base), "path": path(url), "base_path": path(base)}
+    name, base_name = F.lower(own["host"]), F.lower(own["base_host"])
     shared = name.endswith(SHARED_NETWORK) & base_name.endswith(SHARED_NETWORK)
-    lowered = no_trailing_slash(F.lower(path(url)))
+    lowered = no_trailing_slash(F.lower(own["path"]))
     keys = query_keys(url)
     pages_only = (F.size(keys) > 0) & F.forall(keys, lambda k: k.isin(PAGINATION_KEYS))
     skipped = reduce(lambda a, b: a | b, [F.lower(url).endswith(e) for e in SKIP_EXTENSIONS])
-    rule = F.when(~url.rlike("^(?i)http") | ((host(url) != host(base)) & ~shared), False)
+    rule = F.when(~url.rlike("^(?i)http") | ((own["host"] != own["base_host"]) & ~shared), False)
     rule = rule.when(skipped | pages_only, False)
-    rule = rule.when(no_trailing_slash(path(url)) == no_trailing_slash(path(base)), False)
+    rule = rule.when(no_trailing_slash(own["path"]) == no_trailing_slash(own["base_path"]), False)
     for part, pattern, longer_than in HOST_RULES:
         rule = rule.when(name.contains(part), lowered.rlike(pattern) & (F.length(strip(text)) > longer_than))
     rule = rule.when(name.endswith(SHARED_NETWORK), lowered.rlike(SHARED_NETWORK_PATH))

@@ -15,8 +15,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from newswatch.functions import dom
 from newswatch.functions.markup import jsonld_texts, with_page_fields
-from newswatch.functions.text import parse_utc
-from newswatch.functions.urls import article_like, extra_listing, host, normalize, resolve
+from newswatch.functions.text import once, parse_utc
+from newswatch.functions.urls import article_like, extra_listing, host, normalize, path, resolve
 from newswatch.operators.load import is_later
 from newswatch.operators.robots import fetch_decisions
 from newswatch.sources.pages import is_usable
@@ -62,9 +62,9 @@ def page_reads(pages: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b[x:y] for b in batches for x, y in dom.pieces(b.column(1))):
             rows = [(url, html) for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if html]
-            found = [dom.one_pass(html) for _, html in rows]
+            found = [dom.one_pass(html, fields=False) for _, html in rows]
             links = [dom.tree_anchors(html) if f is None else f.anchors for f, (_, html) in zip(found, rows, strict=True)]
             ends = pa.array(np.cumsum([0, *map(len, links)]), pa.int32())
             parts = list(zip(*[a for own in links for a in own], strict=True)) or [[]] * 4
@@ -106,13 +106,11 @@ def listing_links(anchors: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     Ordered by selector, then position. Repeated links are reduced before the
     ranking, and each task passes on at most ``max_items`` per page.
     """
-    rows = anchors.withColumns(
-        {
-            "full": normalize(F.col("url"), F.col("href")),
-            "rank": selector_rank(F.col("href"), F.col("container")),
-        }
-    ).where("rank IS NOT NULL AND full IS NOT NULL")
-    kept = rows.where(article_like(F.col("full"), F.col("url"), F.col("text")))
+    rows = anchors.withColumn("rank", selector_rank(F.col("href"), F.col("container"))).where("rank IS NOT NULL")
+    rows = once(rows.withColumn("full", normalize(F.col("url"), F.col("href"))), "full").where("full IS NOT NULL")
+    parts = {"host": host(F.col("full")), "base_host": host(F.col("url")), "path": path(F.col("full")), "base_path": path(F.col("url"))}
+    rows = once(rows.withColumns(parts), *parts)
+    kept = rows.where(article_like(F.col("full"), F.col("url"), F.col("text"), {name: F.col(name) for name in parts}))
     first = kept.groupBy(F.col("url").alias("page_url"), F.col("full").alias("url")).agg(
         F.min(F.struct("rank", "pos")).alias("place")
     )
@@ -122,7 +120,7 @@ def listing_links(anchors: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
 
 def extra_listing_pages(anchors: DataFrame, max_pages: int = MAX_EXTRA_PAGES) -> DataFrame:
     """Further listing pages: (page_url, n, url) (H7)."""
-    rows = anchors.withColumn("full", normalize(F.col("url"), F.col("href")))
+    rows = once(anchors.withColumn("full", normalize(F.col("url"), F.col("href"))), "full")
     kept = rows.where(extra_listing(F.col("full"), F.col("url")))
     first = kept.groupBy(F.col("url").alias("page_url"), F.col("full").alias("url")).agg(F.min("pos").alias("place"))
     order = Window.partitionBy("page_url").orderBy("place")
@@ -209,7 +207,7 @@ def jsonld_items(pages: DataFrame, reads: DataFrame | None = None) -> DataFrame:
         F.coalesce(field("headline"), field("name")).alias("title"),
         parse_utc(F.coalesce(field("datePublished"), field("dateCreated"))).alias("published_date"),
     )
-    same_host = items.where(host(F.col("url")) == host(F.col("page_url")))
+    same_host = once(items, "url").where(host(F.col("url")) == host(F.col("page_url")))
     order = F.struct("block", "node")
     return same_host.select("page_url", order.alias("n"), "url", "title", "published_date")
 
