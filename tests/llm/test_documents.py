@@ -130,6 +130,23 @@ def test_a_passage_in_many_surroundings_is_found_across_shards(spark):
         assert got == want and got[50] == (0, 0) and got[0][0] > 400
 
 
+def test_repeats_are_measured_in_bytes_not_words(spark):
+    """Sixty shared words below 400 bytes stay, longer ones go; `n_bytes` is the input's size either way."""
+    rnd = random.Random(8)
+    own = lambda: " ".join(f"o{rnd.randrange(10**8)}" for _ in range(60))
+    short = " ".join(f"s{k:03}" for k in range(60))
+    long = " ".join(f"long{k:03}" for k in range(60))
+    assert len(short) + 2 < 400 < len(long)
+    rows = [(k, f"{own()} {p} {own()}") for k, p in enumerate([short, short, long, long])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.report(frame).collect()}
+    assert [got[k].n_bytes for k in range(4)] == [len(t) for _, t in rows]
+    assert [got[k].changed for k in range(4)] == [False, False, True, True]
+    left = {r.doc_id: r.text for r in suffix_dedup.without_repeats(frame).collect()}
+    assert left[0] == rows[0][1] and left[1] == rows[1][1]
+    assert all(long not in left[k] and rows[k][1].startswith(left[k][:300]) for k in (2, 3))
+
+
 def test_merged_transforms_on_small_alphabets(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", 20)
     rnd = random.Random(11)
