@@ -1,14 +1,18 @@
 """Bit-packed output and power-of-two packing: exact round trips."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from newswatch.llm import packing, token_output
-from newswatch.llm.common import WordIds
+from newswatch.llm.common import WordIds, batches, bytes_of, written
+from newswatch.session import BATCH_BYTES
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +77,34 @@ def test_decomposition_covers_without_overlap(n):
         assert start == at
         at += length
     assert at == n
+
+
+def test_batches_are_cut_without_copying_their_texts():
+    texts = ["é" * 500_000, None, "", *["x" * 40_000] * 200]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    cut = list(batches(iter([batch]), "text", 1 << 20))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1 << 20  # the texts have nine times as much
+    assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist()
+    assert all(sum(map(len, bytes_of(b.column(1)))) <= 1 << 20 for b in cut)
+
+
+def test_a_session_without_a_batch_size_gets_small_batches(spark):
+    def sizes(rows):
+        for batch in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    own = spark.conf.get(BATCH_BYTES)
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        found = [r.n for r in written(docs.mapInArrow(sizes, "n long"), "batch-sizes").collect()]
+        spark.conf.set(BATCH_BYTES, "8m")
+        written(docs, "batch-rows")
+        assert spark.conf.get(BATCH_BYTES) == "8m"  # a size that is named stays
+    finally:
+        spark.conf.set(BATCH_BYTES, own)
+    assert sum(found) > 20_000_000
+    assert max(found) < 4 << 20
