@@ -174,3 +174,67 @@ def test_escapes(text):
 )
 def test_parts_of_an_article_are_dropped_by_whole_names(source, want):
     assert "\n\n".join(html_extract.read_page(source)[0]) == want
+
+
+def _texts(spark, rows, **how):
+    pages = spark.createDataFrame([(k, url, source) for k, (url, source) in enumerate(rows)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html_extract.extract(pages, **how).collect())]
+
+
+NOTICE = "Write to the desk of this house if you want to have our news by post each day"
+PROMISE = "All rights kept by the makers of this fine host of pages and more words"
+
+
+def _own(k, n=30):
+    return " ".join(f"w{k}_{j}" for j in range(n))
+
+
+@pytest.mark.parametrize("how", [{}, {"shard_pages": 3}, {"shard_chars": 1500}])
+def test_the_host_array_reads_declared_articles_too(spark, how):
+    """A notice without a telling name goes; passages that fewer pages share, and copies, stay."""
+    own = [[_own(f"{k}a"), f"{_own('quote', 12)}" if k in (2, 5, 9) else _own(f"{k}b", 5), _own(f"{k}c")] for k in range(12)]
+    page = "<html><body><div>{0}</div><article><h1>{1}</h1><p>{2}</p><p>{3}</p><p>{4}</p></article><div>{0}</div></body></html>"
+    rows = [(f"http://h.example/{k}", page.format(PROMISE, a, b, NOTICE, c)) for k, (a, b, c) in enumerate(own)]
+    # A host whose pages are one article with other date lines, and one of too few pages to tell.
+    rows += [(f"http://copies/{k}", f"<article><p>printed on day {k}</p><p>{_own('copy', 60)}</p></article>") for k in range(8)]
+    rows += [(f"http://small/{k}", f"<article><p>{_own(f's{k}')}</p><p>{NOTICE}</p></article>") for k in range(4)]
+    got = _texts(spark, rows, **how)
+    assert got[:12] == ["\n\n".join(blocks) for blocks in own]
+    assert got[12:20] == [f"printed on day {k}\n\n{_own('copy', 60)}" for k in range(8)]
+    assert got[20:] == [f"{_own(f's{k}')}\n\n{NOTICE}" for k in range(4)]
+
+
+@pytest.mark.parametrize("how", [{}, {"shard_pages": 3}])
+def test_what_lies_beside_articles_tells_of_pages_without_one(spark, how):
+    rows = [(f"http://h/{k}", f"<div>{PROMISE}</div><article><p>{_own(k)}</p></article><div>read most: {_own(7, 12)}</div>") for k in range(9)]
+    rows.append(("http://h/bare", f"<div>{PROMISE}</div><div>{_own('bare')}</div>"))
+    got = _texts(spark, rows, **how)
+    assert got == [*map(_own, range(9)), _own("bare")]  # the first words of page 7 stand in everybody's list
+
+
+def test_equal_articles_count_once(spark):
+    """Copies on most pages of a host do not turn what they say into a notice."""
+    rows = [("http://h/", f"<article><p>{_own('x', 40)}</p><p>{_own('said', 10)}</p></article>")] * 9
+    rows += [("http://h/", f"<article><p>{_own(k, 40)}</p><p>{_own('said', 10)}</p></article>") for k in range(2)]
+    rows += [("http://h/", f"<article><p>{_own(k, 40)}</p></article>") for k in range(2, 8)]
+    got = _texts(spark, rows)
+    assert got == [f"{_own(k, 40)}\n\n{_own('said', 10)}" for k in ["x"] * 9 + [0, 1]] + [_own(k, 40) for k in range(2, 8)]
+
+
+def test_read_page_hands_on_all_blocks():
+    article, others = html_extract.read_page("<div>top</div><article><p>a</p><p>b</p></article><p>end</p><nav>no</nav>")
+    assert article == ["a", "b"] and [t for t, _ in others] == ["top", "end"]
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("<html><head><meta charset=x><title>no</title><style>p{}</style><h1>T</h1><p>one", "T\n\none"),
+        ("<head><title>no</title><script>var no;</script></head><p>one", "one"),
+        ("<article><title-bar>a</title-bar><select-box>b</select-box> c</article>", "ab c"),
+        ("<body><form id=all><div>no</div><article><p>one</p><form>no</form></article></form><form>no</form>", "one"),
+    ],
+)
+def test_no_page_is_lost_to_an_open_head_a_name_or_a_form(source, want):
+    article, others = html_extract.read_page(source)
+    assert "\n\n".join(article or [t for t, _ in others]) == want
